@@ -63,3 +63,21 @@ def blocks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
 
 def columns(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
+
+
+def range_index(key, bounds: list):
+    """The number of sorted ``bounds`` at or below ``key`` (0 for null), looked up in two steps of about the root of their number."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    coarse, table = (F.array(*map(F.lit, some)) for some in (bounds[step - 1 :: step], bounds))
+    below = lambda some: F.size(F.filter(some, lambda b: b <= key))
+    at = below(coarse) * step if len(bounds) >= step else F.lit(0)
+    return F.when(key.isNotNull(), at + below(F.slice(table, at + 1, step))).otherwise(0).cast("int")
+
+
+def quantile_bounds(frame: DataFrame, key: str, parts: int) -> list:
+    """Up to ``parts`` - 1 distinct values that part the key column evenly; only that column is read."""
+    ticks = [k / parts for k in range(1, parts)]
+    found = frame.select(F.percentile_approx(key, ticks, 20 * parts).alias("q")).first().q if ticks else None
+    return sorted(set(found or []))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import blocks, columns, shared_dir, text_buffer
+from strata.llm.common import blocks, columns, quantile_bounds, range_index, shared_dir, text_buffer
 from strata.llm.segments import library_encoder
 
 NULL_KEY = -(1 << 63)
@@ -45,15 +45,8 @@ def file_system(uri: str):
 
 def range_partitions(frame: DataFrame, key: str, parts: int) -> DataFrame:
     """``frame`` in ``parts`` partitions of ascending ranges of an integer key, each sorted by key and then the other columns."""
-    ticks = [k / parts for k in range(1, parts)]
-    bounds = frame.select(F.percentile_approx(key, ticks, 20 * parts).alias("q")).first().q if ticks else None
-    bounds = sorted(set(bounds or []))
-    at = F.lit(0)
-    if bounds:
-        # the number of bounds at or below the key, by bisection over an array literal
-        table = F.array(*map(F.lit, bounds))
-        at = F.when(F.col(key).isNotNull(), F.size(F.filter(table, lambda b: b <= F.col(key)))).otherwise(0)
-    return frame.repartitionById(parts, at.cast("int")).sortWithinPartitions(F.col(key).asc_nulls_first(), *[c for c in frame.columns if c != key])
+    at = range_index(F.col(key), quantile_bounds(frame, key, parts))
+    return frame.repartitionById(parts, at).sortWithinPartitions(F.col(key).asc_nulls_first(), *[c for c in frame.columns if c != key])
 
 
 @functools.cache
