@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import byte_bpe, edit_embedding, ogg, packing, pii, simhash, token_counts, token_files
+from strata.llm import byte_bpe, edit_embedding, nbsvm, ogg, packing, pii, simhash, token_counts, token_files
 from strata.llm.common import documents
 
 
@@ -38,10 +38,15 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, limits=packing.Limits(tokens=1024))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return nbsvm.classify(documents(spark, sf_dir), labels, "quality", threshold=0.7, max_rows=8_000)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ogg_media, op3_simhash_groups, op5_personal_data, op6_token_files, op7_edit_fingerprints, op8_best_fit_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ogg_media, op3_simhash_groups, op5_personal_data, op6_token_files, op7_edit_fingerprints, op8_best_fit_packing, op9_quality_classifier, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
