@@ -1,9 +1,10 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text's features are indicators of its byte n-grams of 2 to 4 bytes, hashed to ``2 ** BITS`` places.  Each indicator is scaled
+A text's features are indicators of its byte n-grams of 2 to 4 bytes, hashed to ``2 ** BITS`` places, and of word n-grams that are
+one word n times, which have places of their own for the n in ``RUNS``.  Each indicator is scaled
 by the smoothed log-count ratio of its place between the classes, rows are brought to length 1, and a linear model with hinge
-loss is fitted by dual coordinate descent.  Margins become scores through a logistic curve fitted on a part of the sample which
-the descent has not seen.
+loss is fitted by dual coordinate descent.  Margins become scores through a logistic curve fitted to margins from models that have not
+seen the row's fold; the model itself is fitted to all rows.
 
 The model is fitted on at most ``max_rows`` labelled rows (the first by a hash of the key), gathered on the driver as hashed
 indicators; its size is fixed.  Every text is scored as a whole.
@@ -25,14 +26,43 @@ from pyspark.sql import functions as F
 from strata.llm.common import columns, text_buffer
 
 BITS = 18
+FOLDS = 3
+RUNS = (2, 3, 4, 6, 8, 12, 20)
+SIZE = (1 << BITS) + len(RUNS)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
 
 
+def _power(base: np.uint64, n: np.uint64) -> np.uint64:
+    return np.uint64(pow(int(base), int(n), 1 << 64))
+
+
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
 class Indicators:
-    """Distinct feature places of byte strings; the last place is the bias."""
+    """Distinct feature places of byte strings."""
 
     def __init__(self):
-        self.stamp = np.zeros(1 << BITS, np.int64)
+        self.stamp = np.zeros(SIZE, np.int64)
+        self.powers = np.ones(1, np.uint64)
+        self.inverse = np.ones(1, np.uint64)
+
+    def longest_run(self, data: np.ndarray) -> int:
+        """The most times in a row that a word occurs, by hashes of words from running sums."""
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]]).astype(np.int8)))
+        start, stop = edge[::2], edge[1::2]
+        if len(start) < 2:
+            return len(start)
+        while len(self.powers) <= len(data):
+            n = np.uint64(len(self.powers))
+            self.powers = np.concatenate([self.powers, self.powers * _power(_BASE, n)])
+            self.inverse = np.concatenate([self.inverse, self.inverse * _power(_INVERSE, n)])
+        total = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)]))
+        word = (total[stop] - total[start]) * self.inverse[start]
+        breaks = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]]))
+        return int(np.diff(breaks).max())
 
     def __call__(self, data: np.ndarray) -> np.ndarray:
         out = []
@@ -49,7 +79,9 @@ class Indicators:
             order = np.arange(m)
             self.stamp[at] = order
             out.append(at[self.stamp[at] == order])
-        found = np.concatenate(out) if out else np.zeros(0, np.int64)
+        run = self.longest_run(data)
+        out.append(np.array([(1 << BITS) + k for k, n in enumerate(RUNS) if run >= n], np.int64))
+        found = np.concatenate(out)
         order = np.arange(len(found))
         self.stamp[found] = order
         return found[self.stamp[found] == order]
@@ -72,16 +104,16 @@ class Model:
 
 
 def log_count_ratio(rows: list[np.ndarray], label: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
-    counts = [np.full(1 << BITS, smoothing), np.full(1 << BITS, smoothing)]
+    counts = [np.full(SIZE, smoothing), np.full(SIZE, smoothing)]
     for places, y in zip(rows, label):
         counts[int(y)][places] += 1
     p, q = counts[1] / counts[1].sum(), counts[0] / counts[0].sum()
     return np.log(p / q)
 
 
-def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, cost: np.ndarray, epochs: int = 15, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear hinge-loss model for rows of length 1, with the bias as one more feature of value 1."""
-    w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
+def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, cost: float, epochs: int = 10, seed: int = 1) -> tuple[np.ndarray, float]:
+    """Weights and bias of the linear hinge-loss model with the bias as one more feature of value 1."""
+    w, bias, alpha = np.zeros(SIZE), 0.0, np.zeros(len(rows))
     sign = np.where(label == 1, 1.0, -1.0)
     square = np.array([float(v @ v) for v in values]) + 1.0
     order, rng = np.arange(len(rows)), np.random.default_rng(seed)
@@ -90,7 +122,7 @@ def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], label: np.nda
         most = 0.0
         for i in order:
             gradient = sign[i] * (w[rows[i]] @ values[i] + bias) - 1.0
-            new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
+            new = min(max(alpha[i] - gradient / square[i], 0.0), cost)
             step = new - alpha[i]
             if step:
                 alpha[i] = new
@@ -122,23 +154,26 @@ def fit(rows: list[np.ndarray], label: np.ndarray, cost: float = 1.0) -> Model:
     n1 = int(label.sum())
     if not 0 < n1 < len(label):
         share = (n1 + 1) / (len(label) + 2)
-        return Model(np.zeros(1 << BITS), np.ones(1 << BITS), 0.0, 1.0, float(np.log(share / (1 - share))))
-    seen = np.arange(len(rows)) % 4 != 3
-    if not 0 < label[seen].sum() < seen.sum() or not 0 < label[~seen].sum() < (~seen).sum():
-        seen[:] = True
-    some = [r for r, s in zip(rows, seen) if s]
-    ratio = log_count_ratio(some, label[seen])
-    values = [v / max(np.linalg.norm(v), 1e-12) for v in (ratio[r] for r in some)]
-    share = label[seen].mean()
-    weight = np.where(label[seen] == 1, 0.5 / share, 0.5 / (1 - share)) * cost
-    w, bias = dual_descent(some, values, label[seen], weight)
-    model = Model(w * ratio, ratio**2, bias, 1.0, 0.0)
-    check = ~seen if not seen.all() else seen
-    margin = np.array([model.margin(r) for r, s in zip(rows, check) if s])
-    model.slope, model.offset = calibrate(margin, label[check])
+        return Model(np.zeros(SIZE), np.ones(SIZE), 0.0, 1.0, float(np.log(share / (1 - share))))
+    fold = np.arange(len(rows)) % FOLDS
+    margin = np.zeros(len(rows))
+    for k in range(FOLDS):
+        part = [r for r, f in zip(rows, fold) if f != k]
+        own = _fit(part, label[fold != k], cost) if 0 < label[fold != k].sum() < len(part) else None
+        for i in np.flatnonzero(fold == k).tolist():
+            margin[i] = own.margin(rows[i]) if own else 0.0
+    model = _fit(rows, label, cost)
+    model.slope, model.offset = calibrate(margin, label)
     return model
 
 
+def _fit(rows: list[np.ndarray], label: np.ndarray, cost: float) -> Model:
+    ratio = log_count_ratio(rows, label)
+    values = [v / max(np.linalg.norm(v), 1e-12) for v in (ratio[r] for r in rows)]
+    w, bias = dual_descent(rows, values, label, cost)
+    return Model(w * ratio, ratio**2, bias, 1.0, 0.0)
+
+
 def held_out(key: str = "doc_id", of: int = 4, rest: int = 2):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % of == rest, F.lit(False))
 
