@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import byte_bpe, edit_embedding, nbsvm, ogg, packing, pii, simhash, token_counts, token_files
+from strata.llm import byte_bpe, edit_embedding, lattice_lm, nbsvm, ogg, packing, pii, simhash, token_counts, token_files
 from strata.llm.common import documents
 
 
@@ -22,6 +22,11 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), bits=3, words=3, seed=42)
 
 
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return lattice_lm.score_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), class_by="lang", of=7, rest=2)
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents(spark, sf_dir))
 
@@ -47,6 +52,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ogg_media, op3_simhash_groups, op5_personal_data, op6_token_files, op7_edit_fingerprints, op8_best_fit_packing, op9_quality_classifier, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ogg_media, op3_simhash_groups, op4_lattice_lm, op5_personal_data, op6_token_files, op7_edit_fingerprints, op8_best_fit_packing, op9_quality_classifier, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -207,7 +207,11 @@ def near_duplicates(docs: DataFrame, bits: int = 3, words: int = 3, seed: int =
     found = connected_components(links(distinct, distinct.count(), bits)).withColumnRenamed("node", "fp")
     least = found.join(distinct, "fp").groupBy("root").agg(F.min("rep").alias("least"))
     linked = found.join(least, "root").select("fp", "least")
-    named = (distinct.join(linked, "fp", "left").filter("rows > 1 or least is not null")
-             .select("fp", F.coalesce("least", "rep").alias("component_id"), F.lit(True).alias("shared")))
-    own = F.when(F.col("shared"), F.col("component_id")).otherwise(F.col(key))
-    return marked.join(named, "fp", "left").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), own.alias("component_id"))
+    named = materialise(distinct.join(linked, "fp", "left").filter("rows > 1 or least is not null")
+             .select("fp", "rows", F.coalesce("least", "rep").alias("component_id")), "named")
+    # a fingerprint of a thousandth of the rows or more is hot: there are a thousand at most, which are broadcast
+    few = named.filter(F.col("rows") * 1000 >= marked.count()).select("fp", "component_id")
+    rest = named.select("fp", "component_id", F.lit(True).alias("shared"))
+    hot = marked.join(F.broadcast(few), "fp")
+    cold = marked.join(F.broadcast(few), "fp", "left_anti").join(rest, "fp", "left").withColumn("component_id", F.when(F.col("shared"), F.col("component_id")).otherwise(F.col(key)))
+    return hot.unionByName(cold.drop("shared")).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
