@@ -2,19 +2,132 @@
 
 from __future__ import annotations
 
-from strata.operators import diversity as dv
-from strata.sources.tables import OCCURRENCES_SQL, occurrences
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-BIN = "round_even(mid_ma/5, 0)*5"
+from strata.operators import climate, diversity, extinction_model, network, ranges, taxonomy, turnover
+from strata.sources.tables import OCCURRENCES_SQL, occurrences
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: Names that mark the demonstration data's clade.
+CLADE = ("Brand#1", "Brand#2", "Brand#3")
+_CLADE = "('Brand#1', 'Brand#2', 'Brand#3')"
+
+
+def _bin(column: str, width: int = 5) -> str:
+    return f"(round_even({column}/{width}.0e0, 0)*{width}.0e0 + 0.0e0)"
 
-def _add(name, build, sql=None):
+
+def _add(name: str, build: Callable[[DataFrame], DataFrame], *ctes: str) -> None:
+    """``ctes``: further common table expressions; the last item is the query itself."""
     QUERIES[name] = lambda spark, sf_dir: build(occurrences(spark, sf_dir))
-    if sql:
-        ORACLE_SQL[name] = f"with {OCCURRENCES_SQL} {sql}"
+    if ctes:
+        ORACLE_SQL[name] = f"with {', '.join([OCCURRENCES_SQL, *ctes[:-1]])} {ctes[-1]}"
+
+
+def _rounded(build: Callable[[DataFrame], DataFrame], *columns: str, places: int = 6) -> Callable[[DataFrame], DataFrame]:
+    """Doubles from sums are rounded for comparison, as their last digits depend on the order of rows."""
+    return lambda occ: (out := build(occ)).withColumns({c: F.round(out[c], places) for c in columns})
+
+
+DATED = f"dated as (select *, {_bin('mid_ma')} as time_bin from occ where mid_ma is not null and genus is not null)"
+PLACED = f"placed as (select *, {_bin('mid_ma')} as time_bin, {_bin('lat')} as lat_bin, {_bin('lng')} as lng_bin from occ where mid_ma is not null and genus is not null and lat is not null and lng is not null)"
+RANGES = "ranges as (select genus, max(mid_ma) as first_appearance, min(mid_ma) as last_appearance, count(*) as occurrences, max(mid_ma)-min(mid_ma) as duration from dated group by genus)"
+MESOZOIC = "meso as (select * from placed where mid_ma between 66 and 252)"
+WHOLE = "printf('%.0f', round_even({}, 0))"
+ONE = "round_even({}, 1)"
+TEMPERATURE = "case when {t} <= 0 then 14.0e0 " + " ".join(f"when {{t}} <= {b} then {ta}.0e0 + ({{t}} - {a}.0e0) * ({tb - ta}.0e0/{b - a}.0e0)" for (a, ta), (b, tb) in zip(climate.KNOTS, climate.KNOTS[1:])) + " else 24.0e0 end"
+INDEXED = "bins as (select time_bin, row_number() over (order by time_bin desc) as i from (select distinct time_bin from {rows}))"
+SPREAD = "flags as (select event, genus, bool_or(mid_ma <= hi and mid_ma > hi-15) as before, bool_or(mid_ma >= lo and mid_ma < lo+15) as after from dated, (values ('End-Permian (252 Ma)', 260.0e0, 245.0e0), ('End-Triassic (201 Ma)', 210.0e0, 195.0e0), ('End-Cretaceous (66 Ma)', 70.0e0, 60.0e0)) e(event, hi, lo) group by 1, 2)"
+
+_add("diversity_curve", diversity.diversity_curve, DATED, "select time_bin, count(distinct genus) as diversity from dated group by 1")
+_add("diversity_curve_geo", lambda o: diversity.diversity_curve(o, required=diversity.PLACED), PLACED, "select time_bin, count(distinct genus) as diversity from placed group by 1")
+_SQS = ("counts as (select time_bin, genus, count(*) as n from dated group by 1, 2)",
+        "cum as (select time_bin, n, sum(n) over (partition by time_bin order by n desc, genus rows unbounded preceding) as c, sum(n) over (partition by time_bin) as t from counts)")
+_add("sqs_diversity", diversity.sqs_diversity, DATED, *_SQS, "select time_bin, count(*) filter (2*(c-n) < t) as sqs_diversity from cum group by 1")
+_add("sqs_diversity_float", lambda o: diversity.sqs_diversity(o, float_compat=True))
+_add("latitudinal_centroid", _rounded(diversity.latitudinal_centroid, "mean_abs_lat"), PLACED,
+     "select time_bin, round(avg(abs(lat)), 6) as mean_abs_lat, count(*) as n, count(distinct genus) as diversity from placed group by 1 having count(*) >= 100")
+
+_RATES = (DATED, INDEXED.format(rows="dated"), "there as (select distinct genus, time_bin, i from dated join bins using (time_bin))",
+          "near as (select *, lag(i) over (partition by genus order by i) as before, lead(i) over (partition by genus order by i) as after from there)",
+          "rates as (select time_bin, count(*) as total_genera, count(*) filter (before is null or before <> i-1) as originations, count(*) filter (after is null or after <> i+1) as extinctions from near group by 1)",
+          "shares as (select *, originations::double/total_genera as origination_rate, extinctions::double/total_genera as extinction_rate from rates)")
+_SHOWN = ("origination_rate", "extinction_rate")
+_add("turnover_rates", _rounded(turnover.turnover_rates, *_SHOWN), *_RATES, "select time_bin, total_genera, originations, extinctions, round(origination_rate, 6) as origination_rate, round(extinction_rate, 6) as extinction_rate from shares")
+_add("mass_extinctions", _rounded(lambda o: turnover.mass_extinctions(turnover.turnover_rates(o)), *_SHOWN), *_RATES,
+     "select time_bin, total_genera, originations, extinctions, round(origination_rate, 6) as origination_rate, round(extinction_rate, 6) as extinction_rate, extinction_rate > (select avg(extinction_rate) + 2*stddev_pop(extinction_rate) from shares) as is_mass_extinction from shares")
+
+_add("genus_ranges", ranges.genus_ranges, DATED, RANGES, "select * from ranges")
+_TOP = "select genus, " + ", ".join(f"{ONE.format(c)} as {n}" for c, n in (("first_appearance", "first_appearance"), ("last_appearance", "last_appearance"), ("duration", "duration_myr"))) + f", occurrences, concat({WHOLE.format('first_appearance')}, '-', {WHOLE.format('last_appearance')}, ' Ma') as age_range from (select * from ranges where duration > 0 {{more}} order by duration desc, genus limit 15)"
+_add("survivor_champions", ranges.survivor_champions, DATED, RANGES, _TOP.format(more=""))
+_add("survivor_champions_min3", lambda o: ranges.survivor_champions(o, more_than=2), DATED, RANGES, _TOP.format(more="and occurrences > 2"))
+_add("most_common_genera", ranges.most_common_genera, DATED, RANGES, f"select genus, occurrences, concat({WHOLE.format('first_appearance')}, '-', {WHOLE.format('last_appearance')}) as age_range from ranges order by occurrences desc, genus limit 10")
+_add("rarest_genera", ranges.rarest_genera, DATED, "select genus, count(*) as occurrences, round_even(avg(mid_ma), 1) as age_ma from dated group by 1 order by 2, 1 limit 10")
+_add("geographic_champions", ranges.geographic_champions, PLACED, f"select genus, count(distinct ({_bin('lat', 10)}, {_bin('lng', 10)})) as unique_regions from placed group by 1 order by 2 desc, 1 limit 10")
+_add("extinction_events", ranges.extinction_events, DATED, SPREAD,
+     "sums as (select event, count(*) filter (before) as genera_before, count(*) filter (after) as genera_after, count(*) filter (before and after) as genera_surviving from flags where before or after group by 1)",
+     "select *, round_even(genera_surviving/genera_before*100, 1) as survival_rate from sums where genera_before > 0 and genera_after > 0")
+_add("extinction_event_members", ranges.extinction_event_members, DATED, SPREAD,
+     "kinds as (select event, case when before and after then 'survivor' when before then 'victim' else 'newcomer' end as kind, genus from flags where before or after)",
+     "select * from (select event, kind, genus, row_number() over (partition by event, kind order by genus) as position from kinds) where position <= 10")
+_HISTOGRAM = f"hist as (select {_bin('first_appearance', 10)} as time_ma, count(*) as new_genera from ranges group by 1)"
+_add("origination_histogram", ranges.origination_histogram, DATED, RANGES, _HISTOGRAM, "select * from hist")
+_add("peak_origination", ranges.peak_origination, DATED, RANGES, _HISTOGRAM, "select * from hist order by new_genera desc, time_ma limit 1")
+_add("global_stats", ranges.global_stats, DATED, "select count(*) as total_occurrences, count(distinct genus) as total_genera, max(mid_ma) as oldest, min(mid_ma) as youngest from dated")
+_add("era_counts", ranges.era_counts, "select case when mid_ma <= 66 then 'Cenozoic' when mid_ma <= 252 then 'Mesozoic' else 'Paleozoic' end as era, count(*) as occurrences from occ where mid_ma > 0 and mid_ma <= 541 group by 1")
+_add("occurrence_map", ranges.occurrence_map, "select lat, lng, count(*) as occurrences from occ where lat is not null and lng is not null group by 1, 2")
+_add("mesozoic_top_genera", ranges.mesozoic_top_genera, PLACED, MESOZOIC, "select genus, count(*) as occurrences, round_even(avg(mid_ma), 0) as avg_age_ma from meso group by 1 order by 2 desc, 1 limit 15")
+_add("period_breakdown", ranges.period_breakdown, PLACED, MESOZOIC,
+     "select p.period, count(distinct genus) as genera, count(genus) as occurrences from (values ('Triassic'), ('Jurassic'), ('Cretaceous')) p(period) left join meso on p.period = case when mid_ma > 201 then 'Triassic' when mid_ma > 145 then 'Jurassic' else 'Cretaceous' end group by 1")
+_add("hemisphere_diversity", ranges.hemisphere_diversity, PLACED, MESOZOIC, "select case when lat > 0 then 'Northern' else 'Southern' end as hemisphere, count(distinct genus) as genera from meso group by 1")
+_EXPLORER = (PLACED, "refs as (select genus, primary_reference, row_number() over (partition by genus order by count(*) desc, primary_reference) as k from placed where primary_reference is not null group by 1, 2)",
+             "explorer as (select genus, min(mid_ma) as min_age, max(mid_ma) as max_age, count(*) as occurrences, coalesce(any_value(r.primary_reference), 'Unknown') as reference from placed left join (select genus, primary_reference from refs where k = 1) r using (genus) group by 1)")
+_add("genus_explorer", ranges.genus_explorer, *_EXPLORER, "select * from explorer")
+_add("explorer_search", lambda o: ranges.explorer_search(ranges.genus_explorer(o), "g12"), *_EXPLORER, "select * from explorer where contains(lower(genus), 'g12')")
+_add("explorer_page", lambda o: ranges.explorer_page(ranges.genus_explorer(o), 3), *_EXPLORER, "select * from explorer order by occurrences desc, genus limit 15 offset 30")
+_add("map_sample", ranges.map_sample)
+
+_FILLED = """filled as (select coalesce(phylum, 'Unknown') as p, coalesce("class", 'Unknown') as c, coalesce("order", 'Unknown') as o from occ)"""
+_add("sunburst", taxonomy.sunburst, _FILLED, "top as (select o from filled group by 1 order by count(*) desc, o limit 50)",
+     "select case when grouping_id(p, c, o)=3 then p when grouping_id(p, c, o)=1 then concat_ws('-', p, c) else concat_ws('-', p, c, o) end as id, case when grouping_id(p, c, o)=3 then p when grouping_id(p, c, o)=1 then c else o end as label, "
+     "case when grouping_id(p, c, o)=3 then '' when grouping_id(p, c, o)=1 then p else concat_ws('-', p, c) end as parent, count(*) as value from filled where o in (select o from top) group by grouping sets ((p), (p, c), (p, c, o))")
+_IN = f"""clade as (select *, {_bin('mid_ma')} as time_bin from occ where ("class" in {_CLADE} or "order" in {_CLADE} or phylum in {_CLADE}) and mid_ma is not null)"""
+_add("clade_stats", lambda o: taxonomy.clade_stats(o, CLADE), _IN, f"select count(distinct genus) as total_genera, count(*) as total_occurrences, concat({WHOLE.format('max(max_ma)')}, ' - ', {WHOLE.format('min(min_ma)')}, ' Ma') as time_range from clade")
+_add("clade_top_genera", lambda o: taxonomy.clade_top_genera(o, CLADE), _IN, "select genus, count(*) as occurrences from clade where genus is not null group by 1 order by 2 desc, 1 limit 10")
+_add("clade_diversity", lambda o: taxonomy.clade_diversity(o, CLADE), _IN, "select time_bin, count(distinct genus) as diversity from clade group by 1")
+
+QUERIES["temperature_curve"] = lambda spark, sf_dir: climate.temperature_curve(spark).withColumn("temperature", F.round("temperature", 6))
+ORACLE_SQL["temperature_curve"] = f"select t::double as time, round({TEMPERATURE.format(t='t::double')}, 6) as temperature from range(541) r(t)"
+_SERIES = (DATED, f"series as (select time_bin, count(distinct genus) as diversity, {TEMPERATURE.format(t='time_bin')} as temperature from dated group by 1)")
+_add("climate_timeseries", _rounded(climate.climate_timeseries, "temperature"), *_SERIES, "select time_bin, diversity, round(temperature, 6) as temperature from series")
+_add("climate_correlation", _rounded(lambda o: climate.correlation(climate.climate_timeseries(o), "diversity", "temperature"), "correlation"), *_SERIES, "select round(coalesce(corr(diversity, temperature), 0), 6) as correlation from series")
+
+_FEATURES = (PLACED, INDEXED.format(rows="placed"),
+             "there as (select genus, time_bin, i, count(distinct (lat_bin, lng_bin)) as geographic_range, count(*) as abundance, max(lat)-min(lat) as lat_range, count(distinct environment) as env_breadth from placed join bins using (time_bin) group by 1, 2, 3)",
+             "features as (select genus, time_bin, geographic_range, abundance, lat_range, env_breadth, row_number() over w - 1 as age, case when lead(i) over w = i+1 then 0 else 1 end::bigint as extinct_next_bin from there window w as (partition by genus order by i) qualify i < (select max(i) from bins))")
+_add("extinction_features", turnover.extinction_features, *_FEATURES, "select * from features")
+_add("extinction_rate", _rounded(lambda o: turnover.extinction_rate(turnover.extinction_features(o)), "extinction_rate"), *_FEATURES, "select count(*) as samples, round(avg(extinct_next_bin), 6) as extinction_rate from features")
+
+_EDGES = "select distinct {by} a.locality as src, b.locality as dst from {rows} a join {rows} b on {on} a.genus = b.genus and a.locality < b.locality"
+_TEXT = "concat(printf('%.1f', {}), ',', printf('%.1f', {}))"
+_add("bin_projection_edges", network.bin_projection_edges, PLACED, f"e as (select distinct time_bin, {_TEXT.format('lat_bin', 'lng_bin')} as locality, genus from placed)", _EDGES.format(by="a.time_bin,", rows="e", on="a.time_bin = b.time_bin and"))
+_add("locality_network_edges", network.locality_network_edges, f"p as (select {_TEXT.format(_bin('lat'), _bin('lng'))} as locality, genus from occ where lat is not null and lng is not null and genus is not null)",
+     "top as (select locality from p group by 1 order by count(*) desc, locality limit 50)", "e as (select distinct locality, genus from p where locality in (select locality from top))", _EDGES.format(by="", rows="e", on=""))
+_add("biogeographic_dynamics", network.biogeographic_dynamics)
+_add("null_model", lambda o: network.null_model_summary(network.null_model(o)))
+
+
+def _model(occ: DataFrame) -> extinction_model.ExtinctionModel:
+    found = extinction_model.fit(turnover.extinction_features(occ).persist())
+    if found is None:
+        raise ValueError("too few samples")
+    return found
 
 
-_add("diversity_curve", dv.diversity_curve, f"select {BIN} as time_bin, count(distinct genus) as diversity from occ where mid_ma is not null and genus is not null group by 1")
+_add("extinction_model_metrics", lambda o: extinction_model.metrics(_model(o)))
+_add("feature_importances", lambda o: extinction_model.feature_importances(_model(o)))
