@@ -1,0 +1,134 @@
+"""Byte-level BPE, token counts, token files: against the libraries themselves."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
+import pytest
+import tiktoken
+from tokenizers import Tokenizer
+
+from strata.llm import byte_bpe, token_counts, token_files
+from strata.llm.common import text_buffer
+from strata.llm.segments import library_encoder
+
+RANKS = P.path("byte_bpe_50k.tiktoken")
+ALPHABET = [*"ab Z'.,!  \n\t;x9", *map(chr, (0xA0, 0x3000, 0x85, 0x1C, 0x301, 0xE9, 0x661, 0xB7, 0x200B, 0x2028, 0x6F22, 0x1F642, 0)), "<|endoftext|>", "<|startoftext|>", "don't", "\r\n", "the ", "HELLO", "123"]
+
+
+def random_texts(n, seed=5):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 50))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def plain():
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+
+
+def ids_sha(ids):
+    return hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_rank_tokenizer_gives_what_tiktoken_gives(plain):
+    encoder, decoder = byte_bpe._coder(RANKS, P.PATTERN)
+    texts = random_texts(3000)
+    data, offsets = text_buffer(pa.array(texts))
+    ids, places = encoder.encode(data, offsets)
+    assert all(ids[places[k] : places[k + 1]].tolist() == plain.encode_ordinary(t) for k, t in enumerate(texts))
+    assert decoder.decode(ids)[0].tobytes() == data.tobytes()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_segments_give_what_whole_texts_give(name):
+    tokenizer = Tokenizer.from_file(P.path(name))
+    encoder = library_encoder(tokenizer, max_entries=500)  # so small that the table is cleared on the way
+    texts = random_texts(2000, 9) + ["w" * 300 + " " + "long " * 9000 + chr(0x2028)]
+    for a in range(0, len(texts), 100):
+        data, offsets = text_buffer(pa.array(texts[a : a + 100]))
+        ids, places = encoder.encode(data, offsets)
+        for k, t in enumerate(texts[a : a + 100]):
+            assert ids[places[k] : places[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_split_characters_decode():
+    encoder, decoder = byte_bpe._coder(RANKS, P.PATTERN)
+    text = chr(0x1F9EC) + chr(0x6F22) + "x" + chr(0x1F642)
+    data, offsets = text_buffer(pa.array([text]))
+    ids = encoder.encode(data, offsets)[0]
+    parts = list(decoder.stream(ids))
+    assert "".join(parts) == text and "" in parts
+    assert "".join(decoder.stream(ids[:1])) == chr(0xFFFD)
+
+
+def test_round_trip_query(docs, rows, plain):
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, r.lossless) for r in byte_bpe.round_trip(docs, RANKS, P.PATTERN).collect())
+    want = Counter((k, len(ids := plain.encode_ordinary(t or "")), ids_sha(ids), hashlib.sha256((t or "").encode()).hexdigest(), True) for k, t in rows)
+    assert got == want
+
+
+def test_encode_offsets_and_decode(docs, rows, plain):
+    encoded = byte_bpe.encode(docs, RANKS, P.PATTERN).persist()
+    for r in encoded.collect():
+        assert len(r.ids) == len(r.byte_offsets) and list(r.byte_offsets) == sorted(r.byte_offsets) and (not r.ids or r.byte_offsets[0] == 0)
+    got = Counter((r.doc_id, bytes(r.data)) for r in byte_bpe.decode(encoded, RANKS, P.PATTERN).collect())
+    assert got == Counter((k, (t or "").encode()) for k, t in rows)
+    encoded.unpersist()
+
+
+def test_empty_tables(empty):
+    assert byte_bpe.round_trip(empty, RANKS, P.PATTERN).count() == 0
+    assert token_counts.count_tokens(empty, P.path("byte_bpe_50k.json")).count() == 0
+    assert token_files.token_files(empty, P.path("word_bpe_49k.json"), 2).count() == 0
+
+
+def test_resynchronised_counts():
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    counter = token_counts.ResyncCounter(tokenizer, chunk=200, overlap=12)
+    texts = random_texts(800, 3) + [" ".join(random_texts(60, 4)), "a" * 3000, " " * 2000, chr(0x6F22) * 900, "<|endoftext|>" * 100, "x<|endoftext|>." * 100, (chr(0xE9) + ",") * 500]
+    for t in texts:
+        assert counter.count(t) == len(tokenizer.encode(t, add_special_tokens=False).ids)
+    assert counter.widened > 0
+
+
+@pytest.mark.parametrize("chunk", [300, 32_768])
+def test_count_query(docs, rows, chunk):
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs, P.path("byte_bpe_50k.json"), chunk=chunk, overlap=64 if chunk < 1000 else 256).collect())
+    want = Counter((k, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False).ids), n > 1024) for k, t in rows)
+    assert got == want
+
+
+def test_sentencepiece_counts(make):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    texts = [(1, "hello world"), (2, ""), (3, None)]
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(make(texts), P.path("piece_bpe_32k.model")).collect()}
+    assert got == {k: len(model.encode(t or "")) for k, t in texts}
+
+
+def test_token_files(docs, rows):
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    found = token_files.token_files(docs, P.path("word_bpe_49k.json"), 2, parts=5).collect()
+    ids = {t: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in {t or "" for _, t in rows}}
+    order = sorted(((-(1 << 63) if k is None else k, t or ""), k) for k, t in rows)
+    at, want = 0, []
+    for (_, t), k in order:
+        want.append((k, at, len(ids[t]), zlib.crc32(np.array(ids[t], "<u4").tobytes())))
+        at += len(ids[t])
+    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in found), key=lambda r: r[1]) == want
+
+
+def test_token_files_refuse_wide_ids(spark, make, tmp_path):
+    with pytest.raises(Exception, match="more bits"):
+        token_files.write_corpus(make([(1, "a")]), str(tmp_path / "c"), P.path("word_bpe_49k.json"), 70_000, 1).collect()
+    shards = token_files.manifest_with_bases(token_files.write_corpus(make([(1, "a")]), str(tmp_path / "d"), P.path("word_bpe_49k.json"), 70_000, 1, wide=True))
+    assert token_files.read_corpus(spark, str(tmp_path / "d"), shards, wide=True).first().n_tokens == 2
+    assert token_files.open_flat(str(tmp_path / "d"), "tokens", 0, "<u4")[-1] == 70_000
