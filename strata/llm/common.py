@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,7 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
-    return found.rstrip("/") if found else tempfile.mkdtemp(prefix="strata-")
+    return found.rstrip("/") if found else _own_dir()
+
+
+@functools.cache
+def _own_dir() -> str:
+    made = tempfile.mkdtemp(prefix="strata-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
