@@ -6,8 +6,8 @@ by the smoothed log-count ratio of its place between the classes, rows are broug
 loss is fitted by dual coordinate descent.  Margins become scores through a logistic curve fitted to margins from models that have not
 seen the row's fold; the model itself is fitted to all rows.
 
-The model is fitted on at most ``max_rows`` labelled rows (the first by a hash of the key), gathered on the driver as hashed
-indicators; its size is fixed.  Every text is scored as a whole.
+The model is fitted on at most ``max_rows`` labelled rows (the first by a hash of the key), whose indicators meet in one task; the
+driver only gets the model, whose size is fixed.  Every text is scored as a whole.
 
 Defined results: null text counts as empty, whose score comes from the bias alone; a key with several texts or labels trains with
 the least text and label; without both classes among the labelled rows every score is their smoothed share; an empty table
@@ -95,6 +95,14 @@ class Model:
     slope: float
     offset: float
 
+    def packed(self) -> bytes:
+        return np.concatenate([[self.bias, self.slope, self.offset], self.weights, self.squares]).astype("<f8").tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Model:
+        x = np.frombuffer(data, "<f8")
+        return cls(x[3 : 3 + SIZE], x[3 + SIZE :], *map(float, x[:3]))
+
     def margin(self, places: np.ndarray) -> float:
         size = np.sqrt(self.squares[places].sum())
         return float(self.weights[places].sum() / size if size else 0.0) + self.bias
@@ -169,7 +177,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, cost: float = 1.0) -> Model:
 
 def _fit(rows: list[np.ndarray], label: np.ndarray, cost: float) -> Model:
     ratio = log_count_ratio(rows, label)
-    values = [v / max(np.linalg.norm(v), 1e-12) for v in (ratio[r] for r in rows)]
+    values = [(v / max(np.linalg.norm(v), 1e-12)).astype(np.float32) for v in (ratio[r] for r in rows)]
     w, bias = dual_descent(rows, values, label, cost)
     return Model(w * ratio, ratio**2, bias, 1.0, 0.0)
 
@@ -200,8 +208,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     usable = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.min(label).cast("int").alias("_label"))
     chosen = F.broadcast(usable.orderBy(F.xxhash64(key), key).limit(max_rows))  # at most max_rows keys and labels
     marked = docs.select(key, text).join(chosen, key).groupBy(key, "_label").agg(F.min(F.coalesce(text, F.lit(""))).alias(text))
-    found = sorted((r[key], r["_label"], r["places"]) for r in indicator_rows(marked, text, (key, "_label")).collect())
-    return fit([np.asarray(p, np.int64) for _, _, p in found], np.array([y for _, y, _ in found], int))
+    rows = indicator_rows(marked, text, (key, "_label")).repartition(1)  # at most max_rows
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            places, keys, labels = columns(batch, "places", key, "_label")
+            flat, at = places.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(places.value_lengths().to_numpy(zero_copy_only=False)))
+            held += [(k, y, flat[a:b]) for k, y, a, b in zip(keys.to_pylist(), labels.to_pylist(), at, at[1:])]
+        held.sort(key=lambda r: r[:2])
+        yield pa.RecordBatch.from_arrays([pa.array([fit([p for *_, p in held], np.array([y for _, y, _ in held], int)).packed()], pa.binary())], ["model"])
+
+    found = rows.mapInArrow(run, "model binary").first()
+    return Model.unpacked(bytes(found.model)) if found else fit([], np.zeros(0, int))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text", key: str = "doc_id") -> DataFrame:
