@@ -197,8 +197,8 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", seed:
 def near_groups(docs: DataFrame, least: float = 0.8, width: int = 8, text: str = "text", key: str = "doc_id", seed: int = 7) -> DataFrame:
     """(key, component_id): groups of documents linked by verified candidates.
 
-    Candidates share a band; each distinct fingerprint in a band is compared with the band's least one and with its neighbours in
-    the order of all digits, so a band's work grows with its rows and not with their pairs.
+    Candidates share a band; each distinct fingerprint in a band is compared with the band's least one, so a band's work grows with
+    its rows and not with their pairs.  Groups form around such documents.
     """
     marked = materialise(fingerprints(docs, text, key, seed), "embedded")
     distinct = marked.groupBy("fingerprint").agg(F.min(key).alias("rep"))
