@@ -147,3 +147,12 @@ def null_model_summary(null: DataFrame) -> DataFrame:
     drawn = null.filter("iteration >= 0 and modularity is not null").join(F.broadcast(observed), "time_bin")
     stats = drawn.groupBy("time_bin").agg(F.count("*").alias("permutations"), F.avg((F.col("modularity") >= F.col("observed_modularity")).cast("double")).alias("p_value"))
     return observed.join(stats, "time_bin", "left").withColumn("significant", F.col("p_value") < 0.05)
+
+
+def null_histogram(null: DataFrame, bins: int = 20) -> DataFrame:
+    """Permutations in ``bins`` equal classes between the least and the largest modularity: (class from 1, lower edge, number)."""
+    drawn = null.filter("iteration >= 0 and modularity is not null").select("modularity")
+    ends = F.broadcast(drawn.agg(F.min("modularity").alias("lo"), F.max("modularity").alias("hi")))
+    step = (F.col("hi") - F.col("lo")) / bins
+    number = F.when(step > 0, F.least(F.floor((F.col("modularity") - F.col("lo")) / F.when(step > 0, step)), F.lit(bins - 1))).otherwise(0).cast("int") + 1
+    return drawn.join(ends).select(number.alias("class"), (F.col("lo") + (number - 1) * step).alias("from_modularity")).groupBy("class", "from_modularity").agg(F.count("*").alias("permutations"))

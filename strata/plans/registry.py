@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators import climate, diversity, extinction_model, network, ranges, taxonomy, turnover
+from strata.sources import normalize
+from strata.streaming import occurrences as stream
 from strata.sources.tables import OCCURRENCES_SQL, occurrences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +64,10 @@ _add("turnover_rates", _rounded(turnover.turnover_rates, *_SHOWN), *_RATES, "sel
 _add("mass_extinctions", _rounded(lambda o: turnover.mass_extinctions(turnover.turnover_rates(o)), *_SHOWN), *_RATES,
      "select time_bin, total_genera, originations, extinctions, round(origination_rate, 6) as origination_rate, round(extinction_rate, 6) as extinction_rate, extinction_rate > (select avg(extinction_rate) + 2*stddev_pop(extinction_rate) from shares) as is_mass_extinction from shares")
 
+_add("mass_extinctions_inner", _rounded(lambda o: turnover.mass_extinctions(turnover.turnover_rates(o), exclude_edge_bins=True), *_SHOWN), *_RATES,
+     "inner_bins as (select * from shares where time_bin > (select min(time_bin) from shares) and time_bin < (select max(time_bin) from shares))",
+     "select s.time_bin, s.total_genera, s.originations, s.extinctions, round(s.origination_rate, 6) as origination_rate, round(s.extinction_rate, 6) as extinction_rate, coalesce(i.extinction_rate > (select avg(extinction_rate) + 2*stddev_pop(extinction_rate) from inner_bins), false) as is_mass_extinction from shares s left join inner_bins i using (time_bin)")
+
 _add("genus_ranges", ranges.genus_ranges, DATED, RANGES, "select * from ranges")
 _TOP = "select genus, " + ", ".join(f"{ONE.format(c)} as {n}" for c, n in (("first_appearance", "first_appearance"), ("last_appearance", "last_appearance"), ("duration", "duration_myr"))) + f", occurrences, concat({WHOLE.format('first_appearance')}, '-', {WHOLE.format('last_appearance')}, ' Ma') as age_range from (select * from ranges where duration > 0 {{more}} order by duration desc, genus limit 15)"
 _add("survivor_champions", ranges.survivor_champions, DATED, RANGES, _TOP.format(more=""))
@@ -90,6 +96,11 @@ _EXPLORER = (PLACED, "refs as (select genus, primary_reference, row_number() ove
 _add("genus_explorer", ranges.genus_explorer, *_EXPLORER, "select * from explorer")
 _add("explorer_search", lambda o: ranges.explorer_search(ranges.genus_explorer(o), "g12"), *_EXPLORER, "select * from explorer where contains(lower(genus), 'g12')")
 _add("explorer_page", lambda o: ranges.explorer_page(ranges.genus_explorer(o), 3), *_EXPLORER, "select * from explorer order by occurrences desc, genus limit 15 offset 30")
+_add("quality_report", normalize.quality_report, "select source_db, count(*) as occurrences, count(mid_ma) as dated, min(mid_ma) as youngest, max(mid_ma) as oldest from occ group by 1")
+_add("running_genera", stream.running_genera, DATED, "select time_bin, genus, count(*) as occurrences from dated group by 1, 2")
+_add("normalized", normalize.conform, "select * from occ")
+_add("unique_occurrences", lambda o: normalize.drop_repeats(normalize.conform(o)).select("source_db", "occurrence_id"), "select distinct source_db, occurrence_id from occ")
+_add("stable_sample", lambda o: ranges.stable_sample(o.dropna(subset=list(diversity.PLACED)), 20_000))
 _add("map_sample", ranges.map_sample)
 
 _FILLED = """filled as (select coalesce(phylum, 'Unknown') as p, coalesce("class", 'Unknown') as c, coalesce("order", 'Unknown') as o from occ)"""
@@ -111,6 +122,7 @@ _FEATURES = (PLACED, INDEXED.format(rows="placed"),
              "there as (select genus, time_bin, i, count(distinct (lat_bin, lng_bin)) as geographic_range, count(*) as abundance, max(lat)-min(lat) as lat_range, count(distinct environment) as env_breadth from placed join bins using (time_bin) group by 1, 2, 3)",
              "features as (select genus, time_bin, geographic_range, abundance, lat_range, env_breadth, row_number() over w - 1 as age, case when lead(i) over w = i+1 then 0 else 1 end::bigint as extinct_next_bin from there window w as (partition by genus order by i) qualify i < (select max(i) from bins))")
 _add("extinction_features", turnover.extinction_features, *_FEATURES, "select * from features")
+_add("extinction_features_basic", lambda o: turnover.extinction_features(o, with_environment=False), *_FEATURES, "select * exclude (env_breadth) from features")
 _add("extinction_rate", _rounded(lambda o: turnover.extinction_rate(turnover.extinction_features(o)), "extinction_rate"), *_FEATURES, "select count(*) as samples, round(avg(extinct_next_bin), 6) as extinction_rate from features")
 
 _EDGES = "select distinct {by} a.locality as src, b.locality as dst from {rows} a join {rows} b on {on} a.genus = b.genus and a.locality < b.locality"
@@ -119,6 +131,7 @@ _add("bin_projection_edges", network.bin_projection_edges, PLACED, f"e as (selec
 _add("locality_network_edges", network.locality_network_edges, f"p as (select {_TEXT.format(_bin('lat'), _bin('lng'))} as locality, genus from occ where lat is not null and lng is not null and genus is not null)",
      "top as (select locality from p group by 1 order by count(*) desc, locality limit 50)", "e as (select distinct locality, genus from p where locality in (select locality from top))", _EDGES.format(by="", rows="e", on=""))
 _add("biogeographic_dynamics", network.biogeographic_dynamics)
+_add("null_histogram", lambda o: network.null_histogram(network.null_model(o)))
 _add("null_model", lambda o: network.null_model_summary(network.null_model(o)))
 
 

@@ -125,3 +125,15 @@ def normalize_folder(spark: SparkSession, source: str, raw_folder: str, out_fold
 def quality_report(occ: DataFrame) -> DataFrame:
     """Rows, dated rows and the span of ages of each source."""
     return occ.groupBy("source_db").agg(F.count("*").alias("occurrences"), F.count("mid_ma").alias("dated"), F.min("mid_ma").alias("youngest"), F.max("mid_ma").alias("oldest"))
+
+
+def preview(spark: SparkSession, path: str, columns: tuple[str, ...] = (), n: int = 5) -> DataFrame:
+    """The first rows of a raw CSV file, all columns or the given ones, to check a download."""
+    frame = read_csv(spark, path)
+    return (frame.select(*columns) if columns else frame).limit(n)
+
+
+def register(occ: DataFrame, name: str = "occurrences") -> DataFrame:
+    """Makes the table known to ``spark.sql`` under ``name``."""
+    occ.createOrReplaceTempView(name)
+    return occ
