@@ -165,6 +165,10 @@ def test_null_model_repeats_and_guards(spark):
     summary = network.null_model_summary(null).first()
     assert summary.permutations == 5 and 0 <= summary.p_value <= 1
     assert network.null_model(occ(spark, rows[:5]), 5).collect() == []
+    classes = network.null_histogram(null, 4).collect()
+    assert sum(r.permutations for r in classes) == 5 and all(1 <= r["class"] <= 4 for r in classes)
+    flat = spark.createDataFrame([(k, 5.0, 0.25) for k in range(-1, 3)], "iteration int, time_bin double, modularity double")
+    assert [tuple(r) for r in network.null_histogram(flat).collect()] == [(1, 0.25, 3)]
 
 
 def test_shuffled_rank_is_a_permutation(spark):

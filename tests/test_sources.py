@@ -50,6 +50,14 @@ def test_literal_null_policy(spark, tmp_path):
     assert {r.genus for r in neotoma.collect()} == {"None"}
 
 
+def test_preview_and_sql(spark, tmp_path):
+    _raw(tmp_path / "raw")
+    shown = normalize.preview(spark, str(tmp_path / "raw" / "pbdb_occurrences_1.csv"), ("genus", "max_ma"), 1)
+    assert [tuple(r) for r in shown.collect()] == [("Aa", "10")]
+    normalize.register(normalize.normalize_pbdb(normalize.read_pbdb(spark, str(tmp_path / "raw"))))
+    assert spark.sql("select count(*) as n from occurrences where genus is not null").first().n == 2
+
+
 def test_no_input(spark, tmp_path):
     os.makedirs(tmp_path / "empty")
     assert cli.main(["normalize", "--source", "pbdb", "--input", str(tmp_path / "empty"), "--output", str(tmp_path / "o")], spark) == 1
