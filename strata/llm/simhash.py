@@ -199,13 +199,14 @@ def links(distinct: DataFrame, n: int, bits: int = 3, least: float | None = None
     """(a, b): edges whose components are those of all pairs of ``fp`` in ``distinct`` within ``bits`` bits (and, with ``least``,
     whose ``sketch`` agree to that share).
 
-    ``n``: rows of ``distinct``.  ``sample_rows`` bounds the sample that shapes the upper trees.
+    ``n``: rows of ``distinct``.  About ``sample_rows`` of them, by a hash, shape the upper trees.
     """
     if bits > 7:
         raise ValueError("quarters with radius 1 cover up to 7 bits")
     masks = HALVES if bits <= 3 else QUARTERS
     carried = ["sketch"] if least is not None else []
-    sample = np.array([r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()], np.int64).view(np.uint64)
+    part = F.xxhash64("fp") <= min((sample_rows << 64) // max(1, n) - (1 << 63), (1 << 63) - 1)
+    sample = np.array(sorted(r.fp for r in distinct.select("fp").filter(part).collect()), np.int64).view(np.uint64)  # about sample_rows
     leaf = max(8, len(sample) * shard_rows // max(1, n))
     trees = [build_tree(sample, mask, leaf) for mask in masks]
 
