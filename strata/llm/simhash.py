@@ -10,9 +10,6 @@ above ``shard_rows`` rows after that are split into blocks of which every pair i
 on down to small leaves, where 64-bit distances are taken; a shard gives a spanning forest of its links, never all pairs.
 Up to 7 bits, four trees over quarters with radius 1 do the same.
 
-With ``least``, a link must also reach that Jaccard similarity of ``sketch_words``-word shingles, as estimated by a minwise
-sketch of ``SLOTS`` bytes which travels with the fingerprint; so a wider radius finds near copies and no unrelated texts.
-
 Defined results: null text counts as empty; texts without words have fingerprint 0 and are linked like others; equal
 fingerprints are one component, also over repeated rows; an empty table gives an empty result; a null key takes part but
 is never a component's name unless all its keys are null.
@@ -32,7 +29,6 @@ from strata.llm.components import connected_components
 
 HALVES = (np.uint64(0x00000000FFFFFFFF), np.uint64(0xFFFFFFFF00000000))
 QUARTERS = tuple(np.uint64(0xFFFF << 16 * k) for k in range(4))
-SLOTS = 128
 
 
 def shingle_hashes(found: list[bytes], words: int, seed: int):
@@ -59,21 +55,8 @@ def fingerprint(raw: bytes, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def sketch(raw: bytes, words: int = 5, seed: int = 42) -> bytes:
-    """Minwise sketch of the set of shingles: in each slot a byte of its least hash; an empty slot takes the next one that is not."""
-    least, found = np.full(SLOTS, 0xFFFFFFFFFFFFFFFF, np.uint64), raw.lower().split()
-    for h in shingle_hashes(found, words, seed) if found else ():
-        np.minimum.at(least, (h & np.uint64(SLOTS - 1)).astype(np.int64), h >> np.uint64(7))
-    full = np.flatnonzero(least != np.uint64(0xFFFFFFFFFFFFFFFF))
-    if not len(full):
-        return bytes(SLOTS)
-    every = np.arange(SLOTS)
-    of = full[np.searchsorted(full, every) % len(full)]
-    return (((least[of] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)) ^ ((every - of) % SLOTS).astype(np.uint64)).astype(np.uint8).tobytes()
-
-
-def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, sketch_words: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp long[, sketch binary]): the fingerprint's 64 bits as a signed number; a sketch if ``sketch_words`` is given."""
+def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, fp long): the fingerprint's 64 bits as a signed number."""
 
     def run(batches):
         for batch in batches:
@@ -81,10 +64,9 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, sketch_words:
             data, offsets = text_buffer(texts)
             raws = [data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             marks = np.fromiter((fingerprint(r, words, seed) for r in raws), np.uint64, len(keys))
-            more = [pa.array([sketch(r, sketch_words, seed) for r in raws], pa.binary())] if sketch_words else []
-            yield pa.RecordBatch.from_arrays([keys, pa.array(marks.view(np.int64)), *more], [key, "fp", *["sketch"] * len(more)])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(marks.view(np.int64))], [key, "fp"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long" + ", sketch binary" * bool(sketch_words))
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp long")
 
 
 def hamming(a, b, mask: np.uint64 = np.uint64(0xFFFFFFFFFFFFFFFF)) -> np.ndarray:
@@ -161,9 +143,9 @@ class Forest:
             self.parent[a] = b
 
 
-def shard_links(points: np.ndarray, home: np.ndarray, mask: np.uint64, bits: int = 3, radius: int = 1, leaf: int = 384, sketches: np.ndarray | None = None, least: float = 0.0) -> np.ndarray:
+def shard_links(points: np.ndarray, home: np.ndarray, mask: np.uint64, bits: int = 3, radius: int = 1, leaf: int = 384) -> np.ndarray:
     """Root of each point in the graph of all links between a home point and any other point that differ by at most ``radius``
-    bits under ``mask`` and ``bits`` bits in all, and whose ``sketches``, if given, agree in a share of ``least`` slots."""
+    bits under ``mask`` and ``bits`` bits in all."""
     forest = Forest(len(points))
     todo = [(np.flatnonzero(home), np.flatnonzero(~home))]
     while todo:
@@ -184,27 +166,18 @@ def shard_links(points: np.ndarray, home: np.ndarray, mask: np.uint64, bits: int
             for b in range(0, len(both), 4096):
                 other = both[b : b + 4096]
                 i, j = np.nonzero(hamming(points[mine][:, None], points[other][None, :]) <= bits)
-                for c in range(0, len(i), 1 << 15) if sketches is not None else ():
-                    x, y = mine[i[c : c + (1 << 15)]], other[j[c : c + (1 << 15)]]
-                    apart = forest.roots(x) != forest.roots(y)
-                    x, y = x[apart], y[apart]
-                    alike = (sketches[x] == sketches[y]).mean(axis=1) >= least
-                    forest.link(x[alike], y[alike])
-                if sketches is None:
-                    forest.link(mine[i], other[j])
+                forest.link(mine[i], other[j])
     return forest.roots(np.arange(len(points)))
 
 
-def links(distinct: DataFrame, n: int, bits: int = 3, least: float | None = None, sample_rows: int = 16_384, shard_rows: int = 8_192) -> DataFrame:
-    """(a, b): edges whose components are those of all pairs of ``fp`` in ``distinct`` within ``bits`` bits (and, with ``least``,
-    whose ``sketch`` agree to that share).
+def links(distinct: DataFrame, n: int, bits: int = 3, sample_rows: int = 16_384, shard_rows: int = 8_192) -> DataFrame:
+    """(a, b): edges whose components are those of all pairs of ``fp`` in ``distinct`` within ``bits`` bits.
 
     ``n``: rows of ``distinct``.  About ``sample_rows`` of them, by a hash, shape the upper trees.
     """
     if bits > 7:
         raise ValueError("quarters with radius 1 cover up to 7 bits")
     masks = HALVES if bits <= 3 else QUARTERS
-    carried = ["sketch"] if least is not None else []
     part = F.xxhash64("fp") <= min((sample_rows << 64) // max(1, n) - (1 << 63), (1 << 63) - 1)
     sample = np.array(sorted(r.fp for r in distinct.select("fp").filter(part).collect()), np.int64).view(np.uint64)  # about sample_rows
     leaf = max(8, len(sample) * shard_rows // max(1, n))
@@ -216,36 +189,33 @@ def links(distinct: DataFrame, n: int, bits: int = 3, least: float | None = None
             for t, nodes in enumerate(trees):
                 for shard, some, home in route(nodes, points, masks[t]):
                     k = len(some)
-                    more = [batch.column(1).take(pa.array(some))] if carried else []
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, len(trees) * shard + t, np.int32)), pa.array(points[some].view(np.int64)), pa.array(np.full(k, home)), *more], ["shard", "fp", "home", *carried])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, len(trees) * shard + t, np.int32)), pa.array(points[some].view(np.int64)), pa.array(np.full(k, home))], ["shard", "fp", "home"])
 
-    dealt = materialise(distinct.select("fp", *carried).mapInArrow(deal, "shard int, fp long, home boolean" + ", sketch binary" * len(carried)), "shards")
+    dealt = materialise(distinct.select("fp").mapInArrow(deal, "shard int, fp long, home boolean"), "shards")
     sizes = dealt.groupBy("shard").count().filter(F.col("count") > 4 * shard_rows).collect()  # at most a row for each shard
     parts = {r.shard: -(-r["count"] // (2 * shard_rows)) for r in sizes}
     if parts:
         number = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in parts.items() for x in kv)), F.col("shard")), F.lit(1))
         dealt = (dealt.withColumn("parts", number).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-                 .select("shard", "fp", "home", *carried, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+                 .select("shard", "fp", "home", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
     else:
         dealt = dealt.withColumns({"i": F.lit(0), "j": F.lit(0)})
 
     def find(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         points = frame["fp"].to_numpy(np.int64).view(np.uint64)
-        kept = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, SLOTS) if carried else None
-        roots = shard_links(points, frame["home"].to_numpy(bool), masks[key[0] % len(masks)], bits, sketches=kept, least=least or 0.0)
+        roots = shard_links(points, frame["home"].to_numpy(bool), masks[key[0] % len(masks)], bits)
         moved = np.flatnonzero(roots != np.arange(len(points)))
         return pd.DataFrame({"a": points[moved].view(np.int64), "b": points[roots[moved]].view(np.int64)})
 
     return dealt.groupBy("shard", "i", "j").applyInPandas(find, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, bits: int = 3, words: int = 3, seed: int = 42, least: float | None = None, sketch_words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, bits: int = 3, words: int = 3, seed: int = 42, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fingerprint, component_id): fingerprint as 16 hexadecimal digits, the least key that links lead to."""
-    marked = materialise(fingerprints(docs, words, seed, sketch_words if least is not None else 0, text, key), "fingerprints")
-    more = [F.min("sketch").alias("sketch")] if least is not None else []
-    distinct = materialise(marked.groupBy("fp").agg(F.min(key).alias("rep"), F.count("*").alias("rows"), *more), "distinct")
-    found = connected_components(links(distinct, distinct.count(), bits, least)).withColumnRenamed("node", "fp")
+    marked = materialise(fingerprints(docs, words, seed, text, key), "fingerprints")
+    distinct = materialise(marked.groupBy("fp").agg(F.min(key).alias("rep"), F.count("*").alias("rows")), "distinct")
+    found = connected_components(links(distinct, distinct.count(), bits)).withColumnRenamed("node", "fp")
     least = found.join(distinct, "fp").groupBy("root").agg(F.min("rep").alias("least"))
     linked = found.join(least, "root").select("fp", "least")
     named = materialise(distinct.join(linked, "fp", "left").filter("rows > 1 or least is not null")
