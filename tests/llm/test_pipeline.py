@@ -71,3 +71,14 @@ def test_rejected_documents_go(spark, docs, tables):
     model = nbsvm.train(docs, spark.read.parquet(f"{tables}/labels.parquet"))
     scored = nbsvm.score(docs.select("doc_id", "text"), model)
     assert STAGES["quality"](spark, docs, tables).count() == scored.filter(F.col("predicted") == 1).count()
+
+
+def test_rows_without_a_key_or_with_a_shared_one_stay(spark, make):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80)) for _ in range(30)]
+    data = [(None, t) for t in texts[:10]] + [(7, t) for t in texts[10:20]] + [(k, t) for k, t in enumerate(texts[20:], 100)]
+    copies = [(None, texts[0]), (None, texts[25]), (6, texts[12]), (8, texts[13])]
+    want = sorted(data + [(6, texts[12])], key=str)
+    want.remove((7, texts[12]))
+    single = STAGES["near_dedup"](spark, make(data + copies), "")
+    assert sorted(((r.doc_id, r.text) for r in single.collect()), key=str) == want
