@@ -156,6 +156,25 @@ class Lattice:
                     alpha[j] = np.logaddexp(alpha[j], now + score[k]) if j in alpha else now + score[k]
         return alpha[len(word)]
 
+    def expected_one(self, word: bytes, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces and their expected counts in each class for one word of any length; betas only as far as the longest piece reaches."""
+        longest, n = max(map(len, self.pieces)), len(word)
+        found = lambda i: ((j, k) for j in range(i + 1, min(n, i + longest) + 1) if (k := self.rank.get(word[i:j])) is not None)
+        alpha = np.full((n + 1, score.shape[1]), -np.inf)
+        alpha[0] = 0.0
+        for i in range(n):
+            for j, k in found(i):
+                alpha[j] = np.logaddexp(alpha[j], alpha[i] + score[k])
+        beta, counts = {n: np.zeros(score.shape[1])}, {}
+        for i in range(n - 1, -1, -1):
+            beta[i] = np.full(score.shape[1], -np.inf)
+            for j, k in found(i):
+                step = score[k] + beta[j]
+                beta[i] = np.logaddexp(beta[i], step)
+                counts[k] = counts.get(k, 0.0) + np.exp(alpha[i] + step - alpha[n])
+            beta.pop(i + longest, None)
+        return np.array(list(counts)), np.array(list(counts.values()))
+
 
 @functools.cache
 def lattice_of(path: str) -> Lattice:
@@ -248,8 +267,13 @@ def expectation(words: DataFrame, vocabulary_path: str, score: np.ndarray, n_cla
         for batch in gathered(batches):
             some, counts = columns(batch, "word", "c")
             seen = _matrix(counts, n_classes) > 0
-            for at, matrix in by_length(some.to_pylist()):
-                for k in range(n_classes if matrix is not None else 0):  # words above TOGETHER bytes do not shape the piece scores
+            raw = some.to_pylist()
+            for at, matrix in by_length(raw):
+                for x in at.tolist() if matrix is None else ():
+                    there = np.flatnonzero(seen[x])
+                    piece, count = lattice.expected_one(b" " + raw[x], held.value[:, there])
+                    total[piece[:, None], there] += count
+                for k in range(n_classes if matrix is not None else 0):
                     there = matrix[seen[at, k]]
                     if len(there):
                         piece, count = lattice.expected(there, held.value[:, k : k + 1], np.ones((len(there), 1)))

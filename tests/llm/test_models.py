@@ -142,3 +142,29 @@ def test_indicators_are_distinct_and_see_runs():
         longest = max((len(list(g)) for _, g in itertools.groupby(words)), default=0)
         assert find.longest_run(data) == longest
         assert {n for k, n in enumerate(nbsvm.RUNS) if (1 << nbsvm.BITS) + k in set(places.tolist())} == {n for n in nbsvm.RUNS if longest >= n}
+
+
+def test_expected_counts_of_one_word_of_any_length(lattice):
+    score = lattice_lm.estimate(lattice, np.random.default_rng(2).random((len(lattice.pieces), 2)) * 50, np.array([5.0, 9.0])).piece
+    every = np.arange(len(lattice.pieces))
+    for word in (b" a", b" abacab", b" " + b"x" * 45 + b"abab"):  # but for " " the run of x has one segmentation
+        paths = [s for s in segmentations(word.replace(b"x" * 45, b"x")) if all(p in lattice.rank for p in s)]
+        paths = [[q for p in s for q in ([b"x"] * 45 if p == b"x" and len(word) > 45 else [p])] for s in paths]
+        weight = np.array([sum(score[lattice.rank[p]] for p in s) for s in paths])
+        weight = np.exp(weight - np.logaddexp.reduce(weight))
+        want = sum(np.bincount([lattice.rank[p] for p in s], minlength=len(every))[:, None] * w for s, w in zip(paths, weight))
+        pieces, counts = lattice.expected_one(word, score)
+        found = np.zeros_like(score)
+        found[pieces] = counts
+        assert found == pytest.approx(want)
+
+
+def test_long_words_shape_the_scores(spark):
+    words = [b"q" * 60, b"short"]
+    frame = spark.createDataFrame([(w, [1, 0]) for w in words], "word binary, c array<long>")
+    path = P.path("piece_bpe_32k.model")
+    lattice = lattice_lm.lattice_of(path)
+    scores = lattice_lm.estimate(lattice, np.zeros((len(lattice.pieces), 2)), np.zeros(2))
+    counts = lattice_lm.expectation(frame, path, scores.piece, 2)
+    size = np.fromiter(map(len, lattice.pieces), float)
+    assert size @ counts == pytest.approx([sum(len(w) + 1 for w in words), 0])
