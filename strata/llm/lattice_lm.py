@@ -13,7 +13,7 @@ for each distinct word.  Documents look up the ``hot_words`` most frequent words
 bounds; their other words are joined with the word table, where none is frequent, so that no join key is hot.
 
 Defined results: null text counts as empty (the end alone); every row is scored by itself, equal keys or not; without training
-documents every word is unknown and the vocabulary's own scores are used; an empty table gives no rows; a null key is training.
+documents every word is unknown and the scores are those of the vocabulary's order alone (the model file's are not read); an empty table gives no rows; a null key is training.
 """
 
 from __future__ import annotations
