@@ -25,11 +25,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); where it is unset, a temporary one in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return found.rstrip("/") if found else _own_dir()
 
 
@@ -45,7 +47,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the tables that ``materialise`` wrote for these frames; nothing may read them afterwards."""
+    for frame in frames:
+        session = frame.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(frame._written)
+        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +73,26 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def raws(column: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of each text; nulls count as empty."""
+    data, offsets = text_buffer(column)
+    return [data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined to ``rows`` rows or somewhat more."""
+    held, n = [], 0
+    join = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield join()
+            held, n = [], 0
+    if n:
+        yield join()
+
+
 def blocks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of documents with about ``size`` bytes each; a longer document is a run of its own."""
     a, n = 0, len(offsets) - 1
@@ -75,6 +107,16 @@ def columns(batch: pa.RecordBatch, *names: str) -> list[pa.Array]:
     return [batch.column(batch.schema.get_field_index(n)) for n in names]
 
 
+def spread_join(frame: DataFrame, table: DataFrame, on: str, rows: str, total: int, how: str = "inner", share: int = 10_000) -> DataFrame:
+    """``frame`` joined with ``table``, which has a row for each value of ``on`` and the number of its rows in ``frame`` as ``rows``.
+
+    Values of a ``share``-th of all ``total`` rows or more are hot: there are ``share`` of them at most, which are broadcast, so no
+    hot value's rows meet in one task.  Both frames are read twice.
+    """
+    hot = F.broadcast(table.filter(F.col(rows) * share >= total))
+    return frame.join(hot, on).unionByName(frame.join(hot.select(on), on, "left_anti").join(table, on, how))
+
+
 def range_index(key, bounds: list):
     """The number of sorted ``bounds`` at or below ``key`` (0 for null), looked up in two steps of about the root of their number."""
     if not bounds:

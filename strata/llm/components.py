@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import materialise
+from strata.llm.common import discard, materialise
 
 
 def _towards_least(links: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def _round(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node with a link to another one; ``root`` is the component's least node.
+    """(node, root) for every node with a link to another one; ``root`` is the component's least node.  ``discard`` removes its table.
 
     Loops and repeated edges change nothing; an edge with a null end links nothing; no edges give no rows.
     """
@@ -40,6 +40,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         held = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if held == state or not held[0]:
             break
-        state, now = held, materialise(_round(now), "stars")
+        last, state, now = now, held, materialise(_round(now), "stars")
+        discard(last)
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out._written = now._written
+    return out

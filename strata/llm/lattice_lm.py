@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import columns, materialise
+from strata.llm.common import columns, gathered, materialise
 from strata.llm.nbsvm import held_out
 
 #: Words up to so many bytes take the recursion together; longer ones take it alone.
@@ -182,20 +182,6 @@ def lattice_of(path: str) -> Lattice:
     return Lattice(vocabulary(path))
 
 
-def gathered(batches, rows: int = 100_000):
-    """Arrow batches joined to about ``rows`` words, so that words of one length are many."""
-    held, n = [], 0
-    join = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= rows:
-            yield join()
-            held, n = [], 0
-    if n:
-        yield join()
-
-
 def by_length(words: list[bytes]):
     """(indices, matrix of bytes with a leading blank) of words by length; None for the matrix of longer ones."""
     size = np.fromiter(map(len, words), np.int64, len(words))
@@ -264,7 +250,7 @@ def expectation(words: DataFrame, vocabulary_path: str, score: np.ndarray, n_cla
     def run(batches):
         lattice = lattice_of(vocabulary_path)
         total = np.zeros_like(held.value)
-        for batch in gathered(batches):
+        for batch in gathered(batches, 100_000):
             some, counts = columns(batch, "word", "c")
             seen = _matrix(counts, n_classes) > 0
             raw = some.to_pylist()
@@ -328,7 +314,7 @@ def score_documents(docs: DataFrame, vocabulary_path: str, class_by: str | None
     def price(batches):
         lattice = lattice_of(vocabulary_path)
         piece, back, seen, discount = parts.value
-        for batch in gathered(batches):
+        for batch in gathered(batches, 100_000):
             some, counts = columns(batch, "word", "c")
             raw, c = some.to_pylist(), _matrix(counts, k).astype(float)
             sub = np.empty((len(raw), k))

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from test_simhash import slow_links
 
 from strata.llm import near_copies, simhash
 
@@ -35,33 +36,49 @@ def planted(n_words=400):
     return out
 
 
-def exact_components(texts, bits=7):
-    """Root of each text in the graph of exact links within clusters of fingerprints; and how many links there are by band."""
-    sets, marks = [shingles(t) for t in texts], np.array([simhash.fingerprint(t.encode(), 2) for t in texts], np.uint64)
+def exact_links(texts):
+    sets = [shingles(t) for t in texts]
+    return [(i, j, s) for i in range(len(texts)) for j in range(i) if (s := similarity(sets[i], sets[j])) > 0.7]
+
+
+def exact_components(texts, close, bits=52):
+    """Root of each text in the graph of exact links within clusters of fingerprints."""
+    points = np.stack([simhash.word_fingerprint(t.encode()) for t in texts])
     cluster, exact = simhash.Forest(len(texts)), simhash.Forest(len(texts))
-    cluster.link(*np.nonzero(simhash.hamming(marks[:, None], marks[None, :]) <= bits))
+    cluster.link(*slow_links(points, bits))
     roots = cluster.roots(np.arange(len(texts)))
-    close = [(i, j, s) for i in range(len(texts)) for j in range(i) if roots[i] == roots[j] and (s := similarity(sets[i], sets[j])) > 0.7]
-    pairs = np.array([(i, j) for i, j, s in close if s >= 0.8])
+    pairs = np.array([(i, j) for i, j, s in close if s >= 0.8 and roots[i] == roots[j]])
     exact.link(pairs[:, 0], pairs[:, 1])
-    return exact.roots(np.arange(len(texts))), close
+    return exact.roots(np.arange(len(texts)))
 
 
 @pytest.mark.parametrize("block", [3, 256])
 def test_components_equal_exact_ones(make, block):
     texts = planted()
-    want, close = exact_components(texts)
+    close = exact_links(texts)
+    want = exact_components(texts, close)
     assert sum(0.75 < s < 0.8 for *_, s in close) > 10 and sum(0.8 <= s < 0.85 for *_, s in close) > 10
     found = {r.doc_id: bytes(r.root) for r in near_copies.components(make(list(enumerate(texts))), 0.8, block=block).collect()}
     assert len(found) == len(texts)
     got = [found[k] for k in range(len(texts))]
     assert len(set(zip(got, want.tolist()))) == len(set(got)) == len(set(want.tolist()))
+    near = [(i, j) for i, j, s in close if s >= 0.8]
+    assert np.mean([got[i] == got[j] for i, j in near]) >= 0.95, "recall against all pairs"
+
+
+def test_fingerprint_of_words():
+    """Bit by bit: the sign of the sum over distinct words; order, repeats and case of A-Z change nothing."""
+    a = simhash.word_fingerprint(b"The cat saw the other cat")
+    assert np.array_equal(a, simhash.word_fingerprint(b"other saw  cat THE"))
+    one = [np.unpackbits(simhash.word_fingerprint(w).view(np.uint8)).astype(int) for w in (b"the", b"cat", b"saw", b"other")]
+    assert np.array_equal(np.unpackbits(a.view(np.uint8)), 2 * sum(one) > 4)
+    assert not simhash.word_fingerprint(b" ").any() and simhash.word_fingerprint(b"x").shape == (8,)
 
 
 def test_one_fingerprint_is_no_link(make, monkeypatch):
     """Different texts with equal fingerprints are compared too."""
     texts = planted()[::5]
-    monkeypatch.setattr(near_copies, "fingerprint", lambda raw, words, seed: 5)
+    monkeypatch.setattr(near_copies, "word_fingerprint", lambda raw, keys, seed: np.full(keys, 5, np.uint32))
     found = near_copies.components(make([*enumerate(texts), (100, texts[0].upper()), (101, None), (102, "")]), 0.8, block=7).collect()
     assert len(found) == len({bytes(r.root) for r in found}) == len(texts) + 1
     assert {r.doc_id for r in found} == {*range(len(texts)), 101}

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -44,32 +45,59 @@ def test_fingerprints(rows):
         assert simhash.fingerprint((t or "").encode()) == slow_fingerprint(t or "")
 
 
-def test_shards_find_all_links():
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
-    points = list(base)
+def slow_links(points, bits):
+    """Pairs with a key at most 1 bit apart and ``bits`` bits in all."""
+    apart = np.bitwise_count(points[:, None, :] ^ points[None, :, :])
+    return np.nonzero((apart.min(axis=2) <= 1) & (apart.sum(axis=2) <= bits))
+
+
+def clouds(keys, rng):
+    """Random points, some with many and some with few others near them, and many that share their first key."""
+    base = rng.integers(0, 1 << 32, (600, keys), dtype=np.uint32)
+    out = [base]
     for center, n in ((base[0], 500), *((b, 3) for b in base[1:100])):
-        for _ in range(n):
-            x = center
-            for bit in rng.integers(0, 64, rng.integers(1, 5)):
-                x ^= np.uint64(1) << np.uint64(bit)
-            points.append(x)
-    points = np.unique(np.array(points, np.uint64))
+        near = np.repeat(center[None, :], n, axis=0)
+        for row in near:
+            for bit in rng.integers(0, 32 * keys, rng.integers(1, 2 * keys + 1)):
+                row[bit // 32] ^= np.uint32(1) << np.uint32(bit % 32)
+        out.append(near)
+    same = rng.integers(0, 1 << 32, (300, keys), dtype=np.uint32)
+    same[:, 0] = 7
+    return np.unique(np.concatenate([*out, same]), axis=0)
+
+
+def same_groups(a, b):
+    return len(set(zip(a.tolist(), b.tolist()))) == len(set(a.tolist())) == len(set(b.tolist()))
+
+
+@pytest.mark.parametrize("keys, bits", [(2, 3), (8, 52)])
+def test_shards_find_all_links(keys, bits):
+    points = clouds(keys, np.random.default_rng(1))
     plain, found = simhash.Forest(len(points)), simhash.Forest(len(points))
-    i, j = np.nonzero(simhash.hamming(points[:, None], points[None, :]) <= 3)
-    plain.link(i, j)
-    for mask in simhash.HALVES:
-        shards = {}
-        for shard, some, home in simhash.route(simhash.build_tree(points[::3], mask, 20), points, mask):
-            shards.setdefault(shard, []).append((some, np.full(len(some), home)))
-        assert len(shards) > 5
-        for parts in shards.values():
-            at, home = (np.concatenate(x) for x in zip(*parts))
-            found.link(at, at[simhash.shard_links(points[at], home, mask, leaf=16)])
+    plain.link(*slow_links(points, bits))
+    for key in range(keys):
+        tree = simhash.build_tree(points[::3], key, bits, 20)
+        shard, some, home = simhash.route(tree, points)
+        assert tree.shards > 5 and sorted(some[home].tolist()) == list(range(len(points)))
+        for k in range(tree.shards):
+            at = some[shard == k]
+            found.link(at, at[simhash.shard_links(points[at], home[shard == k], key, bits, leaf=16)])
     every = np.arange(len(points))
     assert np.array_equal(plain.roots(every), found.roots(every))
 
 
+def test_halves_find_all_pairs_within_three_bits():
+    points = clouds(2, np.random.default_rng(2))
+    assert np.array_equal(slow_links(points, 3), np.nonzero(simhash.distance(points[:, None], points[None, :]) <= 3))
+
+
+def test_random_table_of_many_shards_is_not_copied_often():
+    """The number of visits grows with the depth of the tree only, far below the number of shards."""
+    points = np.random.default_rng(3).integers(0, 1 << 32, (100_000, 2), dtype=np.uint32)
+    tree = simhash.build_tree(points[::12], 0, 3, 8)
+    assert tree.shards > 500 and len(simhash.route(tree, points)[0]) < 10 * len(points)
+
+
 def test_query(docs, rows):
     marks = [slow_fingerprint(t or "") for _, t in rows]
     want = Counter(zip((k for k, _ in rows), (f"{m:016x}" for m in marks), slow_groups([k for k, _ in rows], marks)))
@@ -78,20 +106,37 @@ def test_query(docs, rows):
     assert sum(got.values()) == len(rows)
 
 
-@pytest.mark.parametrize("shard_rows", [10, 8192])
-def test_links_with_small_shards(spark, shard_rows):
-    rng = random.Random(3)
-    center = rng.getrandbits(64)
-    marks = [center ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(150)] + [rng.getrandbits(64) for _ in range(150)]
-    marks = sorted(set(marks))
-    frame = spark.createDataFrame([(m - (1 << 64) if m >> 63 else m,) for m in marks], "fp long")
-    edges = simhash.links(frame, len(marks), sample_rows=60, shard_rows=shard_rows).collect()
-    forest = simhash.Forest(len(marks))
-    at = {m: k for k, m in enumerate(marks)}
-    forest.link(np.array([at[e.a % (1 << 64)] for e in edges], int), np.array([at[e.b % (1 << 64)] for e in edges], int))
-    want = slow_groups(list(range(len(marks))), marks)
-    found = forest.roots(np.arange(len(marks)))
-    assert len(set(zip(found.tolist(), want))) == len(set(want)) == len(set(found.tolist()))
+@pytest.mark.parametrize("keys, bits, shard_rows", [(2, 3, 1), (2, 3, 40), (2, 3, None), (8, 52, 1), (8, 52, None)])
+def test_links_with_small_shards(spark, keys, bits, shard_rows):
+    """Also with blocks: at one row for a shard, shards hold too many rows."""
+    points = clouds(keys, np.random.default_rng(4))
+    kind = pa.int64() if keys == 2 else pa.binary()
+    frame = spark.createDataFrame(pa.table({"fp": simhash.column_of(points, kind)}))
+    edges = simhash.links(frame, len(points), bits, shard_rows).toArrow()
+    at = {p.tobytes(): k for k, p in enumerate(points)}
+    ends = [np.array([at[p.tobytes()] for p in simhash.points_of(edges[c])], int) for c in "ab"]
+    plain, found = simhash.Forest(len(points)), simhash.Forest(len(points))
+    plain.link(*slow_links(points, bits))
+    found.link(*ends)
+    every = np.arange(len(points))
+    assert same_groups(plain.roots(every), found.roots(every))
+
+
+@pytest.mark.parametrize("hot_share", [10, 10_000])
+def test_shared_fingerprints_hot_and_cold(spark, hot_share):
+    """Equal fingerprints are one component, whether they are broadcast or not."""
+    texts = [f"text number {k % 40} of the cold ones" for k in range(1200)] + ["a hot text of many rows"] * 800
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(frame, hot_share=hot_share).collect()}
+    marks = [slow_fingerprint(t) for t in dict.fromkeys(texts)]
+    groups = dict(zip(dict.fromkeys(texts), slow_groups([texts.index(t) for t in dict.fromkeys(texts)], marks)))
+    assert got == {k: (f"{slow_fingerprint(t):016x}", groups[t]) for k, t in enumerate(texts)}
+
+
+def test_string_keys_and_clashing_columns(spark):
+    frame = spark.createDataFrame([("b", "one two three four", 1, 2, 3), ("a", "one two three four", 1, 2, 3), (None, "five six", 1, 2, 3)], "fp string, text string, rows int, key int, sketch int")
+    got = {(r["fp"], r.component_id) for r in simhash.near_duplicates(frame.select("fp", "text", "rows", "sketch"), key="fp").collect()}
+    assert got == {("a", "a"), ("b", "a"), (None, None)}
 
 
 def test_empty(empty):
