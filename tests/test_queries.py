@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
+from conftest import ROOT
 
 from strata.plans import registry
 
@@ -36,3 +42,15 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_corpus_folders(tmp_path):
+    """The rest stands alone: with both folders gone, whether the pipeline's file is there or not."""
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", ".pytest_cache"))
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q); print(len(q), 'pipeline' in q)"
+    for gone in (None, "corpus_pipeline.py"):
+        if gone and (copy / gone).exists():
+            os.remove(copy / gone)
+        said = subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, check=True)
+        assert said.stdout.split() == [str(len(registry.QUERIES)), "False"]
