@@ -25,8 +25,8 @@ def _model(occ: DataFrame, out: str) -> dict[str, DataFrame]:
 #: Analysis to the tables it writes.
 ANALYSES = {
     "basic": lambda occ, out: {"diversity_curve": diversity.diversity_curve(occ), "occurrence_map": ranges.occurrence_map(occ)},
-    "advanced": lambda occ, out: {"locality_network": network.locality_network_edges(occ), "sqs_diversity": diversity.sqs_diversity(occ)},
-    "sota": lambda occ, out: {"biogeographic_dynamics": network.biogeographic_dynamics(occ)},
+    "advanced": lambda occ, out: {"locality_network": network.locality_network_edges(occ), "locality_nodes": network.locality_network_nodes(occ), "sqs_diversity": diversity.sqs_diversity(occ)},
+    "sota": lambda occ, out: {"biogeographic_dynamics": network.biogeographic_dynamics(occ), "latitudinal_shift": diversity.latitudinal_centroid(occ)},
     "ml": _model,
     "check": lambda occ, out: {"quality": normalize.quality_report(occ), "eras": ranges.era_counts(occ)},
 }
@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     download = verbs.add_parser("download", help="fetch raw occurrences")
     download.add_argument("--interval", default="Cambrian,Cretaceous")
     download.add_argument("--source", choices=("pbdb", "neotoma"), default="pbdb")
+    download.add_argument("--limit", type=int, default=10_000, help="records of neotoma")
     download.add_argument("--output", default="data/raw")
     normal = verbs.add_parser("normalize", help="raw files to canonical Parquet; all: both sources, then the merge")
     normal.add_argument("--source", choices=("pbdb", "neotoma", "merge", "all"), default="all")
@@ -60,10 +61,15 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         parser().print_help()
         return 0
     if args.verb == "download":
-        fetch = acquire.fetch_pbdb(args.interval, args.output) if args.source == "pbdb" else acquire.fetch_neotoma(folder=args.output)
+        fetch = acquire.fetch_pbdb(args.interval, args.output) if args.source == "pbdb" else acquire.fetch_neotoma(args.limit, args.output)
         print(fetch or "the download failed")
-        return int(fetch is None)
+        if fetch is None:
+            return 1
     spark = spark or SparkSession.builder.appName("strata").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if args.verb == "download":
+        if args.source == "pbdb":
+            normalize.preview(spark, fetch).show(truncate=24)  # the header and some rows, to check the download
+        return 0
     if args.verb == "normalize":
         steps = ("pbdb", "neotoma", "merge") if args.source == "all" else (args.source,)
         paths = [normalize.normalize_folder(spark, s, args.output if s == "merge" else args.input, args.output, args.null_policy) for s in steps]

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def shuffled_rank(frame: DataFrame, groups: list[str], noise: Column, name: str, buckets: int = 64) -> DataFrame:
+def shuffled_rank(frame: DataFrame, groups: list[str], noise: Column, name: str, buckets: int | None = None) -> DataFrame:
     """``frame`` with ``name``: each row's rank (from 0) in its group by a 64-bit hash ``noise``, whose equal values follow the rows.
 
-    Hashes fall into ordered buckets; a row's rank is its rank within its bucket plus the number of rows in the buckets before.
+    Hashes fall into ordered buckets (64, or ``spark.sql.shuffle.partitions`` if more); a row's rank is its rank within its bucket plus the number of rows in the buckets before.
     """
+    buckets = buckets or max(64, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bucket = F.floor((noise.cast("double") / 2.0**64 + 0.5) * buckets).cast("int")
     marked = frame.withColumns({"_noise": noise}).withColumn("_bucket", F.least(F.greatest(bucket, F.lit(0)), F.lit(buckets - 1)))
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)

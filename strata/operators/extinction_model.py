@@ -37,6 +37,13 @@ def stratified_split(features: DataFrame, share: float = 0.7, seed: int = 42) ->
     return marked.filter("_train").drop("_train"), marked.filter("not _train").drop("_train")
 
 
+def split_sizes(features: DataFrame, share: float = 0.7, seed: int = 42) -> DataFrame:
+    """Rows of each class on either side of ``stratified_split``."""
+    train, test = stratified_split(features, share, seed)
+    sides = train.select(TARGET, F.lit("train").alias("side")).unionByName(test.select(TARGET, F.lit("test").alias("side")))
+    return sides.groupBy("side", TARGET).agg(F.count("*").alias("n"))
+
+
 def fit(features: DataFrame, names: tuple[str, ...] = FEATURES, trees: int = 100, depth: int = 10, share: float | None = 0.7, least: int = 100, seed: int = 42) -> ExtinctionModel | None:
     """None with fewer than ``least`` rows or with one class only.  ``share`` None: all rows are trained on and tested."""
     features = features.fillna(0, list(names))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.numeric import bin_to
-from strata.functions.ranking import shuffled_rank
 from strata.operators.diversity import PLACED
 
 
@@ -44,6 +45,16 @@ def locality_network_edges(occ: DataFrame, top: int = 50, cell: float = 5.0) ->
     return project(rows.join(F.broadcast(best), "locality", "left_semi").distinct(), [])
 
 
+def locality_network_nodes(occ: DataFrame, top: int = 50, cell: float = 5.0) -> DataFrame:
+    """The ``top`` localities with most occurrences, those without an edge too: occurrences, centre of the cell, and edges among them."""
+    rows = occ.dropna(subset=["lat", "lng", "genus"]).select(bin_to("lat", cell).alias("lat_bin"), bin_to("lng", cell).alias("lng_bin"))
+    best = rows.groupBy("lat_bin", "lng_bin").agg(F.count("*").alias("occurrences"))
+    best = best.withColumn("locality", F.concat_ws(",", F.col("lat_bin").cast("string"), F.col("lng_bin").cast("string"))).orderBy(F.desc("occurrences"), "locality").limit(top)
+    edges = locality_network_edges(occ, top, cell)
+    degree = edges.select(F.explode(F.array("src", "dst")).alias("locality")).groupBy("locality").agg(F.count("*").alias("degree"))
+    return best.join(degree, "locality", "left").fillna(0, ["degree"])
+
+
 def communities(nodes: list, edges: list[tuple]) -> list[set]:
     """Greedy modularity maximisation: the pair of linked communities whose union raises modularity most is merged, as long as
     one does; the pair with the least names at a tie."""
@@ -99,46 +110,120 @@ def modularity(parts: list[set], edges: list[tuple]) -> float | None:
     return sum(inside[k] / m - (d / (2 * m)) ** 2 for k, d in degree.items())
 
 
+def linked(places: np.ndarray, genera: np.ndarray, n_places: int, n_genera: int, step: int = 4096) -> list[tuple[int, int]]:
+    """Pairs of places (i < j) with a common genus, from pairs (place, genus) as numbers."""
+    order = np.argsort(genera, kind="stable")
+    places, genera = places[order], genera[order]
+    near = np.zeros((n_places, n_places), bool)
+    for first in range(0, n_genera, step):
+        a, b = np.searchsorted(genera, (first, first + step))
+        held = np.zeros((n_places, step), np.float32)
+        held[places[a:b], genera[a:b] - first] = 1
+        near |= held @ held.T > 0
+    return list(zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))))
+
+
 def modularity_by(edges: DataFrame, by: str) -> DataFrame:
-    """(by, modularity, n_communities) from pairs (src, dst); a group's size is bounded by the grid of localities."""
+    """(by, modularity, n_communities, n_edges) of the locality graphs of distinct (by, locality, genus).
+
+    Localities are projected within the group, where their pairs are a matrix, whatever the number of genera; a group's rows are
+    bounded by the grid's cells and the genera.  Localities without a link are communities of their own.
+    """
     kind = edges.schema[by].dataType.simpleString()
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        pairs = list(zip(frame["src"], frame["dst"]))
-        parts = communities(sorted(set(frame["src"]) | set(frame["dst"])), pairs)
-        return pd.DataFrame({by: [key[0]], "modularity": [modularity(parts, pairs)], "n_communities": [len(parts)]})
+        names, place = np.unique(frame["locality"].to_numpy(str), return_inverse=True)
+        genera, genus = np.unique(frame["genus"].to_numpy(str), return_inverse=True)
+        pairs = linked(place, genus, len(names), len(genera))
+        parts = communities(list(range(len(names))), pairs)
+        return pd.DataFrame({by: [key[0]], "modularity": [modularity(parts, pairs)], "n_communities": [len(parts)], "n_edges": [len(pairs)]})
 
-    return edges.groupBy(by).applyInPandas(run, f"`{by}` {kind}, modularity double, n_communities long")
+    return edges.select(by, "locality", "genus").groupBy(by).applyInPandas(run, f"`{by}` {kind}, modularity double, n_communities long, n_edges long")
+
+
+def robust_bins(rows: DataFrame, min_rows: int = 100, min_localities: int = 5, min_genera: int = 5) -> DataFrame:
+    """Bins of ``located`` rows with enough rows, localities and genera: mean absolute latitude, genera, localities, rows."""
+    sums = rows.groupBy("time_bin").agg(F.avg(F.abs("lat")).alias("mean_abs_lat"), F.count_distinct("genus").alias("diversity"), F.count_distinct("locality").alias("localities"), F.count("*").alias("n"))
+    return sums.filter((F.col("n") >= min_rows) & (F.col("localities") >= min_localities) & (F.col("diversity") >= min_genera))
 
 
 def biogeographic_dynamics(occ: DataFrame, width: float = 5.0, cell: float = 5.0, min_rows: int = 100, min_localities: int = 5, min_genera: int = 5) -> DataFrame:
-    """Modularity, mean absolute latitude and diversity of bins with enough rows, localities and genera."""
+    """Modularity, mean absolute latitude and diversity of bins with enough rows, localities and genera, and edges of their graphs."""
     rows = located(occ, width, cell)
-    sums = rows.groupBy("time_bin").agg(F.avg(F.abs("lat")).alias("mean_abs_lat"), F.count_distinct("genus").alias("diversity"), F.count_distinct("locality").alias("localities"), F.count("*").alias("n"))
-    enough = sums.filter((F.col("n") >= min_rows) & (F.col("localities") >= min_localities) & (F.col("diversity") >= min_genera))
+    enough = robust_bins(rows, min_rows, min_localities, min_genera)
     kept = rows.select("time_bin", "locality", "genus").distinct().join(F.broadcast(enough.select("time_bin")), "time_bin", "left_semi")
-    found = modularity_by(project(kept, ["time_bin"]), "time_bin")
-    return enough.join(found, "time_bin", "left").select("time_bin", "modularity", "mean_abs_lat", "diversity").orderBy(F.desc("time_bin"))
+    found = modularity_by(kept, "time_bin").select("time_bin", "modularity", "n_edges")
+    return enough.join(found, "time_bin", "left").select("time_bin", "modularity", "mean_abs_lat", "diversity", "n_edges").orderBy(F.desc("time_bin"))
+
+
+def largest_bin(occ: DataFrame, width: float = 5.0, cell: float = 5.0, min_localities: int = 10, min_genera: int = 10) -> DataFrame:
+    """(time_bin, pairs): the bin with most rows, and its rows by locality and genus as one array of (locality, genus, n), whose length
+    the grid's cells and the genera bound.  No row if the bin has too few of either."""
+    counted = located(occ, width, cell).groupBy("time_bin", "locality", "genus").agg(F.count("*").alias("n"))
+    sums = counted.groupBy("time_bin").agg(F.sum("n").alias("rows"), F.count_distinct("locality").alias("l"), F.count_distinct("genus").alias("g"))
+    best = sums.orderBy(F.desc("rows"), "time_bin").limit(1).filter((F.col("l") >= min_localities) & (F.col("g") >= min_genera)).select("time_bin")
+    return counted.join(F.broadcast(best), "time_bin").groupBy("time_bin").agg(F.sort_array(F.collect_list(F.struct("locality", "genus", "n"))).alias("pairs"))
+
+
+def permuted(count: np.ndarray, genera: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Rows of a random table (localities x genera) with the given row and column sums.
+
+    Permuting genera over the rows of a bin gives each such table with the same probability as drawing each locality's genera in
+    turn, without replacement, from what is left; so the work follows the table's size and not the number of rows.
+    """
+    left = genera.copy()
+    for n in count.tolist():
+        drawn = rng.multivariate_hypergeometric(left, n, method="marginals")
+        left -= drawn
+        yield drawn
+
+
+def null_tables(bins: DataFrame, iterations: int, seed: int):
+    """(iteration, one row of ``largest_bin``) for the observed table (-1) and each permutation, a task for some iterations each."""
+    spark = bins.sparkSession
+    numbers = spark.range(-1, iterations).repartition(min(iterations + 1, max(1, spark.sparkContext.defaultParallelism))).select(F.col("id").cast("int").alias("iteration"))
+    return numbers.crossJoin(F.broadcast(bins))  # bins has one row
+
+
+def _tables(frames: Iterator[pd.DataFrame], seed: int):
+    """(iteration, bin, names of localities, names of genera, table) of ``null_tables``' rows."""
+    for frame in frames:
+        for iteration, time_bin, pairs in zip(frame["iteration"], frame["time_bin"], frame["pairs"]):
+            places, place = np.unique([p["locality"] for p in pairs], return_inverse=True)
+            genera, genus = np.unique([p["genus"] for p in pairs], return_inverse=True)
+            table = np.zeros((len(places), len(genera)), np.int64)
+            table[place, genus] = [p["n"] for p in pairs]
+            if iteration >= 0:
+                for row, drawn in zip(table, permuted(table.sum(1), table.sum(0), np.random.default_rng([seed, iteration]))):
+                    row[:] = drawn
+            yield int(iteration), time_bin, places, genera, table
 
 
 def null_model(occ: DataFrame, iterations: int = 100, seed: int = 42, width: float = 5.0, cell: float = 5.0, min_localities: int = 10, min_genera: int = 10) -> DataFrame:
-    """(iteration, time_bin, modularity) for the bin with most rows: iteration -1 as observed, the others with genera permuted
-    over its rows, so that each locality and each genus keeps its number of rows.  No rows if the bin has too few of either."""
-    rows = located(occ, width, cell).select("time_bin", "locality", "genus")
-    sums = rows.groupBy("time_bin").agg(F.count("*").alias("n"), F.count_distinct("locality").alias("l"), F.count_distinct("genus").alias("g"))
-    best = sums.orderBy(F.desc("n"), "time_bin").limit(1).filter((F.col("l") >= min_localities) & (F.col("g") >= min_genera)).select("time_bin")
-    chosen = rows.join(F.broadcast(best), "time_bin")
-    counted = chosen.groupBy("time_bin", "locality", "genus").agg(F.count("*").alias("n"))
-    copies = counted.select("time_bin", "locality", "genus", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    drawn = copies.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
-    noise = lambda side: F.xxhash64("locality", "genus", "copy", "iteration", F.lit(seed), F.lit(side))
-    places = shuffled_rank(drawn.select("iteration", "time_bin", "locality", "genus", "copy"), ["iteration"], noise(0), "rank").select("iteration", "time_bin", "locality", "rank")
-    genera = shuffled_rank(drawn.select("iteration", "locality", "genus", "copy"), ["iteration"], noise(1), "rank").select("iteration", "genus", "rank")
-    mixed = places.join(genera, ["iteration", "rank"]).select("iteration", "time_bin", "locality", "genus")
-    observed = counted.select(F.lit(-1).alias("iteration"), "time_bin", "locality", "genus")
-    edges = mixed.unionByName(observed).distinct()
-    found = modularity_by(project(edges.select("iteration", "locality", "genus"), ["iteration"]), "iteration").select("iteration", "modularity")
-    return found.join(F.broadcast(best)).select("iteration", "time_bin", "modularity")
+    """(iteration, time_bin, modularity, n_edges) for the bin with most rows: iteration -1 as observed, the others with genera permuted
+    over its rows, so that each locality and each genus keeps its number of rows.  No rows if the bin has too few of either.
+    A bin has less than a thousand million rows, or drawing fails."""
+
+    def run(frames):
+        for iteration, time_bin, places, genera, table in _tables(frames, seed):
+            place, genus = np.nonzero(table)
+            pairs = linked(place, genus, len(places), len(genera))
+            yield pd.DataFrame({"iteration": [iteration], "time_bin": [time_bin], "modularity": [modularity(communities(list(range(len(places))), pairs), pairs)], "n_edges": [len(pairs)]})
+
+    bins = largest_bin(occ, width, cell, min_localities, min_genera)
+    return null_tables(bins, iterations, seed).mapInPandas(run, "iteration int, time_bin double, modularity double, n_edges long")
+
+
+def null_marginals(occ: DataFrame, iterations: int = 100, seed: int = 42, width: float = 5.0, cell: float = 5.0, min_localities: int = 10, min_genera: int = 10) -> DataFrame:
+    """(iteration, kind, name, n): rows of each locality and of each genus in the tables that ``null_model`` draws."""
+
+    def run(frames):
+        for iteration, _, places, genera, table in _tables(frames, seed):
+            for kind, names, n in (("locality", places, table.sum(1)), ("genus", genera, table.sum(0))):
+                yield pd.DataFrame({"iteration": iteration, "kind": kind, "name": names, "n": n})
+
+    bins = largest_bin(occ, width, cell, min_localities, min_genera)
+    return null_tables(bins, iterations, seed).mapInPandas(run, "iteration int, kind string, name string, n long")
 
 
 def null_model_summary(null: DataFrame) -> DataFrame:

@@ -122,10 +122,13 @@ def hemisphere_diversity(occ: DataFrame) -> DataFrame:
 
 
 def genus_explorer(occ: DataFrame) -> DataFrame:
-    """Range, occurrences and the most frequent reference of each genus (the least one at a tie, ``Unknown`` without any)."""
-    rows = occ.dropna(subset=list(PLACED))
-    found = rows.groupBy("genus").agg(F.min("mid_ma").alias("min_age"), F.max("mid_ma").alias("max_age"), F.count("*").alias("occurrences"), F.mode("primary_reference", True).alias("reference"))
-    return found.withColumn("reference", F.coalesce("reference", F.lit("Unknown")))
+    """Range, occurrences and the most frequent reference of each genus (the least one at a tie, ``Unknown`` without any).
+
+    Rows are counted by genus and reference first, so that a genus of many rows is one small group for each of its references.
+    """
+    counts = occ.dropna(subset=list(PLACED)).groupBy("genus", "primary_reference").agg(F.min("mid_ma").alias("lo"), F.max("mid_ma").alias("hi"), F.count("*").alias("n"))
+    first = F.min(F.when(F.col("primary_reference").isNotNull(), F.struct(-F.col("n"), "primary_reference"))).getField("primary_reference")
+    return counts.groupBy("genus").agg(F.min("lo").alias("min_age"), F.max("hi").alias("max_age"), F.sum("n").alias("occurrences"), F.coalesce(first, F.lit("Unknown")).alias("reference"))
 
 
 def explorer_search(explorer: DataFrame, term: str) -> DataFrame:
@@ -142,10 +145,10 @@ def occurrence_map(occ: DataFrame) -> DataFrame:
     return occ.dropna(subset=["lat", "lng"]).groupBy("lat", "lng").agg(F.count("*").alias("occurrences"))
 
 
-def stable_sample(rows: DataFrame, n: int, seed: int = 42, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """Exactly ``n`` rows (all, if fewer), the same ones whatever the partitioning."""
-    keys = list(columns or rows.columns)
-    return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+def stable_sample(rows: DataFrame, n: int, seed: int = 42, names: tuple[str, ...] = ("occurrence_id", "genus")) -> DataFrame:
+    """Exactly ``n`` rows (all, if fewer), the same ones whatever the partitioning: the first by a hash of ``names``, then by all columns."""
+    noise = F.md5(F.concat_ws("/", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names)))
+    return rows.orderBy(noise, *rows.columns).limit(n)
 
 
 def map_sample(occ: DataFrame, n: int = 2000, seed: int = 42) -> DataFrame:

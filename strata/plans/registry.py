@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import climate, diversity, extinction_model, network, ranges, taxonomy, turnover
 from strata.sources import normalize
+from strata.sources.schema import COLUMNS
 from strata.streaming import occurrences as stream
 from strata.sources.tables import OCCURRENCES_SQL, occurrences
 
@@ -28,7 +29,7 @@ def _add(name: str, build: Callable[[DataFrame], DataFrame], *ctes: str) -> None
     """``ctes``: further common table expressions; the last item is the query itself."""
     QUERIES[name] = lambda spark, sf_dir: build(occurrences(spark, sf_dir))
     if ctes:
-        ORACLE_SQL[name] = f"with {', '.join([OCCURRENCES_SQL, *ctes[:-1]])} {ctes[-1]}"
+        ORACLE_SQL[name] = f"with recursive {', '.join([OCCURRENCES_SQL, *ctes[:-1]])} {ctes[-1]}"
 
 
 def _rounded(build: Callable[[DataFrame], DataFrame], *columns: str, places: int = 6) -> Callable[[DataFrame], DataFrame]:
@@ -51,7 +52,10 @@ _add("diversity_curve_geo", lambda o: diversity.diversity_curve(o, required=dive
 _SQS = ("counts as (select time_bin, genus, count(*) as n from dated group by 1, 2)",
         "cum as (select time_bin, n, sum(n) over (partition by time_bin order by n desc, genus rows unbounded preceding) as c, sum(n) over (partition by time_bin) as t from counts)")
 _add("sqs_diversity", diversity.sqs_diversity, DATED, *_SQS, "select time_bin, count(*) filter (2*(c-n) < t) as sqs_diversity from cum group by 1")
-_add("sqs_diversity_float", lambda o: diversity.sqs_diversity(o, float_compat=True))
+_add("sqs_diversity_float", lambda o: diversity.sqs_diversity(o, float_compat=True), DATED, _SQS[0],
+     "shares as (select time_bin, n / sum(n) over (partition by time_bin) as share, row_number() over (partition by time_bin order by n desc, genus) as k from counts)",
+     "taken as (select distinct time_bin, 0 as k, 0.0e0 as so_far from shares union all select t.time_bin, t.k + 1, t.so_far + s.share from taken t join shares s on s.time_bin = t.time_bin and s.k = t.k + 1 where t.so_far < 0.5e0)",
+     "select time_bin, max(k)::bigint as sqs_diversity from taken group by 1")
 _add("latitudinal_centroid", _rounded(diversity.latitudinal_centroid, "mean_abs_lat"), PLACED,
      "select time_bin, round(avg(abs(lat)), 6) as mean_abs_lat, count(*) as n, count(distinct genus) as diversity from placed group by 1 having count(*) >= 100")
 
@@ -100,8 +104,10 @@ _add("quality_report", normalize.quality_report, "select source_db, count(*) as
 _add("running_genera", stream.running_genera, DATED, "select time_bin, genus, count(*) as occurrences from dated group by 1, 2")
 _add("normalized", normalize.conform, "select * from occ")
 _add("unique_occurrences", lambda o: normalize.drop_repeats(normalize.conform(o)).select("source_db", "occurrence_id"), "select distinct source_db, occurrence_id from occ")
-_add("stable_sample", lambda o: ranges.stable_sample(o.dropna(subset=list(diversity.PLACED)), 20_000))
-_add("map_sample", ranges.map_sample)
+_NOISE = "md5(concat_ws('/', '42', coalesce(occurrence_id, ''), coalesce(genus, '')))"
+_add("stable_sample", lambda o: ranges.stable_sample(o.dropna(subset=list(diversity.PLACED)), 20_000), "named as (select * from occ where mid_ma is not null and genus is not null and lat is not null and lng is not null)",
+     f"select * from named order by {_NOISE}, {', '.join(f'{chr(34)}{c}{chr(34)} nulls first' for c in COLUMNS)} limit 20000")
+_add("map_sample", ranges.map_sample, PLACED, MESOZOIC, f"select lat, lng from meso order by {_NOISE}, occurrence_id, genus, mid_ma, lat, lng limit 2000")
 
 _FILLED = """filled as (select coalesce(phylum, 'Unknown') as p, coalesce("class", 'Unknown') as c, coalesce("order", 'Unknown') as o from occ)"""
 _add("sunburst", taxonomy.sunburst, _FILLED, "top as (select o from filled group by 1 order by count(*) desc, o limit 50)",
@@ -130,17 +136,45 @@ _TEXT = "concat(printf('%.1f', {}), ',', printf('%.1f', {}))"
 _add("bin_projection_edges", network.bin_projection_edges, PLACED, f"e as (select distinct time_bin, {_TEXT.format('lat_bin', 'lng_bin')} as locality, genus from placed)", _EDGES.format(by="a.time_bin,", rows="e", on="a.time_bin = b.time_bin and"))
 _add("locality_network_edges", network.locality_network_edges, f"p as (select {_TEXT.format(_bin('lat'), _bin('lng'))} as locality, genus from occ where lat is not null and lng is not null and genus is not null)",
      "top as (select locality from p group by 1 order by count(*) desc, locality limit 50)", "e as (select distinct locality, genus from p where locality in (select locality from top))", _EDGES.format(by="", rows="e", on=""))
+_PAIRED = f"e as (select distinct time_bin, {_TEXT.format('lat_bin', 'lng_bin')} as locality, genus from placed)"
+_ROBUST = "robust as (select time_bin, avg(abs(lat)) as mean_abs_lat, count(distinct genus) as diversity, count(distinct (lat_bin, lng_bin)) as localities, count(*) as n from placed group by 1 having count(*) >= 100 and count(distinct genus) >= 5 and count(distinct (lat_bin, lng_bin)) >= 5)"
+_BIN_EDGES = f"edges as ({_EDGES.format(by='a.time_bin,', rows='e', on='a.time_bin = b.time_bin and')})"
+_add("locality_network_nodes", network.locality_network_nodes, f"p as (select {_bin('lat')} as lat_bin, {_bin('lng')} as lng_bin, {_TEXT.format(_bin('lat'), _bin('lng'))} as locality, genus from occ where lat is not null and lng is not null and genus is not null)",
+     "top as (select locality, lat_bin, lng_bin, count(*) as occurrences from p group by 1, 2, 3 order by 4 desc, 1 limit 50)", "e as (select distinct locality, genus from p where locality in (select locality from top))",
+     f"edges as ({_EDGES.format(by='', rows='e', on='')})", "ends as (select src as locality from edges union all select dst from edges)",
+     "select t.locality, t.lat_bin, t.lng_bin, t.occurrences, count(x.locality) as degree from top t left join ends x using (locality) group by 1, 2, 3, 4")
 _add("biogeographic_dynamics", network.biogeographic_dynamics)
+_add("biogeographic_bins", _rounded(lambda o: network.robust_bins(network.located(o)), "mean_abs_lat"), PLACED, _ROBUST, "select time_bin, round(mean_abs_lat, 6) as mean_abs_lat, diversity, localities, n from robust")
+_add("biogeographic_edges", lambda o: network.biogeographic_dynamics(o).select("time_bin", "diversity", "n_edges"), PLACED, _ROBUST, _PAIRED, _BIN_EDGES,
+     "select r.time_bin, r.diversity, (select count(*) from edges x where x.time_bin = r.time_bin) as n_edges from robust r")
+_LARGEST = "best as (select time_bin from (select time_bin, count(*) as n, count(distinct (lat_bin, lng_bin)) as l, count(distinct genus) as g from placed group by 1 order by 2 desc, 1 limit 1) where l >= 10 and g >= 10)"
 _add("null_histogram", lambda o: network.null_histogram(network.null_model(o)))
 _add("null_model", lambda o: network.null_model_summary(network.null_model(o)))
-
-
-def _model(occ: DataFrame) -> extinction_model.ExtinctionModel:
-    found = extinction_model.fit(turnover.extinction_features(occ).persist())
-    if found is None:
-        raise ValueError("too few samples")
-    return found
-
-
-_add("extinction_model_metrics", lambda o: extinction_model.metrics(_model(o)))
-_add("feature_importances", lambda o: extinction_model.feature_importances(_model(o)))
+_add("null_observed", lambda o: network.null_model(o, iterations=0).select("iteration", "time_bin", "n_edges"), PLACED, _LARGEST, _PAIRED, _BIN_EDGES,
+     "select -1 as iteration, time_bin, (select count(*) from edges x where x.time_bin = best.time_bin) as n_edges from best")
+_add("null_marginals", network.null_marginals, PLACED, _LARGEST, f"r as (select {_TEXT.format('lat_bin', 'lng_bin')} as locality, genus from placed join best using (time_bin))",
+     "m as (select 'locality' as kind, locality as name, count(*) as n from r group by 1, 2 union all select 'genus', genus, count(*) from r group by 1, 2)",
+     "select (i.k - 1)::int as iteration, kind, name, n from m, range(101) i(k)")
+
+
+def _with_model(use: Callable[[extinction_model.ExtinctionModel], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """``use`` of a model; the features are held while it is fitted and released then."""
+
+    def build(occ: DataFrame) -> DataFrame:
+        features = turnover.extinction_features(occ).persist()
+        try:
+            found = extinction_model.fit(features)
+            if found is None:
+                raise ValueError("too few samples")
+            return use(found)
+        finally:
+            features.unpersist()
+
+    return build
+
+
+_add("extinction_model_metrics", _with_model(extinction_model.metrics))
+_add("feature_importances", _with_model(extinction_model.feature_importances))
+_add("extinction_split", lambda o: extinction_model.split_sizes(turnover.extinction_features(o)), *_FEATURES,
+     "sizes as (select extinct_next_bin, count(*) as n, floor(count(*) * 0.7e0)::bigint as k from features group by 1)",
+     "select 'train' as side, extinct_next_bin, k as n from sizes where k > 0 union all select 'test', extinct_next_bin, n - k from sizes where n > k")

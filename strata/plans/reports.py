@@ -73,7 +73,8 @@ def facts(occ: DataFrame) -> list[str]:
     if top:
         late, early = periods["Cretaceous"], periods["Triassic"] + periods["Jurassic"]
         out += [f"The table has {count:,} Mesozoic genera.", f"Most Mesozoic occurrences, {top.occurrences:,}, are of {top.genus}.",
-                f"The Cretaceous has {late:,} genera" + (", more than the Triassic and the Jurassic have together." if late > early else ".")]
+                f"The Cretaceous has {late:,} genera" + (", more than the Triassic and the Jurassic have together." if late > early else "."),
+                f"{top.genus} was found {top.occurrences:,} times."]
     if stats.total_occurrences:
         out.append(f"All {stats.total_occurrences:,} occurrences span {stats.oldest:.0f} million years.")
     if widest := ranges.geographic_champions(occ, 1).first():

@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterable
 from datetime import datetime
 from urllib import error, parse, request
 
+#: Fixed values of the services: addresses, and what is asked for.
 PBDB_URL = "https://paleobiodb.org/data1.2/occs/list.csv"
 NEOTOMA_URL = "https://api.neotomadb.org/v2.0/data/occurrences"
+PBDB_QUERY = {"show": "coords,class,paleoloc,strat,time,env,ref", "limit": "all", "vocab": "pbdb"}
 
 #: (URL, query) to chunks of bytes
 Transport = Callable[[str, dict[str, str]], Iterable[bytes]]
@@ -28,7 +30,7 @@ def _path(folder: str, filename: str | None, stem: str, ending: str) -> str:
 
 def fetch_pbdb(interval: str = "Cambrian,Cretaceous", folder: str = "data/raw", filename: str | None = None, transport: Transport = http) -> str | None:
     """Streams all occurrences of an interval to a CSV file; its path, or None if the request fails."""
-    query = {"interval": interval, "show": "coords,class,paleoloc,strat,time,env,ref", "limit": "all", "vocab": "pbdb"}
+    query = {"interval": interval} | PBDB_QUERY
     path = _path(folder, filename, "pbdb_occurrences", "csv")
     try:
         with open(path + ".part", "wb") as out:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +193,70 @@ def test_extinction_model(spark):
     assert found.accuracy > 0.95 and found.roc_auc > 0.95 and model.train.count() + model.test.count() == 300
     assert sum(r.importance for r in extinction_model.feature_importances(model).collect()) == pytest.approx(1.0)
     assert extinction_model.fit(features.limit(50)) is None
+
+
+def slow_communities(n, edges):
+    """Every pair of linked communities is tried at each step; the first of the best ones is merged."""
+    parts, tied = {k: {k} for k in range(n)}, False
+    while True:
+        now = network.modularity(list(parts.values()), edges)
+        gains = {}
+        for a, b in itertools.combinations(sorted(parts), 2):
+            if any((x in parts[a] and y in parts[b]) or (y in parts[a] and x in parts[b]) for x, y in edges):
+                joined = [p for k, p in parts.items() if k not in (a, b)] + [parts[a] | parts[b]]
+                gains[a, b] = network.modularity(joined, edges) - now
+        best = max(gains.values(), default=0)
+        if best <= 1e-12:
+            return list(parts.values()), tied
+        a, b = min(pairs := [pair for pair, g in gains.items() if g > best - 1e-12])
+        tied |= len(pairs) > 1
+        parts[a] |= parts.pop(b)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_communities_against_a_slow_greedy_version(seed):
+    rng = random.Random(seed)
+    n = rng.randint(4, 16)
+    edges = [e for e in itertools.combinations(range(n), 2) if rng.random() < (0.6 if e[0] % 3 == e[1] % 3 else 0.1)]
+    if not edges:
+        return
+    fast, (slow, tied) = network.communities(list(range(n)), edges), slow_communities(n, edges)
+    assert tied or sorted(map(sorted, fast)) == sorted(map(sorted, slow))
+    assert network.modularity(fast, edges) == pytest.approx(network.modularity(slow, edges), abs=0.03 if tied else 1e-9)
+
+
+@pytest.mark.parametrize("step", [1, 7, 4096])
+def test_linked_places(step):
+    rng = np.random.default_rng(step)
+    place, genus = rng.integers(0, 12, 60), rng.integers(0, 30, 60)
+    want = {(a, b) for a, b in itertools.combinations(range(12), 2) if set(genus[place == a]) & set(genus[place == b])}
+    assert set(network.linked(place, genus, 12, 30, step)) == want
+
+
+def test_permuted_tables_are_those_of_shuffled_rows():
+    """Sums stay, and tables are as frequent as if genera were shuffled over the rows."""
+    places, genera = np.array([0, 0, 0, 1, 1]), np.array([0, 0, 1, 1, 2])
+    table = lambda p, g: tuple(np.bincount(3 * p + g, minlength=6).tolist())
+    rng = np.random.default_rng(1)
+    want = Counter(table(places, np.array(g)) for g in itertools.permutations(genera.tolist()))
+    found = Counter(tuple(np.concatenate(list(network.permuted(np.array([3, 2]), np.array([2, 2, 1]), rng))).tolist()) for _ in range(12_000))
+    assert set(found) == set(want) and all(found[t] == pytest.approx(100 * n, rel=0.15) for t, n in want.items())
+
+
+def test_split_takes_the_share_of_each_class(spark):
+    rows = [(f"g{k}", 5.0, int(k % 3 == 0), 1) for k in range(100)]
+    frame = spark.createDataFrame(rows, "genus string, time_bin double, extinct_next_bin int, abundance int")
+    found = {(r.side, r.extinct_next_bin): r.n for r in extinction_model.split_sizes(frame).collect()}
+    assert found == {("train", 1): 23, ("test", 1): 11, ("train", 0): 46, ("test", 0): 20}
+    train, test = extinction_model.stratified_split(frame.repartition(7))
+    assert train.intersect(test).count() == 0 and sorted(map(tuple, train.collect())) == sorted(map(tuple, extinction_model.stratified_split(frame)[0].collect()))
+
+
+def test_network_guards(spark):
+    """A bin stays only with enough rows, localities and genera."""
+    def rows(bin_, n, places, genera):
+        return [(f"g{k % genera}", float(bin_), 5.0 * (k % places), 0.0) for k in range(n)]
+
+    frame = spark.createDataFrame(rows(5, 100, 6, 7) + rows(50, 99, 6, 7) + rows(100, 120, 4, 7) + rows(150, 120, 6, 4), "genus string, mid_ma double, lat double, lng double")
+    found = network.biogeographic_dynamics(frame).collect()
+    assert [(r.time_bin, r.diversity) for r in found] == [(5.0, 7)]

@@ -97,7 +97,7 @@ def test_reports_and_analyses(spark, sf_dir, tmp_path):
 
     path = str(tmp_path / "occ.parquet")
     occurrences(spark, sf_dir).write.parquet(path)
-    for name in ("rates", "climate", "deep-time", "dino-zone", "taxonomy"):
+    for name in reports.DOCUMENTS:
         assert cli.main(["report", "--name", name, "--input", path, "--output", str(tmp_path / "r")], spark) == 0
     rates = json.load(open(tmp_path / "r" / "rates_data.json"))
     assert rates[0]["time"] > rates[-1]["time"] and all(0 <= r["extinction_rate"] <= 1 and r["originations"] <= r["total_genera"] for r in rates)
@@ -107,10 +107,47 @@ def test_reports_and_analyses(spark, sf_dir, tmp_path):
     assert json.load(open(tmp_path / "r" / "dino_zone_data.json"))["facts"]
     assert cli.main(["analyze", "--type", "basic", "--input", path, "--output", str(tmp_path / "a")], spark) == 0
     assert spark.read.parquet(str(tmp_path / "a" / "diversity_curve.parquet")).count() == len(rates)
+    null = json.load(open(tmp_path / "r" / "null_data.json"))
+    assert null is None or (len(null["null_distribution"]) == 100 and null["significant"] == (null["p_value"] < 0.05))
+    tables = {"advanced": ("locality_network", "locality_nodes", "sqs_diversity"), "sota": ("biogeographic_dynamics", "latitudinal_shift"), "ml": ("feature_importances", "model_metrics"), "check": ("quality", "eras")}
+    for kind, names in tables.items():
+        assert cli.main(["analyze", "--type", kind, "--input", path, "--output", str(tmp_path / "a")], spark) == 0
+        assert all(spark.read.parquet(str(tmp_path / "a" / f"{n}.parquet")).count() >= (kind != "sota") for n in names)
+    assert "Accuracy" in open(tmp_path / "a" / "ml_extinction_summary.txt").read()
     web = reports.web_data(spark.read.parquet(path), sample=1500)
     assert set(web) == {"diversity", "sqs", "map", "sota", "ml"} and web["ml"]["accuracy"] > 0
 
 
+def test_facts_follow_their_conditions(spark):
+    """Each sentence is there only for what has rows, and the comparison only if it holds."""
+    columns = "genus string, mid_ma double, lat double, lng double, max_ma double, min_ma double"
+    row = lambda g, age: (g, age, 1.0, 2.0, age + 1, age - 1)
+    late = [row("A", 100.0), row("A", 90.0), row("B", 80.0), row("C", 70.0), row("D", 230.0)]
+    said = reports.facts(spark.createDataFrame(late, columns))
+    assert said[0] == "The table has 4 Mesozoic genera." and said[1] == "Most Mesozoic occurrences, 2, are of A." and said[3] == "A was found 2 times."
+    assert "3 genera, more than the Triassic and the Jurassic" in said[2] and len(said) == 7
+    early = reports.facts(spark.createDataFrame([row("A", 230.0), row("B", 160.0), row("C", 70.0)], columns))
+    assert early[2] == "The Cretaceous has 1 genera."
+    assert reports.facts(spark.createDataFrame([], columns)) == []
+    assert not any("Mesozoic" in s for s in reports.facts(spark.createDataFrame([row("A", 10.0)], columns)))
+
+
+def test_download_command_shows_the_header(spark, tmp_path, monkeypatch, capsys):
+    asked = []
+
+    def fetch(interval, folder):
+        asked.append(interval)
+        path = tmp_path / "pbdb_occurrences_9.csv"
+        path.write_text("occurrence_no,genus\n1,Rex\n")
+        return str(path)
+
+    monkeypatch.setattr(acquire, "fetch_pbdb", fetch)
+    assert cli.main(["download", "--interval", "Permian", "--output", str(tmp_path)], spark) == 0 and asked == ["Permian"]
+    assert "occurrence_no" in capsys.readouterr().out
+    monkeypatch.setattr(acquire, "fetch_neotoma", lambda limit, folder: asked.append(limit))
+    assert cli.main(["download", "--source", "neotoma", "--limit", "7"], spark) == 1 and asked == ["Permian", 7]
+
+
 def test_stream_counts_files_as_they_arrive(spark, sf_dir, tmp_path):
     from strata.operators.diversity import diversity_curve
     from strata.sources.tables import occurrences
