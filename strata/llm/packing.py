@@ -7,12 +7,16 @@ every dimension, as many at a time as either class has.  The score of a bin is e
 size and the bin's residual (more is better) or the weighted norm of the residual after placing (less is better).  All given rules
 are tried on the histogram and the one with fewest bins is taken.
 
+With one limit on tokens alone (1,024 documents and 1,024 squared in attention never bind below 1,024 tokens) every rule keeps the
+token limit, and the further dimensions only rank bins; smaller limits bind, and then a rule that sees them needs fewer bins.
+
 A plan is a list of runs: items of one length, ranks lo.. up, go to consecutive bins at one offset.  Ranks within a length come
-from window functions over hashed buckets and prefix sums of bucket counts, so that a length which many documents share does not
-meet in one task; a join on the length then places each item.
+from window functions over hashed buckets, whose number follows the items, and prefix sums of bucket counts, so that a length which
+many documents share does not meet in one task; each item then looks up its run among those of its length.
 
 Defined results: null text counts as empty (the end id alone); only documents above the capacity are cut, into full pieces after
-a first piece with the rest; repeated rows are packed each; an empty table gives no pieces.
+a first piece with the rest; repeated rows are packed each; an empty table gives no pieces; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -46,7 +50,8 @@ class Rule:
     weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
 
 
-RULES = (Rule("norm", (1.0, 0.0, 0.0)), Rule("norm", (1.0, 0.1, 0.1)), Rule("norm", (1.0, 0.0, 0.5)), Rule("dot", (1.0, 0.0, 0.0)), Rule("dot", (1.0, 0.1, 0.1)))
+#: The first one of those with the fewest bins is taken.
+RULES = (Rule("norm", (1.0, 0.1, 0.1)), Rule("norm", (1.0, 0.0, 0.5)), Rule("dot", (1.0, 0.1, 0.1)), Rule("dot", (0.0, 0.0, 1.0)), Rule("norm", (1.0, 0.0, 0.0)), Rule("dot", (1.0, 0.0, 0.0)))
 
 #: length, rank of the first item, number of items, bin of the first item, place in the bin
 Run = tuple[int, int, int, int, int]
@@ -149,25 +154,35 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, text: st
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + (f", {keep} array<int>" if keep else ""))
 
 
-def place(items: DataFrame, limits: Limits = Limits(), rules: tuple[Rule, ...] = RULES, length: str = "length", buckets: int | None = None) -> DataFrame:
-    """``items`` with ``sequence_id`` and ``offset``.  ``items`` is read twice, so it should be a written table."""
+def place(items: DataFrame, limits: Limits = Limits(), rules: tuple[Rule, ...] = RULES, length: str = "length", salt: str | None = None, bucket_rows: int = 1_000_000) -> DataFrame:
+    """``items`` with ``sequence_id`` and ``offset``, without ``salt``.  ``items`` is read several times, so it should be a written table.
+
+    Items of one length are ranked in buckets of about ``bucket_rows`` by a hash of the row; rows that may be alike in every column
+    need a ``salt`` column, so that they spread too.
+    """
     spark = items.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    others = [c for c in items.columns]
-    marked = items.withColumn("_bucket", F.pmod(F.xxhash64(*others), F.lit(buckets)).cast("int"))
-    counts = marked.groupBy(length, "_bucket").agg(F.count("*").alias("_n"))
     histogram = {int(r[length]): r.n for r in items.groupBy(length).agg(F.count("*").alias("n")).collect()}  # at most limits.tokens rows
     runs, _ = plan(histogram, limits, rules)
-    bases = counts.withColumn("_base", F.sum("_n").over(Window.partitionBy(length).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).drop("_n")
-    within = F.row_number().over(Window.partitionBy(length, "_bucket").orderBy(*others)) - 1
-    ranked = marked.withColumn("_within", within).join(bases, [length, "_bucket"]).withColumn("_rank", F.col("_within") + F.col("_base"))
-    # a plan has runs for at most limits.tokens lengths, whatever the number of items
-    table = spark.createDataFrame([(*r,) for r in runs] or [(0, 0, 0, 0, 0)], f"`{length}` long, _lo long, _number long, _bin long, _at long")
-    near = F.broadcast(table) if len(runs) <= 200_000 else table
-    placed = ranked.join(near, length).filter((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_lo") + F.col("_number")))
-    return placed.select(*others, (F.col("_bin") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), F.col("_at").alias("offset"))
+    by_length = defaultdict(list)
+    for n, *run in runs:
+        by_length[n].append(tuple(run))
+    # a row for each length; a plan has at most limits.tokens ** 2 runs, whatever the number of items
+    table = spark.createDataFrame(list(by_length.items()), "_length long, _runs array<struct<lo:long,number:long,bin:long,at:long>>")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(histogram.values()) // bucket_rows)
+    row = F.struct(*(c for c in items.columns if c != salt))
+    marked = items.select(row.alias("_row"), F.col(length).cast("long").alias("_length"), F.pmod(F.xxhash64(*items.columns), F.lit(buckets)).alias("_bucket"))
+    counts = marked.groupBy("_length", "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bases = counts.select("_length", "_bucket", (F.sum("_n").over(before) - F.col("_n")).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_length", "_bucket").orderBy("_row")) - 1
+    ranked = marked.withColumn("_within", within).join(bases, ["_length", "_bucket"]).withColumn("_rank", F.col("_within") + F.col("_base"))
+    own = F.filter("_runs", lambda r: (r.lo <= F.col("_rank")) & (F.col("_rank") < r.lo + r.number))[0]
+    placed = ranked.join(F.broadcast(table), "_length").withColumn("_run", own)
+    return placed.select("_row.*", (F.col("_run.bin") + F.col("_rank") - F.col("_run.lo")).alias("sequence_id"), F.col("_run.at").alias("offset"))
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, limits: Limits = Limits(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, piece, start, length, ids_crc32, sequence_id, offset) of all pieces."""
-    return place(materialise(pieces(docs, tokenizer, end_id, limits.tokens, text, key), "pieces"), limits)
+    found = pieces(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), tokenizer, end_id, limits.tokens, "_text", "_key")
+    items = materialise(found.withColumn("_salt", (F.monotonically_increasing_id() % 1024).cast("int")), "pieces")
+    return place(items, limits, salt="_salt").withColumnRenamed("_key", key)

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strata.llm import packing
@@ -91,12 +92,34 @@ def test_repeated_rows_and_empty(docs, rows, empty):
     assert packing.pack(empty, PATH, 2).count() == 0
 
 
-def test_small_limits_on_a_hot_length(spark):
-    items = spark.range(5000).select("id", (__import__("pyspark").sql.functions.lit(7)).cast("long").alias("length"))
-    found = packing.place(items, Limits(100, 3, 1_000_000), buckets=8).collect()
+@pytest.mark.parametrize("bucket_rows", [100, 1_000_000])
+def test_small_limits_on_a_hot_length(spark, bucket_rows):
+    items = spark.range(5000).select("id", F.lit(7).cast("long").alias("length"))
+    found = packing.place(items, Limits(100, 3, 1_000_000), bucket_rows=bucket_rows).collect()
     assert len({(r.sequence_id, r.offset) for r in found}) == 5000 and {r.offset for r in found} == {0, 7, 14}
 
 
+def test_limits_that_bind():
+    """Every limit is met where each of them binds, and rules that see all dimensions need fewer bins than those that see tokens only."""
+    rng = random.Random(3)
+    histogram = defaultdict(int)
+    for _ in range(4000):
+        histogram[rng.choice([rng.randint(4, 30), rng.randint(30, 200), rng.randint(200, 600)])] += 1
+    limits, bins = Limits(1024, 8, 380_000), {}
+    for rule in packing.RULES:
+        runs, bins[rule] = packing.pack_histogram(histogram, limits, rule)
+        holds(histogram, limits, runs, bins[rule])
+    free = packing.plan(histogram, Limits())[1]
+    scalar = min(n for r, n in bins.items() if r.weights == (1.0, 0.0, 0.0))
+    assert free < packing.plan(histogram, limits)[1] == min(bins.values()) < scalar
+
+
+def test_alike_rows_and_clashing_names(spark):
+    frame = spark.createDataFrame([(None, None, 1, 2, 3)] * 50 + [(1, "a b", 1, 2, 3)], "length long, text string, _n int, piece2 int, _rank int")
+    found = packing.pack(frame.withColumnRenamed("length", "doc"), PATH, 2, key="doc").collect()
+    assert len(found) == 51 and len({(r.sequence_id, r.offset) for r in found}) == 51
+
+
 def test_pieces_keep_ids(make):
     found = packing.pieces(make([(1, "a b c"), (2, None)]), PATH, 2, 3, keep="ids").collect()
     assert {(r.doc_id, r.piece): list(r.ids) for r in found}[2, 0] == [2] and all(len(r.ids) == r.length for r in found)
