@@ -10,10 +10,11 @@ give what leftmost, non-overlapping searches with these patterns give, each kind
 * phone ``\\+[0-9][\\x20().0-9-]+[0-9]``, 9 to 15 digits
 
 Further kinds need their own cue: ``account`` (a number after words such as IBAN, account, SSN; IBANs must pass modulo 97) and
-``address`` (after mailto:, sip:, xmpp: or as user information in a URL).
+``address`` (after mailto:, sip:, xmpp: or as user information in a URL).  Each is expanded as far as its characters go and validated
+as a whole: what is too long for its kind is no span, and no span ends inside of a longer one.
 
 Defined results: null text counts as empty, which has no spans; spans count code points, end exclusive; repeated rows each
-give a row; other columns are not read.
+give a row; an empty table gives no rows; texts of any length are read whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,9 +40,10 @@ _DIGITS = re.compile(r"[0-9]+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_NUMBER = re.compile(r"(?i:\s*(?:no|nr|number|num)\b\.?)?[\s:#=]{1,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}|[0-9](?:[ -]?[0-9]){5,18})(?![A-Za-z0-9])")
-_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}")
-_USER = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?::[^\s/@]{1,64})?@")
+_CUED = re.compile(r"(?i:\s*(?:no|nr|number|num)\b\.?)?[\s:#=]{1,4}")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]+)+")
+_NUMBER = re.compile(r"[0-9](?:[ -]?[0-9])*(?![A-Za-z0-9])")
+_USER = re.compile(r"([A-Za-z0-9._%+-]+)(?::[^\s/@]+)?@")
 
 
 @functools.cache
@@ -70,6 +72,35 @@ def iban(text: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def account_at(text: str, start: int) -> tuple[int, int] | None:
+    """The whole number after a cue, 6 to 19 digits of it, or the longest valid IBAN; a longer number is none."""
+    cue = _CUED.match(text, start)
+    if cue and (m := _NUMBER.match(text, cue.end())):
+        return m.span() if 6 <= sum(map(str.isdigit, m[0])) <= 19 else None
+    if cue and (m := _IBAN.match(text, cue.end())):
+        groups = m[0].split(" ")
+        for n in range(len(groups), 0, -1):
+            if iban(found := " ".join(groups[:n])):
+                return m.start(), m.start() + len(found)
+    return None
+
+
+def address_at(text: str, start: int) -> tuple[int, int] | None:
+    """The whole address from ``start`` on, if its local part has at most 64 characters and its domain 253, 63 in each label."""
+    end = start
+    while end < len(text) and text[end] in _LOCAL:
+        end += 1
+    if not start < end <= start + 64 or not text.startswith("@", end) or not (m := _DOMAIN.match(text, end + 1)):
+        return None
+    return (start, m.end()) if len(m[0]) <= 253 and max(map(len, m[0].split("."))) <= 63 else None
+
+
+def user_at(text: str, start: int) -> tuple[int, int] | None:
+    """User information in a URL, up to the at-sign."""
+    m = _USER.match(text, start)
+    return (start, m.end() - 1) if m else None
+
+
 def _is_ip(text: str) -> bool:
     return all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in text.split("."))
 
@@ -103,14 +134,10 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                 phone_to = m.end()
                 if 9 <= sum(map(str.isdigit, m[0])) <= 15:
                     out["phone"].append(m.span())
-        elif anchor == "cue":
-            m = _NUMBER.match(text, last + 1)
-            if m and (iban(m[1]) if m[1][0].isalpha() else m[1].replace(" ", "").replace("-", "").isdigit()):
-                out["account"].append(m.span(1))
         else:
-            m = (_USER if anchor == "://" else _ADDRESS).match(text, last + 1)
-            if m:
-                out["address"].append((m.start(), m.end() - (anchor == "://")))
+            kind, parser = ("account", account_at) if anchor == "cue" else ("address", user_at if anchor == "://" else address_at)
+            if span := parser(text, last + 1):
+                out[kind].append(span)
     return out
 
 

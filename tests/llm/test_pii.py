@@ -45,6 +45,27 @@ def test_cued_kinds():
     assert found["address"] == ["a@b.cc", "me:pw"] and found["email"][0] == "a@b.cc"
 
 
+def test_spans_are_whole_or_none():
+    """On both sides of each length that a kind may have; a span never ends inside of what it belongs to."""
+    part = lambda kind, text: [text[a:b] for a, b in pii.find(text)[kind]]
+    for n in (1, 63, 64, 65, 300):
+        local, label = "a" * n + "@b.cc", "x@" + "b" * n + ".cc"
+        assert part("address", "mailto:" + local) == ([local] if n <= 64 else [])
+        assert part("address", "mailto:" + label + " z") == ([label] if n <= 63 else [])
+        assert part("address", f"://{'u' * n}:{'p' * n}@host") == ["u" * n + ":" + "p" * n]
+    twelve = "me@" + ".".join(["ab"] * 12)
+    assert part("address", f"mailto:{twelve},") == [twelve] == part("email", f"mailto:{twelve},")
+    assert part("address", "mailto:me@" + ".".join(["a" * 60] * 5)) == []
+    for n in (5, 6, 19, 20, 40):
+        assert part("account", f"account {'1' * n} ok") == (["1" * n] if 6 <= n <= 19 else [])
+    assert part("account", "IBAN DE89 3704 0044 0532 0130 00 PAID NOW") == ["DE89 3704 0044 0532 0130 00"]
+
+
+def test_masked_texts_keep_nothing_of_an_address():
+    long = "a" * 70 + "@" + ".".join(["b"] * 12)
+    assert pii.mask(f"mailto:{long} x") == "mailto:[EMAIL] x"
+
+
 def test_mask():
     assert pii.mask("to a@b.co or +1 (974) 555-3436.") == "to [EMAIL] or [PHONE]."
     assert pii.mask("nothing here") == "nothing here"
