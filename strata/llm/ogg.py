@@ -10,7 +10,8 @@ number of samples after the last packet that ends on it, or -1 if none ends ther
 drops a packet of which a page is missing.
 
 Defined results: null text counts as empty; the payload of the empty text is 64 zero bytes; repeated rows each give a row;
-media that are null or no Ogg give no streams.
+media that are null or no Ogg give no streams; texts of any length are stored whole; an empty table gives no rows; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -179,13 +180,15 @@ def features(media: bytes) -> tuple:
             hashlib.sha256(media).hexdigest(), feature, found["times"][-1])
 
 
-def describe(media: DataFrame, column: str = "media", key: str = "doc_id") -> DataFrame:
-    """(key, features): reads media back; null or damaged media have null features."""
+def describe(media: DataFrame, column: str = "media", key: str = "doc_id", strict: bool = False) -> DataFrame:
+    """(key, features): reads media back; null media have null features, damaged ones too, or fail the query if ``strict``."""
 
     def one(data):
         try:
             return features(data) if data is not None else (None,) * len(_FEATURES)
         except ValueError:
+            if strict:
+                raise
             return (None,) * len(_FEATURES)
 
     def run(batches):

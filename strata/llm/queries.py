@@ -15,7 +15,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ogg.describe(ogg.store(documents(spark, sf_dir)))
+    return ogg.describe(ogg.store(documents(spark, sf_dir)), strict=True)
 
 
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,58 @@ def test_streams_apart_and_damage():
     assert ogg.demux(b"").streams == {} and ogg.demux(b"OggS").bad_pages == 1
 
 
+def plain_reader(media):
+    """Streams of undamaged Ogg bytes, byte by byte: serial to (packets, granule positions, pages)."""
+    def crc_of(page):
+        crc = 0
+        for byte in page[:22] + b"\0" * 4 + page[26:]:
+            crc ^= byte << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ 0x04C11DB7 if crc & 1 << 31 else crc << 1) & 0xFFFFFFFF
+        return crc
+
+    streams, at = {}, 0
+    while at < len(media):
+        assert media[at : at + 5] == b"OggS\0"
+        number = lambda a, b: int.from_bytes(media[at + a : at + b], "little", signed=a == 6)  # noqa: E731, B023
+        lacing = media[at + 27 : at + 27 + media[at + 26]]
+        packets, granules, pages, part = streams.setdefault(number(14, 18), ([], [], [0], [b""]))
+        assert number(18, 22) == pages[0]
+        pages[0] += 1
+        size = 27 + len(lacing) + sum(lacing)
+        assert crc_of(media[at : at + size]) == number(22, 26)
+        pos, granule = at + 27 + len(lacing), number(6, 14)
+        for value in lacing:
+            part[0] += media[pos : pos + value]
+            pos += value
+            if value < 255:
+                packets.append(part[0])
+                part[0] = b""
+        granules.append(granule)
+        at += size
+    return streams
+
+
+def test_features_by_a_plain_reader(make):
+    texts = ["", "short", "x" * 64, "caf" + chr(233) * 3000, "words and more " * 900]
+    found = {r.doc_id: r for r in ogg.describe(ogg.store(make(list(enumerate(texts)))), strict=True).collect()}
+    stored = {r.doc_id: bytes(r.media) for r in ogg.store(make(list(enumerate(texts)))).collect()}
+    for k, text in enumerate(texts):
+        media, r = stored[k], found[k]
+        assert (len(media), hashlib.sha256(media).hexdigest()) == (r.media_bytes, r.media_sha256)
+        (one, granules, pages, _), (two, _, more, _) = (plain_reader(media)[n] for n in (1, 2))
+        payload = b"".join(one[1:])
+        assert payload == ogg.padded(text.encode()) and hashlib.sha256(payload).hexdigest() == r.payload_sha256
+        assert [int.from_bytes(p, "little") for p in two[1:]] == [zlib.crc32(p) for p in one[1:]]
+        assert r.feature == f"streams=2;pages={pages[0] + more[0]};packets={len(one) + len(two)};rate=8000;end_us={round(max(granules) / 8000 * 1e6)};mean={sum(payload) / len(payload):.6f}"
+
+
+def test_damage_fails_the_query_if_strict(spark):
+    bad = spark.createDataFrame([(1, b"OggS but no media")], "doc_id long, media binary")
+    with pytest.raises(Exception, match="damaged or incomplete"):
+        ogg.describe(bad, strict=True).collect()
+
+
 def test_query(docs, rows, spark):
     got = Counter(tuple(r)[:5] for r in ogg.describe(ogg.store(docs)).collect())
     want = Counter((k, len(b := (t or "").encode()), len(p := ogg.padded(b)), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])) for k, t in rows)
