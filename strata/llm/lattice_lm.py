@@ -2,23 +2,31 @@
 
 A word's subword probability sums over all its segmentations into pieces of an existing vocabulary: a forward recursion over
 the word's bytes in log space.  Pieces that begin a word and pieces within one (or the word's end) have a distribution each.
-Their scores start from the order of the existing vocabulary and are fitted to the distinct training words by expectation
-maximisation, ``rounds`` times.  The corpus's own words are edges of the lattice too: a word seen c times in training has its
-discounted relative frequency besides the discount's mass times its subword probability.  All of that is kept for each class of
-training documents (their languages, ``max_classes`` of them at most, and one for the rest), and a text's probability is the
-mixture over classes of the product over its words and its end; so nothing but the text enters a score.
+
+``lattice_score`` is that marginal by the scores in the vocabulary's file alone.  A unigram model's scores are logarithms of
+probabilities and taken as they are; a BPE model's scores count merges (whole numbers, 0 for the first), and a piece of score s
+weighs 1 / (10 - s), as frequencies fall with ranks.  Pieces that no lower-cased word can hold are left out.
+
+``score`` is the model that learns from the corpus.  The file's weights are the prior (with ``strength``) of an expectation maximisation
+over the distinct training words, ``rounds`` times; and each word seen in training is one more edge of the lattice, over the whole
+word: seen c times it has its discounted relative frequency there, and the discount's mass goes to the pieces.  All of that
+is kept for each class of training documents (their languages; ``max_classes`` of them, the most frequent ones, and one for all others),
+and a text's probability is the mixture over classes of the product over its words and its end; so nothing but the text enters a score.
 
 Words are lower-cased (A-Z) runs of bytes other than ASCII white space.  All counts cover the whole corpus.  A lattice is run once
 for each distinct word.  Documents look up the ``hot_words`` most frequent words or fewer in a broadcast table, whose size that
-bounds; their other words are joined with the word table, where none is frequent, so that no join key is hot.
+bounds, as words above 64 bytes go by a 128-bit digest there; their other words are joined with the word table, where none
+is frequent, so that no join key is hot.
 
 Defined results: null text counts as empty (the end alone); every row is scored by itself, equal keys or not; without training
-documents every word is unknown and the scores are those of the vocabulary's order alone (the model file's are not read); an empty table gives no rows; a null key is training.
+documents every word is unknown and the scores are those of the vocabulary alone; an empty table gives no rows; a null key is
+training; texts and words of any length count whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 from collections import Counter
 from dataclasses import dataclass
@@ -29,36 +37,47 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import columns, gathered, materialise
+from strata.llm.common import columns, discard, gathered, materialise
 from strata.llm.nbsvm import held_out
 
 #: Words up to so many bytes take the recursion together; longer ones take it alone.
 TOGETHER = 48
 BATCH = 20_000
+#: Bytes that no lower-cased word holds.
+_ABSENT = b" \t\n\r\x0b\x0cABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _B = np.uint64(0x100000001B3)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def vocabulary(path: str) -> list[bytes]:
-    """Pieces of a sentencepiece model in its order, as bytes; a leading blank marks those that begin a word."""
+def vocabulary(path: str) -> dict[bytes, float]:
+    """Pieces of a sentencepiece model, as bytes, and their weights by its scores; a leading blank marks those that begin a word."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    out = []
+    score = {}
     for i in range(model.get_piece_size()):
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i):
             continue
         piece = model.id_to_piece(i).replace(chr(0x2581), " ").encode()
-        if b" " not in piece[1:]:
-            out.append(piece)
-    return out
+        if piece[1:].translate(None, _ABSENT) == piece[1:] and piece[:1].translate(None, _ABSENT[1:]) == piece[:1]:
+            score[piece] = model.get_score(i)
+    merges = all(s == int(s) for s in score.values())
+    return {p: 1 / (10 - s) if merges else math.exp(s) for p, s in score.items()}
+
+
+def name_of(word: bytes) -> bytes:
+    """What a word is looked up by: itself, or above 64 bytes a digest after a byte that no text holds."""
+    return word if len(word) <= 64 else b"\xff" + hashlib.blake2b(word, digest_size=16).digest()
 
 
 class Lattice:
-    """The vocabulary as a hashed trie: its nodes are the prefixes of pieces, and every single byte."""
+    """The vocabulary as a hashed trie: its nodes are the prefixes of pieces, the blank, and every byte that a word can hold.
+    ``weights``: of pieces; those added here weigh as little as the least."""
 
-    def __init__(self, pieces: list[bytes]):
-        pieces = list(dict.fromkeys([*pieces, *(bytes([b]) for b in range(256))]))
+    def __init__(self, weights: dict[bytes, float]):
+        least = min(weights.values(), default=1.0)
+        weights = weights | {p: least for b in range(256) if (p := bytes([b])) not in weights and (b == 32 or b not in _ABSENT)}
+        pieces, self.weight = list(weights), np.array(list(weights.values()))
         self.rank = {p: k for k, p in enumerate(pieces)}
         nodes = sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)})
         self.node_piece = np.array([self.rank.get(p, -1) for p in nodes])
@@ -201,8 +220,8 @@ class Scores:
 
 
 def estimate(lattice: Lattice, counts: np.ndarray, ends: np.ndarray, strength: float = 30.0) -> Scores:
-    """Scores from expected counts (pieces x classes), drawn towards the existing order (a piece's weight falls with its rank)."""
-    prior = 1.0 / (np.arange(len(lattice.pieces)) + 10.0)
+    """Scores from expected counts (pieces x classes), drawn towards the vocabulary's weights; these alone where counts are 0."""
+    prior = lattice.weight
     out = np.zeros_like(counts)
     b = lattice.begins
     for mask, more in ((b, 0.0), (~b, 1.0)):
@@ -276,11 +295,11 @@ def expectation(words: DataFrame, vocabulary_path: str, score: np.ndarray, n_cla
 
 def score_documents(docs: DataFrame, vocabulary_path: str, class_by: str | None = "lang", of: int = 7, rest: int = 2, max_classes: int = 7, rounds: int = 3,
                     hot_words: int = 200_000, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score)."""
     spark = docs.sparkSession
     held = held_out(key, of, rest)
     label = F.col(class_by).cast("string") if class_by and class_by in docs.columns else F.lit(None).cast("string")
-    marked = docs.select(key, text, held.alias("_held"), label.alias("_label"))
+    marked = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), held.alias("_held"), label.alias("_label"))
     found = [r["_label"] for r in marked.filter("not _held and _label is not null").groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(max_classes).collect()]
     k = len(found) + 1
     number = F.lit(k - 1)
@@ -290,8 +309,10 @@ def score_documents(docs: DataFrame, vocabulary_path: str, class_by: str | None
     ends = np.zeros(k)
     for r in marked.filter("not _held").groupBy("_class").count().collect():  # a row for each class
         ends[r["_class"]] = r["count"]
+    if k > 1 and not ends[-1]:
+        k, ends = k - 1, ends[:-1]  # no document is left for the last class
 
-    words = materialise(count_words(marked, k, text, "_class"), "words")
+    words = materialise(count_words(marked, k, "_text", "_class"), "words")
     each = lambda f: [f(F.col("c")[i]).alias(f"x{i}") for i in range(k)]
     tokens = np.array(list(words.agg(*each(lambda c: F.coalesce(F.sum(c), F.lit(0)))).first()), float)
     types, once, twice = (np.array(list(words.agg(*each(f)).first()), float) for f in (lambda c: F.count_if(c > 0), lambda c: F.count_if(c == 1), lambda c: F.count_if(c == 2)))
@@ -301,6 +322,7 @@ def score_documents(docs: DataFrame, vocabulary_path: str, class_by: str | None
 
     lattice = lattice_of(vocabulary_path)
     scores = estimate(lattice, np.zeros((len(lattice.pieces), k)), np.zeros(k))
+    given = Scores(scores.piece[:, :1], scores.stop[:1])
     for _ in range(rounds if n_all else 0):
         scores = estimate(lattice, expectation(words, vocabulary_path, scores.piece, k), types)
 
@@ -309,15 +331,16 @@ def score_documents(docs: DataFrame, vocabulary_path: str, class_by: str | None
         back = np.log(np.where(tokens > 0, discount * types / np.maximum(tokens, 1), 1.0)) + np.log1p(-end) + scores.stop
         seen = np.log1p(-end) - np.log(np.maximum(tokens, 1))
     base_of = lambda c: np.log10((c + 1) / (n_all + v_all + 1))
-    parts = spark.sparkContext.broadcast((scores.piece, back, seen, discount))
+    end_all = (ends.sum() + 0.5) / (ends.sum() + tokens.sum() + 1)
+    parts = spark.sparkContext.broadcast((np.hstack([scores.piece, given.piece]), back, seen, discount, given.stop + np.log1p(-end_all)))
 
     def price(batches):
         lattice = lattice_of(vocabulary_path)
-        piece, back, seen, discount = parts.value
+        piece, back, seen, discount, more = parts.value
         for batch in gathered(batches, 100_000):
             some, counts = columns(batch, "word", "c")
             raw, c = some.to_pylist(), _matrix(counts, k).astype(float)
-            sub = np.empty((len(raw), k))
+            sub = np.empty((len(raw), k + 1))
             for at, matrix in by_length(raw):
                 if matrix is not None:
                     sub[at] = lattice.forward(matrix, piece)
@@ -325,56 +348,59 @@ def score_documents(docs: DataFrame, vocabulary_path: str, class_by: str | None
                     for i in at.tolist():
                         sub[i] = lattice.forward_one(b" " + raw[i], piece)
             with np.errstate(divide="ignore"):
-                log10 = np.logaddexp(np.log(np.maximum(c - discount, 0)) + seen, sub + back) / math.log(10)
+                log10 = np.hstack([np.logaddexp(np.log(np.maximum(c - discount, 0)) + seen, sub[:, :k] + back), sub[:, k:] + more]) / math.log(10)
             whole = c.sum(1)
-            yield pa.RecordBatch.from_arrays([some, columns(batch, "n_all")[0], pa.array(whole > 0), pa.array(base_of(whole)), *(pa.array(log10[:, i]) for i in range(k))], ["word", "n_all", "known", "base", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(name_of, raw)), pa.binary()), columns(batch, "n_all")[0], pa.array(whole > 0), pa.array(base_of(whole)), *(pa.array(log10[:, i]) for i in range(k + 1))], ["word", "n_all", "known", "base", *names])
 
-    names = [f"p{i}" for i in range(k)]
+    names = [*(f"p{i}" for i in range(k)), "given"]
     doubles = ", ".join(f"{p} double" for p in names)
     priced = materialise(words.mapInArrow(price, f"word binary, n_all long, known boolean, base double, {doubles}"), "priced")
+    discard(words)
 
     level = F.floor(F.log2(F.col("n_all").cast("double")) * 16)
     above, least = 0, math.inf
-    for r in sorted(priced.filter(F.octet_length("word") <= 64).groupBy(level.alias("l")).count().collect(), key=lambda r: -r.l):  # some hundred rows
+    for r in sorted(priced.groupBy(level.alias("l")).count().collect(), key=lambda r: -r.l):  # some hundred rows
         above += r["count"]
         if above > hot_words:
             break
         least = r.l
-    is_hot = (level >= least) & (F.octet_length("word") <= 64) if least < math.inf else F.lit(False)
+    is_hot = level >= least if least < math.inf else F.lit(False)
     table = priced.filter(is_hot).collect()  # hot_words rows at most
-    hot = spark.sparkContext.broadcast(({bytes(r.word): i for i, r in enumerate(table)}, np.array([[r.known, r.base, *(r[p] for p in names)] for r in table], float).reshape(-1, 2 + k)))
+    hot = spark.sparkContext.broadcast(({bytes(r.word): i for i, r in enumerate(table)}, np.array([[r.known, r.base, *(r[p] for p in names)] for r in table], float).reshape(-1, 3 + k)))
 
     def look_up(batches):
         index, values = hot.value
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            keys, flags, texts = columns(batch, key, "_held", text)
-            sums, tail, sizes = np.zeros((len(keys), 2 + k)), [], np.zeros(len(keys), np.int64)
+            keys, flags, texts = columns(batch, "_key", "_held", "_text")
+            sums, tail, sizes = np.zeros((len(keys), 3 + k)), [], np.zeros(len(keys), np.int64)
             for d, t in enumerate(texts):
                 counts = Counter((t.as_py() or "").encode().lower().split())
-                at = np.fromiter((index.get(w, -1) for w in counts), np.int64, len(counts))
+                known_as = list(map(name_of, counts))
+                at = np.fromiter((index.get(w, -1) for w in known_as), np.int64, len(counts))
                 n = np.fromiter(counts.values(), np.float64, len(counts))
                 sizes[d] = n.sum()
                 known = at >= 0
                 sums[d] = n[known] @ values[at[known]]
-                tail.append([(w, int(m)) for w, m, h in zip(counts, n, known) if not h])
+                tail.append([(w, int(m)) for w, m, h in zip(known_as, n, known) if not h])
             rows = np.arange(row, row + len(keys)) + (task << 36)
             row += len(keys)
             lengths = pa.array(np.append(0, np.cumsum([len(x) for x in tail])), pa.int32())
             flat = [x for some in tail for x in some]
             lists = pa.ListArray.from_arrays(lengths, pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([m for _, m in flat], pa.int64())], ["word", "n"]))
-            yield pa.RecordBatch.from_arrays([pa.array(rows), keys, flags, pa.array(sizes + 1), *(pa.array(sums[:, i]) for i in range(2 + k)), lists], ["_row", key, "_held", "n_tokens", "known", "base", *names, "tail"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), keys, flags, pa.array(sizes + 1), *(pa.array(sums[:, i]) for i in range(3 + k)), lists], ["_row", "_key", "_held", "n_tokens", "known", "base", *names, "tail"])
 
     kind = docs.schema[key].dataType.simpleString()
-    looked = materialise(marked.select(key, "_held", text).mapInArrow(look_up, f"_row long, `{key}` {kind}, _held boolean, n_tokens long, known double, base double, {doubles}, tail array<struct<word:binary,n:long>>"), "looked")
+    looked = materialise(marked.select("_key", "_held", "_text").mapInArrow(look_up, f"_row long, _key {kind}, _held boolean, n_tokens long, known double, base double, {doubles}, tail array<struct<word:binary,n:long>>"), "looked")
     rest_of = looked.select("_row", F.explode("tail").alias("t")).select("_row", "t.word", F.col("t.n").alias("n"))
     sums = ["known", "base", *names]
     joined = rest_of.join(priced.filter(~is_hot), "word").groupBy("_row").agg(*(F.sum(F.col("n") * F.col(s).cast("double")).alias(f"t_{s}") for s in sums))
-    full = looked.join(joined, "_row", "left").select(key, "_held", "n_tokens", *((F.col(s) + F.coalesce(F.col(f"t_{s}"), F.lit(0.0))).alias(s) for s in sums))
+    full = looked.join(joined, "_row", "left").select("_key", "_held", "n_tokens", *((F.col(s) + F.coalesce(F.col(f"t_{s}"), F.lit(0.0))).alias(s) for s in sums))
     share = np.log10(np.maximum(ends, 1e-300) / max(ends.sum(), 1)) if ends.sum() else np.zeros(k)
-    logs = [F.col(p) + F.lit(float(share[i] + np.log10(end[i]))) for i, p in enumerate(names) if ends[i] or not ends.sum()]
+    logs = [F.col(p) + F.lit(float(share[i] + np.log10(end[i]))) for i, p in enumerate(names[:k]) if ends[i] or not ends.sum()]
     most = F.greatest(*logs) if len(logs) > 1 else logs[0]
     mixed = most + F.log10(sum((F.pow(F.lit(10.0), x - most) for x in logs), F.lit(0.0)))
     return full.select(
-        key, F.col("_held").alias("held_out"), "n_tokens", (F.col("known").cast("long") + (1 if ends.sum() else 0)).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + float(base_of(ends.sum()))).alias("base_score"), mixed.alias("score"))
+        F.col("_key").alias(key), F.col("_held").alias("held_out"), "n_tokens", (F.col("known").cast("long") + (1 if ends.sum() else 0)).alias("n_known"),
+        F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + float(base_of(ends.sum()))).alias("base_score"), mixed.alias("score"),
+        (F.col("given") + float(np.log10(end_all))).alias("lattice_score"))

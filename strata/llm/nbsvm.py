@@ -6,12 +6,13 @@ by the smoothed log-count ratio of its place between the classes, rows are broug
 loss is fitted by dual coordinate descent.  Margins become scores through a logistic curve fitted to margins from models that have not
 seen the row's fold; the model itself is fitted to all rows.
 
-The model is fitted on at most ``max_rows`` labelled rows (the first by a hash of the key), whose indicators meet in one task; the
-driver only gets the model, whose size is fixed.  Every text is scored as a whole.
+The model is fitted on at most ``max_rows`` labelled rows (the first by a hash of the key), whose indicators meet in one task: as places
+or, where that is less, as a bit for each place, so a row takes 33 kB at most and 8,000 rows 262 MB, however long their texts
+are.  The driver only gets the model, whose size is fixed.  Every text is scored as a whole.
 
 Defined results: null text counts as empty, whose score comes from the bias alone; a key with several texts or labels trains with
 the least text and label; without both classes among the labelled rows every score is their smoothed share; an empty table
-gives no rows; null labels do not train.
+gives no rows; null labels do not train; ``score`` replaces columns of the names ``score`` and ``predicted``, other columns stay.
 """
 
 from __future__ import annotations
@@ -87,6 +88,23 @@ class Indicators:
         return found[self.stamp[found] == order]
 
 
+BITMAP = -(-SIZE // 8)
+
+
+def packed(places: np.ndarray) -> bytes:
+    """Places as 32-bit numbers, or as a bit for each place (``BITMAP`` bytes) if that is less."""
+    if 4 * len(places) < BITMAP:
+        return places.astype("<u4").tobytes()
+    bits = np.zeros(8 * BITMAP, np.uint8)
+    bits[places] = 1
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    return np.flatnonzero(np.unpackbits(raw)) if len(raw) == BITMAP else raw.view("<u4")
+
+
 @dataclass
 class Model:
     weights: np.ndarray  #: of the places, the ratio included, before a row is brought to length 1
@@ -111,35 +129,40 @@ class Model:
         return 1.0 / (1.0 + np.exp(np.clip(-(self.slope * np.asarray(margin) + self.offset), -50, 50)))
 
 
-def log_count_ratio(rows: list[np.ndarray], label: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
+def log_count_ratio(rows: list[bytes], label: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
     counts = [np.full(SIZE, smoothing), np.full(SIZE, smoothing)]
-    for places, y in zip(rows, label):
-        counts[int(y)][places] += 1
+    for row, y in zip(rows, label):
+        counts[int(y)][unpacked(row)] += 1
     p, q = counts[1] / counts[1].sum(), counts[0] / counts[0].sum()
     return np.log(p / q)
 
 
-def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, cost: float, epochs: int = 10, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear hinge-loss model with the bias as one more feature of value 1."""
-    w, bias, alpha = np.zeros(SIZE), 0.0, np.zeros(len(rows))
+def dual_descent(rows: list[bytes], square: np.ndarray, label: np.ndarray, cost: float, epochs: int = 10, seed: int = 1, least: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
+    """(weights x ratios, bias, dual variables) of the linear hinge-loss model over rows of length 1, with the bias as one more feature of value 1.
+
+    ``square``: squared ratios.  A row's value at a place is its ratio over the row's norm, so neither values nor weights need to be held
+    apart: with z = weight x ratio a margin is the sum of z over the row's norm, and a step moves z by the squared ratios.
+    """
+    z, bias, alpha = np.zeros(SIZE), 0.0, np.zeros(len(rows))
     sign = np.where(label == 1, 1.0, -1.0)
-    square = np.array([float(v @ v) for v in values]) + 1.0
+    norm = np.sqrt([square[unpacked(r)].sum() for r in rows])
     order, rng = np.arange(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         rng.shuffle(order)
         most = 0.0
         for i in order:
-            gradient = sign[i] * (w[rows[i]] @ values[i] + bias) - 1.0
-            new = min(max(alpha[i] - gradient / square[i], 0.0), cost)
+            at, size = unpacked(rows[i]), norm[i] or 1.0
+            gradient = sign[i] * (z[at].sum() / size + bias) - 1.0
+            new = min(max(alpha[i] - gradient / (1.0 + (norm[i] > 0)), 0.0), cost)
             step = new - alpha[i]
             if step:
                 alpha[i] = new
-                w[rows[i]] += step * sign[i] * values[i]
+                z[at] += step * sign[i] / size * square[at]
                 bias += step * sign[i]
                 most = max(most, abs(step))
-        if most < 1e-3:
+        if most < least:
             break
-    return w, bias
+    return z, bias, alpha
 
 
 def calibrate(margin: np.ndarray, label: np.ndarray, steps: int = 60) -> tuple[float, float]:
@@ -157,8 +180,8 @@ def calibrate(margin: np.ndarray, label: np.ndarray, steps: int = 60) -> tuple[f
     return float(theta[0]), float(theta[1])
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, cost: float = 1.0) -> Model:
-    """``rows``: distinct places of each text; ``label``: 0 or 1."""
+def fit(rows: list[bytes], label: np.ndarray, cost: float = 1.0) -> Model:
+    """``rows``: packed distinct places of each text; ``label``: 0 or 1."""
     n1 = int(label.sum())
     if not 0 < n1 < len(label):
         share = (n1 + 1) / (len(label) + 2)
@@ -169,17 +192,16 @@ def fit(rows: list[np.ndarray], label: np.ndarray, cost: float = 1.0) -> Model:
         part = [r for r, f in zip(rows, fold) if f != k]
         own = _fit(part, label[fold != k], cost) if 0 < label[fold != k].sum() < len(part) else None
         for i in np.flatnonzero(fold == k).tolist():
-            margin[i] = own.margin(rows[i]) if own else 0.0
+            margin[i] = own.margin(unpacked(rows[i])) if own else 0.0
     model = _fit(rows, label, cost)
     model.slope, model.offset = calibrate(margin, label)
     return model
 
 
-def _fit(rows: list[np.ndarray], label: np.ndarray, cost: float) -> Model:
-    ratio = log_count_ratio(rows, label)
-    values = [(v / max(np.linalg.norm(v), 1e-12)).astype(np.float32) for v in (ratio[r] for r in rows)]
-    w, bias = dual_descent(rows, values, label, cost)
-    return Model(w * ratio, ratio**2, bias, 1.0, 0.0)
+def _fit(rows: list[bytes], label: np.ndarray, cost: float) -> Model:
+    square = log_count_ratio(rows, label) ** 2
+    z, bias, _ = dual_descent(rows, square, label, cost)
+    return Model(z, square, bias, 1.0, 0.0)
 
 
 def held_out(key: str = "doc_id", of: int = 4, rest: int = 2):
@@ -187,37 +209,30 @@ def held_out(key: str = "doc_id", of: int = 4, rest: int = 2):
 
 
 def indicator_rows(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(places array<int>, ...): distinct feature places of each text."""
+    """(places binary, ...): packed distinct feature places of each text."""
 
     def run(batches):
         find = Indicators()
         for batch in batches:
-            kept = columns(batch, *keep)
             data, offsets = text_buffer(columns(batch, text)[0])
-            found = [find(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            at = np.append(0, np.cumsum([len(f) for f in found]))
-            flat = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32))), *kept], ["places", *keep])
+            rows = [packed(find(data[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *columns(batch, *keep)], ["places", *keep])
 
     kinds = dict(docs.dtypes)
-    return docs.select(text, *keep).mapInArrow(run, ", ".join(["places array<int>", *(f"`{k}` {kinds[k]}" for k in keep)]))
+    return docs.select(text, *keep).mapInArrow(run, ", ".join(["places binary", *(f"`{k}` {kinds[k]}" for k in keep)]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 8_000, text: str = "text", key: str = "doc_id") -> Model:
     """A model from the labelled rows that are not held out, ``max_rows`` of them at most."""
-    usable = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.min(label).cast("int").alias("_label"))
-    chosen = F.broadcast(usable.orderBy(F.xxhash64(key), key).limit(max_rows))  # at most max_rows keys and labels
-    marked = docs.select(key, text).join(chosen, key).groupBy(key, "_label").agg(F.min(F.coalesce(text, F.lit(""))).alias(text))
-    rows = indicator_rows(marked, text, (key, "_label")).repartition(1)  # at most max_rows
+    usable = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("_key")).agg(F.min(label).cast("int").alias("_label"))
+    chosen = F.broadcast(usable.orderBy(F.xxhash64("_key"), "_key").limit(max_rows))  # at most max_rows keys and labels
+    marked = docs.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text")).join(chosen, "_key").groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
+    rows = indicator_rows(marked, "_text", ("_key", "_label")).repartition(1)  # at most max_rows of 33 kB at most
 
     def run(batches):
-        held = []
-        for batch in batches:
-            places, keys, labels = columns(batch, "places", key, "_label")
-            flat, at = places.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(places.value_lengths().to_numpy(zero_copy_only=False)))
-            held += [(k, y, flat[a:b]) for k, y, a, b in zip(keys.to_pylist(), labels.to_pylist(), at, at[1:])]
+        held = [r for batch in batches for r in zip(*(c.to_pylist() for c in columns(batch, "_key", "_label", "places")))]
         held.sort(key=lambda r: r[:2])
-        yield pa.RecordBatch.from_arrays([pa.array([fit([p for *_, p in held], np.array([y for _, y, _ in held], int)).packed()], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([fit([r for *_, r in held], np.array([y for _, y, _ in held], int)).packed()], pa.binary())], ["model"])
 
     found = rows.mapInArrow(run, "model binary").first()
     return Model.unpacked(bytes(found.model)) if found else fit([], np.zeros(0, int))
