@@ -9,11 +9,13 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -133,3 +135,32 @@ def quantile_bounds(frame: DataFrame, key: str, parts: int) -> list:
     ticks = [k / parts for k in range(1, parts)]
     found = frame.select(F.percentile_approx(key, ticks, 20 * parts).alias("q")).first().q if ticks else None
     return sorted(set(found or []))
+
+
+@dataclass
+class KeyRanges:
+    """Ranges of rows by an integer key (null least) and, at a tie, by the first seven bytes of the text: rows of ``place`` in order."""
+
+    place: Column
+    bounds: list
+
+    @property
+    def number(self) -> Column:
+        """The range of a row, from 0."""
+        return range_index(self.place, self.bounds)
+
+
+def key_ranges(rows: DataFrame, key: str, text: str, parts: int | None = None, falling_texts: bool = False, target: int = 1 << 30) -> KeyRanges:
+    """Ranges of about equal numbers of rows: ``parts``, or ``spark.sql.shuffle.partitions`` and at least one for each ``target`` bytes of text.
+
+    Rows that share a key, or have none, fall into several ranges too; only those that begin alike stay together.
+    """
+    if not isinstance(rows.schema[key].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"{key} is no integer; number the rows first")
+    found = rows.agg(F.sum(F.octet_length(text)).alias("bytes"), F.min(key).alias("least")).first()
+    parts = parts or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (found.bytes or 0) // target)
+    head = F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("decimal(18,0)")
+    head = F.lit(1 << 56).cast("decimal(18,0)") - 1 - head if falling_texts else head
+    before = F.lit(str((found.least or 0) - 1)).cast("decimal(20,0)")
+    place = (F.coalesce(F.col(key).cast("decimal(20,0)"), before) * F.lit(1 << 56).cast("decimal(17,0)") + head).cast("decimal(38,0)")
+    return KeyRanges(place, quantile_bounds(rows.select(place.alias("place")), "place", parts))

@@ -9,11 +9,13 @@ steps of all documents of a block are taken together.
 Only sampled places of the output are kept, as four hashed bits of the character there: every place up to 32, then 32
 stratified places in each octave.  The sample is the same for all texts and covers a text of any length evenly by weight; the
 likeness of two fingerprints is the weighted share of sampled places with equal digits, up to the longer one's end.  Bands are
-groups of consecutive samples of an octave; texts that share a band are candidates, and likeness verifies them.
+groups of consecutive samples of an octave; texts that share a band are candidates, and likeness verifies them (``near_groups``).
+A pair of near texts is found only if they share a band, so recall is measured (README).
 
 Defined results: null text counts as empty, its fingerprint is ``0:``; two empty texts have likeness 1, an empty and
 another text 0; documents with equal keys are ordered by text; a null key counts as the least; a single document is its own next
-one; an empty table gives no rows.
+one; an empty table gives no rows; ``compare_edited`` orders by an integer key and raises TypeError for another, ``near_groups`` takes any
+key, and a group of rows without keys has none; texts of any length are read whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import columns, materialise, quantile_bounds, range_index
+from strata.llm.common import columns, discard, key_ranges, materialise, range_index, spread_join
 from strata.llm.components import connected_components
+from strata.llm.near_copies import cluster_links
 
 PERIOD, CLASSES, DENSE, NONE = 8192, 256, 32, 16
 #: Output places up to which sample counts are tabulated; beyond, they are searched for.
 TABLE = 1 << 21
-LEAST = -(1 << 63)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -194,32 +196,50 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", seed:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fingerprint string")
 
 
-def near_groups(docs: DataFrame, least: float = 0.8, width: int = 8, text: str = "text", key: str = "doc_id", seed: int = 7) -> DataFrame:
-    """(key, component_id): groups of documents linked by verified candidates.
-
-    Candidates share a band; each distinct fingerprint in a band is compared with the band's least one, so a band's work grows with
-    its rows and not with their pairs.  Groups form around such documents.
+def digit_links(fingerprints: list[bytes], home: np.ndarray, label: np.ndarray, least: float, seed: int) -> list[tuple[int, int]]:
+    """Links of at least ``least`` likeness between a home fingerprint and any other, but for those that labels or other links give."""
+    raw = [f.partition(b":")[2] for f in fingerprints]
+    digits = np.full((len(raw), max(map(len, raw), default=0)), ord("-"), np.uint8)
+    for row, r in zip(digits, raw):
+        row[: len(r)] = np.frombuffer(r, np.uint8)
+    size, running = np.fromiter(map(len, raw), np.int64, len(raw)), shared(seed)[2]
+    weights, root, out = np.diff(running)[: digits.shape[1]], label.copy(), []
+    for x in np.flatnonzero(home).tolist():
+        other = np.flatnonzero(root != root[x])
+        equal = ((digits[other, : size[x]] == digits[x, : size[x]]) @ weights[: size[x]]) / np.maximum(running[np.maximum(size[other], size[x])], 1)
+        for y in other[equal >= least].tolist():
+            if root[y] != root[x]:
+                root[root == root[y]] = root[x]
+                out.append((x, y))
+    return out
+
+
+def near_groups(docs: DataFrame, least: float = 0.5, width: int = 8, text: str = "text", key: str = "doc_id", seed: int = 7, block: int = 256) -> DataFrame:
+    """(key, component_id): groups of documents whose fingerprints share a band and have a likeness of ``least`` or more; the least key is a group's name.
+
+    Equal fingerprints are one.  Each band's fingerprints are compared within the band, in blocks if there are many, but for pairs that
+    are linked already; so every candidate is either linked or verified, and no band is cut.
     """
-    marked = materialise(fingerprints(docs, text, key, seed), "embedded")
-    distinct = marked.groupBy("fingerprint").agg(F.min(key).alias("rep"))
+    marked = materialise(fingerprints(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "key", seed), "embedded")
+    distinct = materialise(marked.groupBy("fingerprint").agg(F.min("key").alias("rep")).withColumn("mark", F.unhex(F.md5("fingerprint"))), "distinct")
 
     def deal(batches):
         for batch in batches:
-            rows = [(b, r, f) for f, r in zip(*(c.to_pylist() for c in batch.columns)) for b in bands(f, width)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["band", "rep", "fingerprint"])
-
-    dealt = materialise(distinct.select("fingerprint", F.col("rep").cast("long")).mapInArrow(deal, "band string, rep long, fingerprint string"), "bands")
-    first = dealt.groupBy("band").agg(F.min_by("fingerprint", "rep").alias("other"), F.min("rep").alias("to"), F.count("*").alias("n")).filter("n > 1")
-    pairs = dealt.join(first, "band").filter("rep != to").select("rep", "fingerprint", "to", "other").distinct()
-
-    @F.pandas_udf("double")
-    def alike(a, b):
-        return a.combine(b, lambda x, y: likeness(x, y, seed))
-
-    edges = pairs.filter(alike("fingerprint", "other") >= least).select(F.col("rep").alias("a"), F.col("to").alias("b"))
-    found = connected_components(edges)
-    named = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fingerprint", F.coalesce("root", "rep").alias("component_id"))
-    return marked.join(named, "fingerprint").select(key, "component_id")
+            rows = [(m, b) for m, f in zip(*(c.to_pylist() for c in batch.columns)) for b in bands(f, width)]
+            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.string())], ["mark", "cluster"])
+
+    dealt = distinct.select("mark", "fingerprint").mapInArrow(deal, "mark binary, cluster string").select("mark", F.xxhash64("cluster").alias("cluster"))
+    dealt = materialise(dealt, "bands")
+    sizes = materialise(dealt.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    total = dealt.count()
+    members = spread_join(dealt, sizes, "cluster", "n", total).select("mark", "cluster", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    held = materialise(members.join(distinct.select("mark", F.col("fingerprint").cast("binary").alias("set")), "mark"), "held")
+    found = connected_components(cluster_links(held, lambda sets, home, label: digit_links([bytes(x) for x in sets], home, label, least, seed), total, block))
+    rooted = distinct.join(found.withColumnRenamed("node", "mark"), "mark", "left").select("fingerprint", "rep", F.coalesce("root", "mark").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fingerprint", "component_id")
+    out = materialise(marked.join(named, "fingerprint").select(F.col("key").alias(key), "component_id"), "groups")
+    discard(marked, distinct, dealt, sizes, held, found)
+    return out
 
 
 def compare_edited(docs: DataFrame, parts: int | None = None, text: str = "text", key: str = "doc_id", seed: int = 7, block_chars: int = 6_000_000) -> DataFrame:
@@ -227,16 +247,14 @@ def compare_edited(docs: DataFrame, parts: int | None = None, text: str = "text"
 
     Each text is compared with its edited form, in which the first code points of the next document (by descending key, the
     first one after the last) stand for its last third, and with that next document.  Texts are dealt once, by ranges of the
-    key; the first document of a range also goes to the end of the range before it.
+    key (and of the text at a tie), whose number follows the bytes of all texts; the first document of a range also goes to the end of the range before it.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place = F.coalesce(F.col(key).cast("long"), F.lit(LEAST))
-    rows = docs.select(key, text, place.alias("_key"))
-    bounds = quantile_bounds(rows, "_key", parts)
-    part = (F.lit(len(bounds)) - range_index(F.col("_key"), bounds)).cast("int")
+    ranges = key_ranges(docs.select(key, text), key, text, parts, falling_texts=True)
+    rows = docs.select(key, text, ranges.place.alias("_key"))
+    part = (F.lit(len(ranges.bounds)) - range_index(F.col("_key"), ranges.bounds)).cast("int")
     heads = sorted((r.p, r.k) for r in rows.groupBy(part.alias("p")).agg(F.max("_key").alias("k")).collect())  # a row for each range
-    before = spark.createDataFrame([(k, heads[n - 1][0]) for n, (_, k) in enumerate(heads)], "_key long, _before int")
+    before = spark.createDataFrame([(k, heads[n - 1][0]) for n, (_, k) in enumerate(heads)], "_key decimal(38,0), _before int")
     row = lambda p, ghost: F.struct(p.alias("part"), F.lit(ghost).alias("ghost"))
     targets = F.when(F.col("_before").isNull(), F.array(row(part, False))).otherwise(F.array(row(part, False), row(F.col("_before"), True)))
     dealt = (rows.join(F.broadcast(before), "_key", "left").withColumn("_to", F.explode(targets))

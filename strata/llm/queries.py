@@ -39,6 +39,11 @@ def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.compare_edited(documents(spark, sf_dir))
 
 
+def edit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies by op7's bands and likeness: beside op7, whose own result the contract binds."""
+    return edit_embedding.near_groups(documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, limits=packing.Limits(tokens=1024))
 
@@ -52,6 +57,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ogg_media, op3_simhash_groups, op4_lattice_lm, op5_personal_data, op6_token_files, op7_edit_fingerprints, op8_best_fit_packing, op9_quality_classifier, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ogg_media, op3_simhash_groups, op4_lattice_lm, op5_personal_data, op6_token_files, op7_edit_fingerprints, op8_best_fit_packing, op9_quality_classifier, op10_token_counts, edit_groups)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,13 +6,15 @@ places of documents in the shard's ids) and ``keys-N.bin`` (signed 64-bit keys).
 documents and tokens; prefix sums over it are the shards' bases, so a document's place in the whole corpus is its shard's base
 plus its own offset.
 
-Ranges come from quantiles of the key column alone (texts are not read for them); one shuffle then brings texts into order and
-ids are written as they are made.  A task writes under names of its own and renames at the end, and the same input gives the
+Ranges come from quantiles of the key and, at a tie, the first bytes of the text, so that many rows without a key, or with the same one,
+do not meet in one task; their number follows the bytes of all texts.  One shuffle then brings texts into order and ids are
+written as they are made.  A task writes under names of its own and renames at the end, and the same input gives the
 same bytes, so a task may run again at any time.  Files are memory-mapped to be read; a shared folder that only a file-system
 library reaches is read and written through pyarrow's file systems.
 
 Defined results: null text counts as empty (the end id alone); rows with equal keys follow each other by text; a null key comes
-first and is written as the least 64-bit number, read back as null; an empty table gives no shards.
+first and is written as the least 64-bit number, read back as null; an empty table gives no shards; a key that is
+no integer raises TypeError; texts of any length are written whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import blocks, columns, quantile_bounds, range_index, shared_dir, text_buffer
+from strata.llm.common import blocks, columns, key_ranges, shared_dir, text_buffer
 from strata.llm.segments import library_encoder
 
 NULL_KEY = -(1 << 63)
@@ -43,10 +45,10 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
-def range_partitions(frame: DataFrame, key: str, parts: int) -> DataFrame:
-    """``frame`` in ``parts`` partitions of ascending ranges of an integer key, each sorted by key and then the other columns."""
-    at = range_index(F.col(key), quantile_bounds(frame, key, parts))
-    return frame.repartitionById(parts, at).sortWithinPartitions(F.col(key).asc_nulls_first(), *[c for c in frame.columns if c != key])
+def range_partitions(frame: DataFrame, key: str, text: str, parts: int | None = None) -> DataFrame:
+    """``frame`` in partitions of ascending ranges of an integer key, each sorted by key and then the text."""
+    ranges = key_ranges(frame, key, text, parts)
+    return frame.repartitionById(len(ranges.bounds) + 1, ranges.number).sortWithinPartitions(F.col(key).asc_nulls_first(), text)
 
 
 @functools.cache
@@ -56,7 +58,7 @@ def _encoder(path: str):
     return library_encoder(Tokenizer.from_file(path))
 
 
-def write_corpus(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int, wide: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
+def write_corpus(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int | None = None, wide: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Writes the shards of ``docs``; returns the manifest (shard, n_docs, n_tokens), which is computed when asked for."""
     kind = np.dtype("<u4" if wide else "<u2")
 
@@ -92,7 +94,7 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str, end_id: int, part
 
     system, root = file_system(folder)
     system.create_dir(root, recursive=True)
-    return range_partitions(docs.select(key, text), key, parts).mapInArrow(run, "shard int, n_docs long, n_tokens long")
+    return range_partitions(docs.select(key, text), key, text, parts).mapInArrow(run, "shard int, n_docs long, n_tokens long")
 
 
 def manifest_with_bases(manifest: DataFrame) -> list[tuple[int, int, int, int]]:
@@ -140,6 +142,5 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int, parts: int | None
     """Writes ``docs`` to a new folder in the shared one and gives each document as the files have it."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = manifest_with_bases(write_corpus(docs, folder, tokenizer, end_id, parts, text=text, key=key))
     return read_corpus(spark, folder, shards, key=key)

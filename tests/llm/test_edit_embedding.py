@@ -55,7 +55,7 @@ def test_edits_change_little():
 
 @pytest.mark.parametrize("parts", [1, 4])
 def test_query(make, rows, parts):
-    ordered = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else ee.LEAST), r[1] or ""))
+    ordered = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1] or ""))
     texts = [t or "" for _, t in ordered]
     want = []
     for n, (k, _) in enumerate(ordered):
@@ -74,9 +74,58 @@ def test_one_row_and_none(make, empty):
     assert ee.compare_edited(empty, 4).count() == 0
 
 
-def test_near_groups(make):
+def slow_groups(texts, keys, least):
+    """Components over all pairs that share a band and are alike; each by its least key."""
+    marks = [one(t) for t in texts]
+    own, root = [set(ee.bands(f)) for f in marks], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if marks[i] == marks[j] or (own[i] & own[j] and ee.likeness(marks[i], marks[j]) >= least):
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    return [min((k for k, r in zip(keys, root) if r == mine and k is not None), default=None) for mine in root]
+
+
+def edited_texts():
+    """Texts with a common passage first, and near copies of some whose edits lie in several places."""
     rng = random.Random(2)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(1500)) for _ in range(4)]
-    rows = [(k, t) for k, t in enumerate(base)] + [(10 + k, base[0][:1400] + f"edit {k}" + base[0][1400:]) for k in range(4)] + [(20, base[1])]
-    found = {r.doc_id: r.component_id for r in ee.near_groups(make(rows)).collect()}
-    assert found == {0: 0, 1: 1, 2: 2, 3: 3, 10: 0, 11: 0, 12: 0, 13: 0, 20: 1}
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared = " ".join(word() for _ in range(30))
+    texts = []
+    for k in range(24):
+        own = [word() for _ in range(150)]
+        texts.append((shared + " " if k % 2 else "") + " ".join(own))
+        for _ in range(k % 3):
+            near = list(own)
+            for at in rng.sample(range(150), 4):
+                near[at] = word()
+            texts.append((shared + " " if k % 2 else "") + " ".join(near))
+    return [*texts, texts[0], "", ""]
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_near_groups(spark, block):
+    """Also with a band that many texts share, in blocks; keys of any type, and none."""
+    texts = edited_texts()
+    keys = [f"k{k:02d}" if k != 3 else None for k in range(len(texts))]
+    want = slow_groups(texts, keys, 0.5)
+    assert len(set(want)) < len(texts) - 10
+    frame = spark.createDataFrame([(k, t, 1, 2) for k, t in zip(keys, texts)], "doc string, text string, rep int, mark int")
+    found = [(r.doc, r.component_id) for r in ee.near_groups(frame, key="doc", block=block).collect()]
+    assert sorted(found, key=str) == sorted(zip(keys, want), key=str)
+
+
+def test_rows_that_share_a_key_are_split(spark):
+    """Many rows without a key, and many with one, fall into several ranges; the order stays."""
+    from strata.llm.common import key_ranges
+
+    rows = [(None, f"{k:04d} text") for k in range(300)] + [(5, f"{k:04d} text") for k in range(300)] + [(k, "x") for k in range(-50, 50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for falling in (False, True):
+        ranges = key_ranges(frame, "doc_id", "text", 8, falling)
+        found = frame.withColumns({"part": ranges.number, "place": ranges.place}).collect()
+        order = sorted(found, key=lambda r: (-(1 << 70) if r.doc_id is None else r.doc_id, r.text if not falling else [-ord(c) for c in r.text]))
+        assert [r.part for r in order] == sorted(r.part for r in order)
+        assert len({r.part for r in order if r.doc_id is None}) > 2 and len({r.part for r in order if r.doc_id == 5}) > 2
+    with pytest.raises(TypeError, match="integer"):
+        key_ranges(frame.selectExpr("string(doc_id) as doc_id", "text"), "doc_id", "text")
