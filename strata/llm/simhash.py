@@ -91,6 +91,8 @@ def points_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of 32-bit keys of a column of fingerprints (long or binary)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 2), np.uint32)
     if pa.types.is_integer(column.type):
         return np.ascontiguousarray(column.to_numpy(zero_copy_only=False)).view(np.uint32).reshape(-1, 2)
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)

@@ -6,8 +6,8 @@ import random
 
 import public_tokenizers as P
 from pyspark.sql import functions as F
+from test_near_copies import planted, shingles, similarity
 from test_packing import whole
-from test_simhash import slow_fingerprint, slow_groups
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -16,6 +16,17 @@ from strata.llm import nbsvm, pii
 STAGES = dict(corpus_pipeline.STAGES)
 
 
+def near_groups(keys, texts):
+    """Least key of each text's component of links of 0.8 or more, over all pairs of whole shingle sets."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and similarity(sets[i], sets[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    return [min(k for k, r in zip(keys, root) if r == mine) for mine in root]
+
+
 def rows():
     rng = random.Random(4)
     words = "river stone light paper winter garden silver house quiet letter morning copper window".split()
@@ -44,7 +55,7 @@ def test_stages_and_run(spark, make, tmp_path):
 
     single = STAGES["near_dedup"](spark, good, str(tmp_path)).persist()
     left = sorted({(r.doc_id, r.text) for r in good.collect()})
-    groups = slow_groups([k for k, _ in left], [slow_fingerprint(t) for _, t in left])
+    groups = near_groups([k for k, _ in left], [t for _, t in left])
     want = [(k, t) for (k, t), g in zip(left, groups) if k == g]
     assert single.columns == docs.columns and sorted((r.doc_id, r.text) for r in single.collect()) == want
 
@@ -82,3 +93,18 @@ def test_rows_without_a_key_or_with_a_shared_one_stay(spark, make):
     want.remove((7, texts[12]))
     single = STAGES["near_dedup"](spark, make(data + copies), "")
     assert sorted(((r.doc_id, r.text) for r in single.collect()), key=str) == want
+
+
+def test_near_dedup_against_all_pairs(make):
+    """Near copies of 0.7 to 0.95 with keys, without one and with a shared one, and repeated rows: one row of each component stays."""
+    texts = planted()[:120]
+    keys = [None if k % 7 == 3 else 7 if k % 7 == 5 else k + 10 for k in range(len(texts))]
+    data = list(zip(keys, texts)) + [(keys[k], texts[k]) for k in range(0, 60, 4)]
+    groups = near_groups(list(range(len(texts))), texts)
+    kept = [(r.doc_id, r.text) for r in STAGES["near_dedup"](None, make(data), "").collect()]
+    assert len(kept) == len(set(kept)) == len(set(groups)) < 100
+    number = {t: k for k, t in enumerate(texts)}
+    assert {groups[number[t]] for _, t in kept} == set(groups)
+    for key, text in kept:
+        some = [k for k, g in zip(keys, groups) if g == groups[number[text]]]
+        assert key == min((k for k in some if k is not None), default=None)
