@@ -8,7 +8,7 @@ Arrow batches of texts come in; ids, token counts and byte offsets go out.  Deco
 reversed byte table, so a character split over tokens is whole again once its tokens are joined.
 
 Defined results: null text counts as empty; the empty text has no ids, zero tokens and the hashes of no bytes; repeated rows
-each give a row; other columns of the input are not read.
+each give a row; an empty table gives no rows; texts of any length are encoded whole; other columns of the input are not read.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ Segments up to 24 bytes are looked up by their exact bytes in an open-addressing
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -39,10 +40,11 @@ _SAFE = re.compile(BEFORE_BLANK)
 
 
 class SegmentEncoder:
-    """``encode_many``: texts to lists of ids by the library.  ``special``: bytes that begin special tokens, or None."""
+    """``encode_many``: texts to lists of ids by the library.  ``special``: bytes that begin special tokens, or None.  ``cut``: whether texts
+    may be cut at all."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], special: bytes | None = None, max_entries: int = 1_000_000):
-        self.encode_many, self.special, self.max_entries = encode_many, special, max_entries
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], special: bytes | None = None, max_entries: int = 1_000_000, cut: bool = True):
+        self.encode_many, self.special, self.max_entries, self.cut = encode_many, special, max_entries, cut
         self.slots = 1 << (2 * max_entries - 1).bit_length()
         self._clear()
 
@@ -72,6 +74,8 @@ class SegmentEncoder:
         return self.pool[at], places
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if not self.cut:
+            return offsets[:-1][np.diff(offsets) > 0]
         space = _SPACE[data]
         cut = np.zeros(len(data), bool)
         letter = _LETTER[data]
@@ -147,7 +151,7 @@ class SegmentEncoder:
     def _whole(self, text: str) -> list[int]:
         """A long text, cut before blanks that follow a visible character; special tokens hold no blanks."""
         parts, last = [], 0
-        while len(text) - last > 20_000:
+        while self.cut and len(text) - last > 20_000:
             m = _SAFE.search(text, last + 16_000)
             if not m:
                 break
@@ -204,13 +208,28 @@ class SegmentEncoder:
             idx, slot = idx[~placed], (slot[~placed] + 1) & (self.slots - 1)
 
 
+#: The patterns for which the cuts above are proven.
+PATTERNS = (
+    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
+    r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+""",
+)
+
+
+def cuts_are_proven(tokenizer) -> bool:
+    """Whether a ``tokenizers.Tokenizer`` splits by one of ``PATTERNS`` and normalises nothing but case, composition and white space."""
+    state = json.loads(tokenizer.to_str())
+    pre, normal = state["pre_tokenizer"] or {}, state["normalizer"]
+    steps = pre.get("pretokenizers", [pre])
+    patterns = [x["pattern"].get("Regex") for x in steps if x.get("type") == "Split"] + [PATTERNS[0] for x in steps if x.get("type") == "ByteLevel" and x["use_regex"]]
+    changes = [] if normal is None else normal.get("normalizers", [normal])
+    return (all(x.get("type") == "ByteLevel" and not x["add_prefix_space"] or x.get("type") == "Split" for x in steps) and len(patterns) == 1 and patterns[0] in PATTERNS
+            and all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and (x["pattern"], x["content"]) == ({"Regex": "\\s+"}, " ") for x in changes))
+
+
 def library_encoder(tokenizer, **limits) -> SegmentEncoder:
-    """For a ``tokenizers.Tokenizer``: no added begin or end tokens, special strings in texts by its default."""
-    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    special = None
-    if added:
-        starts = {a[:2].encode() for a in added}
-        if len(starts) > 1:
-            raise ValueError("special tokens must begin alike")
-        special = starts.pop()
-    return SegmentEncoder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], special, **limits)
+    """For a ``tokenizers.Tokenizer``: no added begin or end tokens, special strings in texts by its default.  Texts are cut only if the cuts
+    are proven for its pattern and all its special tokens begin alike; else each is encoded whole."""
+    starts = {t.content[:2].encode() for t in tokenizer.get_added_tokens_decoder().values()}
+    special = starts.pop() if len(starts) == 1 else None  # what is left are starts that differ
+    encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return SegmentEncoder(encode, special, cut=not starts and cuts_are_proven(tokenizer), **limits)

@@ -10,7 +10,8 @@ A place p is stable if no special token spans it and
 * a letter precedes it and an ASCII mark other than the apostrophe follows it.
 No match of the pre-tokenisation pattern spans such a place, and its look-ahead only concerns white space that starts before it.
 
-Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows each give a row; other columns are not read.
+Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows each give a row; an empty table gives no
+rows; texts of any length are counted whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strata.llm.common import blocks, columns, text_buffer
-from strata.llm.segments import BEFORE_BLANK, library_encoder
+from strata.llm.segments import BEFORE_BLANK, cuts_are_proven, library_encoder
 
 #: Letters that no Unicode version disputes: Latin, Greek, Cyrillic, kana, common Han and Hangul.
 _LETTERS = "A-Za-z" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x391, 0x3A1), (0x3B1, 0x3C9), (0x410, 0x44F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)))
@@ -95,12 +96,15 @@ def _counter(path: str, chunk: int, overlap: int):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    if not cuts_are_proven(tokenizer):
+        return None, None, lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
     return library_encoder(tokenizer), ResyncCounter(tokenizer, chunk, overlap).count, None
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk: int = 32_768, overlap: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit, chunked): ``chunked`` tells the texts longer than ``chunk`` bytes, which
-    overlapping chunks counted.  A sentencepiece model has no such boundaries; it encodes each text in one go."""
+    overlapping chunks counted.  A sentencepiece model has no such boundaries,
+    and for a pattern other than those of ``segments`` none is proven; then each text is encoded in one go."""
 
     def run(batches):
         encoder, resync, plain = _counter(tokenizer, chunk, overlap)

@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from strata.llm import byte_bpe, token_counts, token_files
+from strata.llm import byte_bpe, segments, token_counts, token_files
 from strata.llm.common import text_buffer
 from strata.llm.segments import library_encoder
 
@@ -132,3 +132,24 @@ def test_token_files_refuse_wide_ids(spark, make, tmp_path):
     shards = token_files.manifest_with_bases(token_files.write_corpus(make([(1, "a")]), str(tmp_path / "d"), P.path("word_bpe_49k.json"), 70_000, 1, wide=True))
     assert token_files.read_corpus(spark, str(tmp_path / "d"), shards, wide=True).first().n_tokens == 2
     assert token_files.open_flat(str(tmp_path / "d"), "tokens", 0, "<u4")[-1] == 70_000
+
+
+def test_unknown_tokenizers_encode_whole_texts(make):
+    """With another pattern, a blank in tokens, or special tokens that begin differently, no cut is made."""
+    from tokenizers import AddedToken, Regex, models, pre_tokenizers
+
+    known = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert segments.cuts_are_proven(known) and segments.cuts_are_proven(Tokenizer.from_file(P.path("word_bpe_49k.json")))
+    other = Tokenizer(models.BPE(vocab={"a": 0, " ": 1, ",": 2, "a ": 3, "a a": 4, "a,": 5}, merges=[("a", " "), ("a ", "a"), ("a", ",")]))
+    texts = ["a a a,a", "", "a, a", "a" * 50 + " a" * 30]
+    for pre in (None, pre_tokenizers.Split(Regex("[a ]+|,"), behavior="isolated")):
+        if pre:
+            other.pre_tokenizer = pre
+        assert not segments.cuts_are_proven(other)
+        data = [t.encode() for t in texts]
+        ids, at = segments.library_encoder(other).encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+    known.add_special_tokens([AddedToken("[SEP]", special=True)])
+    text = "one [SEP] two, three <|endoftext|> four"
+    ids, _ = segments.library_encoder(known).encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert ids.tolist() == known.encode(text, add_special_tokens=False).ids
