@@ -11,7 +11,7 @@ from strata.operators import climate, diversity, extinction_model, network, rang
 from strata.sources import normalize
 from strata.sources.schema import COLUMNS
 from strata.streaming import occurrences as stream
-from strata.sources.tables import OCCURRENCES_SQL, occurrences
+from strata.sources.tables import OCCURRENCES_SQL, occurrences, raw_neotoma, raw_pbdb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -103,6 +103,10 @@ _add("explorer_page", lambda o: ranges.explorer_page(ranges.genus_explorer(o), 3
 _add("quality_report", normalize.quality_report, "select source_db, count(*) as occurrences, count(mid_ma) as dated, min(mid_ma) as youngest, max(mid_ma) as oldest from occ group by 1")
 _add("running_genera", stream.running_genera, DATED, "select time_bin, genus, count(*) as occurrences from dated group by 1, 2")
 _add("normalized", normalize.conform, "select * from occ")
+_add("normalized_pbdb", lambda o: normalize.normalize_pbdb(normalize.without_missing(raw_pbdb(o))), "select * replace ((max_ma + min_ma) / 2 as mid_ma, 'PBDB' as source_db) from occ")
+_KNOWN = ("occurrence_id", "scientific_name", "mid_ma", "lat", "lng", "source_db")
+_add("normalized_neotoma", lambda o: normalize.normalize_neotoma(raw_neotoma(o)),
+     "select * replace (case when genus is not null then mid_ma end as mid_ma, 'Neotoma' as source_db, " + ", ".join(f'null::{"double" if c.endswith("_ma") else "varchar"} as "{c}"' for c in COLUMNS if c not in _KNOWN) + ") from occ")
 _add("unique_occurrences", lambda o: normalize.drop_repeats(normalize.conform(o)).select("source_db", "occurrence_id"), "select distinct source_db, occurrence_id from occ")
 _NOISE = "md5(concat_ws('/', '42', coalesce(occurrence_id, ''), coalesce(genus, '')))"
 _add("stable_sample", lambda o: ranges.stable_sample(o.dropna(subset=list(diversity.PLACED)), 20_000), "named as (select * from occ where mid_ma is not null and genus is not null and lat is not null and lng is not null)",

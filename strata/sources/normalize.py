@@ -24,8 +24,13 @@ def matching_files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One CSV file, all columns as text, missing-value texts as nulls."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    """One CSV file, all columns as text, missing-value texts as nulls.  Fields may hold line ends, so a file is one task: for large
+    downloads ask for several intervals, each a file of its own."""
+    return without_missing(spark.read.csv(path, header=True, multiLine=True, escape='"'))
+
+
+def without_missing(raw: DataFrame) -> DataFrame:
+    """Columns of text with nulls for texts that stand for a missing value."""
     blank = lambda c: F.when(~F.col(f"`{c}`").isin(*NA_TEXTS), F.col(f"`{c}`"))
     return raw.select(*(blank(c).alias(c) for c in raw.columns))
 

@@ -41,3 +41,19 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("l_returnflag", "l_linestatus").alias("environment"), F.col("l_linestatus").alias("source_db"),
         text("l_orderkey").alias("reference_no"), F.col("o_orderpriority").alias("primary_reference"),
     )
+
+
+def raw_pbdb(occ: DataFrame) -> DataFrame:
+    """Occurrences as rows of a raw file: its names, all as text, ``NA`` for nulls, no middle of the age, and columns to be dropped."""
+    names = {"occurrence_id": "occurrence_no", "scientific_name": "identified_name", "rank": "identified_rank"}
+    kept = [c for c in occ.columns if c not in ("mid_ma", "source_db")]
+    return occ.select(F.lit("0").alias("paleolat"), *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NA")).alias(names.get(c, c)) for c in kept), F.lit("x").alias("license"))
+
+
+def raw_neotoma(occ: DataFrame) -> DataFrame:
+    """Occurrences as JSON records: ages in years, as numbers or nested, and a text for those without a genus."""
+    age = (F.col("mid_ma") * 1_000_000).cast("long").cast("string")
+    shown = F.when(F.col("genus").isNull(), F.lit('"unknown"')).when(F.col("source_db") == "O", F.concat(F.lit('{"age":'), age, F.lit("}"))).otherwise(age)
+    place = F.to_json(F.struct(F.struct(F.array("lng", "lat").alias("coordinates")).alias("geography")))
+    record = F.concat(F.lit('{"age":'), shown, F.lit(',"site":'), place, F.lit(","), F.substring(F.to_json(F.struct(F.col("occurrence_id").alias("occurrenceid"), F.col("scientific_name").alias("taxonname"))), 2, 1 << 20))
+    return occ.select(F.parse_json(record).alias("row"))
