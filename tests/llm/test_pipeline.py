@@ -108,3 +108,10 @@ def test_near_dedup_against_all_pairs(make):
     for key, text in kept:
         some = [k for k, g in zip(keys, groups) if g == groups[number[text]]]
         assert key == min((k for k in some if k is not None), default=None)
+
+
+def test_columns_named_like_helpers(spark):
+    rows = [(1, "one two three four five six", "a", 1, "x"), (2, "one two three four five six", "b", 2, "y"), (3, None, "c", 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _A int, root string")
+    kept = STAGES["near_dedup"](spark, docs, "")
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
