@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import functools
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
-    if not found and not spark.sparkContext.master.startswith("local"):
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return found.rstrip("/") if found else _own_dir()
 
