@@ -1,7 +1,7 @@
 """Connected components of a graph given as an edge table, by alternating large and small stars.
 
 Each round turns every node's links towards the least node in reach; only edges move, in joins and aggregations that combine
-before the shuffle, so a hub costs no more than its edges (a skewed join splits them).  Rounds end when the edges no longer
+before the shuffle, and a node with many links is joined by a broadcast, so a hub's edges do not meet in one task.  Rounds end when the edges no longer
 change; they are then stars around each component's least node.
 """
 
@@ -10,22 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import discard, materialise
+from strata.llm.common import discard, materialise, spread_join
 
 
-def _towards_least(links: DataFrame) -> DataFrame:
-    """links: (u, v).  With m the least of u and its v: all (v, m) and (u, m), without loops."""
-    least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    moved = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+def _with_least(links: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v, m) and (u, m), where m is the least of u and its v.  Nodes with many of the ``total`` links take m by a broadcast."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return spread_join(links, least, "u", "n", total), least
 
 
-def _round(edges: DataFrame) -> DataFrame:
-    """edges: (u, v) with u > v, distinct."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    return _towards_least(large)
+def _round(edges: DataFrame, total: int) -> DataFrame:
+    """edges: (u, v) with u > v, distinct, ``total`` of them."""
+    both, _ = _with_least(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * total)
+    large = both.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    joined, least = _with_least(large, total)
+    moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         held = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if held == state or not held[0]:
             break
-        last, state, now = now, held, materialise(_round(now), "stars")
+        last, state, now = now, held, materialise(_round(now, held[0]), "stars")
         discard(last)
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
