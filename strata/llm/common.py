@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +127,8 @@ def range_index(key, bounds: list):
         return F.lit(0)
     step = max(1, int(len(bounds) ** 0.5))
     coarse, table = (F.array(*map(F.lit, some)) for some in (bounds[step - 1 :: step], bounds))
+    if isinstance(bounds[0], Decimal):  # one type for all, so that no bound is cast for each row
+        coarse, table = (some.cast("array<decimal(38,0)>") for some in (coarse, table))
     below = lambda some: F.size(F.filter(some, lambda b: b <= key))
     at = below(coarse) * step if len(bounds) >= step else F.lit(0)
     return F.when(key.isNotNull(), at + below(F.slice(table, at + 1, step))).otherwise(0).cast("int")

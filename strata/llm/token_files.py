@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import blocks, columns, key_ranges, shared_dir, text_buffer
+from strata.llm.common import blocks, columns, key_ranges, range_index, shared_dir, text_buffer
 from strata.llm.segments import library_encoder
 
 NULL_KEY = -(1 << 63)
@@ -48,7 +48,9 @@ def file_system(uri: str):
 def range_partitions(frame: DataFrame, key: str, text: str, parts: int | None = None) -> DataFrame:
     """``frame`` in partitions of ascending ranges of an integer key, each sorted by key and then the text."""
     ranges = key_ranges(frame, key, text, parts)
-    return frame.repartitionById(len(ranges.bounds) + 1, ranges.number).sortWithinPartitions(F.col(key).asc_nulls_first(), text)
+    placed = frame.withColumn("_place", ranges.place)  # a column of its own, as each bound is compared with it
+    dealt = placed.withColumn("_part", range_index(F.col("_place"), ranges.bounds)).drop("_place").repartitionById(len(ranges.bounds) + 1, F.col("_part"))
+    return dealt.sortWithinPartitions(F.col(key).asc_nulls_first(), text).select(*frame.columns)
 
 
 @functools.cache
