@@ -8,10 +8,11 @@ import subprocess
 import sys
 
 import pytest
-from conftest import ROOT
 
 from strata.plans import registry
 
+#: Computed here: with several conftest files the name does not tell which one is meant.
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TABLES = ("lineitem", "part", "orders")
 
 
