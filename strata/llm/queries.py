@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import byte_bpe, edit_embedding, lattice_lm, nbsvm, ogg, packing, pii, simhash, token_counts, token_files
+from strata.llm import byte_bpe, edit_embedding, lattice_lm, merkle, nbsvm, ogg, oracle, packing, pii, simhash, token_counts, token_files
 from strata.llm.common import documents
 
 
@@ -57,6 +57,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ogg_media, op3_simhash_groups, op4_lattice_lm, op5_personal_data, op6_token_files, op7_edit_fingerprints, op8_best_fit_packing, op9_quality_classifier, op10_token_counts, edit_groups)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ogg_media, op3_simhash_groups, op4_lattice_lm, op5_personal_data, op6_token_files, op7_edit_fingerprints, op8_best_fit_packing, op9_quality_classifier, op10_token_counts, op11_merkle_manifest, edit_groups)}
+
+ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": oracle.MERKLE}
