@@ -46,3 +46,8 @@ def merkle(levels: int = 8, top_levels: int = 4) -> str:
 
 
 MERKLE = merkle()
+
+WARC = f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last, row_number() OVER (PARTITION BY html ORDER BY page_id DESC) AS place, sha1(html) AS digest FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, {base32('digest')} AS payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN place > 1 THEN last END AS refers_to, coalesce(url, '') AS url FROM q"""
