@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import byte_bpe, edit_embedding, lattice_lm, merkle, nbsvm, ogg, oracle, packing, pii, simhash, token_counts, token_files, warc
+from strata.llm import byte_bpe, cross_align, edit_embedding, lattice_lm, merkle, nbsvm, ogg, oracle, packing, pii, simhash, token_counts, token_files, warc
 from strata.llm.common import documents
 
 
@@ -61,11 +61,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_align.align(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.archive_round_trip(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ogg_media, op3_simhash_groups, op4_lattice_lm, op5_personal_data, op6_token_files, op7_edit_fingerprints, op8_best_fit_packing, op9_quality_classifier, op10_token_counts, op11_merkle_manifest, op13_warc_index, edit_groups)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ogg_media, op3_simhash_groups, op4_lattice_lm, op5_personal_data, op6_token_files, op7_edit_fingerprints, op8_best_fit_packing, op9_quality_classifier, op10_token_counts, op11_merkle_manifest, op12_token_alignment, op13_warc_index, edit_groups)}
 
 ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": oracle.MERKLE, "op13_warc_index": oracle.WARC}
