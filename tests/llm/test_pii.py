@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 from hypothesis import given, settings
@@ -61,6 +62,36 @@ def test_spans_are_whole_or_none():
     assert part("account", "IBAN DE89 3704 0044 0532 0130 00 PAID NOW") == ["DE89 3704 0044 0532 0130 00"]
 
 
+def test_numbers_before_letters():
+    part = lambda text: [text[a:b] for a, b in pii.find(text)["account"]]
+    assert part("account 123456-789x") == part("account 123456x") == part("account 123456-x9") == []
+    assert part("account 123456 789x") == part("account 123456 7th floor") == ["123456"] and part("account 123456- x") == ["123456"]
+    assert part("IBAN DE89370400440532013000abc") == part("IBAN DE89370400440532013000-7") == []
+    assert part("IBAN DE89370400440532013000, x") == part("IBAN DE89370400440532013000 abc") == ["DE89370400440532013000"]
+
+
+def plain_iban(text):
+    """The longest valid code at the start of ``text`` that ends where no letter or digit goes on."""
+    ends = [n for n in range(1, len(text) + 1) if re.fullmatch(r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9])*", text[:n]) and 15 <= len(code := text[:n].replace(" ", "")) <= 34
+            and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 and not re.match(r"-?[A-Za-z0-9]", text[n:])]
+    return max(ends, default=None)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["DE89", " ", "3704", "0044", "0532", "0130", "00", "GB82 WEST 1234 5698 7654 32", "A", "x", "-", "1"]), max_size=16).map("".join))
+def test_ibans(tail):
+    text = "DE89 " + tail
+    end = plain_iban(text)
+    assert pii.find("IBAN " + text)["account"] == ([] if end is None else [(5, 5 + end)])
+
+
+def test_long_texts_take_time_in_proportion():
+    for text in ("IBAN DE89 " + "ABCD " * 200_000, "account " + "1 " * 500_000 + "x", "IBAN " * 200_000, "mailto:" * 150_000, "a@" * 500_000, "account 1-" * 100_000, "iban" + " " * 1_000_000, "://u" * 250_000, "IBAN DE89" * 20_000):
+        began = time.process_time()
+        pii.find(text)
+        assert time.process_time() - began < 3, text[:12]
+
+
 def test_masked_texts_keep_nothing_of_an_address():
     long = "a" * 70 + "@" + ".".join(["b"] * 12)
     assert pii.mask(f"mailto:{long} x") == "mailto:[EMAIL] x"
