@@ -90,9 +90,9 @@ class TokenizerPair:
         self.cutter = Cutter("".join(blanks).encode(), "".join(marks).encode(), self.proven)
 
     def tokens(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides.  A unit that doesn't begin with a blank follows a line feed, whose two pieces are dropped again."""
+        """Ids of both sides.  A unit that doesn't begin with a blank, or is but one, follows a line feed, whose two pieces are dropped again."""
         found = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        led = [u.startswith(" ") for u in units]
+        led = [u.startswith(" ") and len(u) > 1 for u in units]
         other = self.b.encode([u[1:] if x else "\n" + u for u, x in zip(units, led)], num_threads=1)
         return found, [ids if x else ids[2:] for ids, x in zip(other, led)]
 

@@ -7,10 +7,12 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from strata.llm import cross_align
 from strata.llm.byte_bpe import byte_characters
+from strata.llm.common import text_buffer
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 NAMES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -83,6 +85,16 @@ def test_odd_texts(make):
     compare(make([*enumerate(texts), (1000, "has ▁ inside"), (1001, "▁"), (1002, "x" * 5000), (1003, "ab" * 9000 + "   " + "long text " * 3000), (1004, " "), (1005, None), (1006, "")]), most=30)
 
 
+def test_units():
+    """Both vocabularies allow cuts, and units are cut where they may be."""
+    pair = cross_align.TokenizerPair(A, B)
+    assert pair.proven and pair.fits(" x") and not pair.fits("▁")
+    data = pa.array([" The cat's  hat, a>b\tx/y ", "", " no\u00a0break here (u.s.)"])
+    raw, offsets = text_buffer(data)
+    units, places = pair.cutter.encode(raw, offsets)
+    assert [[pair.cutter.units[u] for u in units[a:b]] for a, b in zip(places, places[1:])] == [[" The", " cat's", "  hat", ",", " a>b", "\tx", "/y", " "], [], [" no\u00a0break", " here", " (u.s.)"]]
+
+
 def test_empty(empty):
     assert cross_align.align(empty, A, B).collect() == []
 
