@@ -1,16 +1,17 @@
 """Near copies: texts whose word shingles have a Jaccard similarity of ``least`` or more, decided on the whole shingle sets.
 
-Candidates come from SimHash fingerprints of ``32 * keys`` bits over the set of a text's words, which edits move less than shingles: texts
-with one of the ``keys`` at most 1 bit apart (found through a vantage-point tree for each key) and at most ``bits`` differing bits in all;
-their components are clusters.  More keys find more near copies; with keys of 32 bits unrelated texts seldom meet, also in
-large tables.  Inside a cluster similarity is counted exactly, on 64-bit hashes of all shingles; no estimate decides, equal
-fingerprints neither.  Only texts of clusters with two texts or more have their shingles carried.  A cluster above ``block`` texts is
-dealt into blocks.  First each block is linked within itself and with a few anchors, which are in every block; where that
-leaves texts outside the cluster's largest component, they are compared with the whole cluster, block by block.  Pairs that are
+Candidates share a bucket.  A text's buckets are its SimHash group (fingerprints of its shingles at most 3 of 64 bits apart, through
+vantage-point trees) and ``bands`` hashes of ``rows`` minwise values each over its shingle set; texts of similarity s share one of the
+latter with probability 1 - (1 - s^rows)^bands: 0.997 at 0.8, 0.12 at 0.5 and 0.002 at 0.3, whatever kind of edit parts them.  Buckets that
+share texts are one cluster.  Inside a cluster similarity is counted exactly, on 64-bit hashes of all shingles; no estimate decides, equal
+fingerprints neither.  Only texts of clusters with two texts or more have their shingles carried.  A cluster above ``block`` texts, or
+above ``block_bytes`` of text, is dealt into blocks.  First each block is linked within itself and with a few anchors, which are in every block;
+where that leaves texts outside the cluster's largest component, they are compared with the whole cluster, block by block.  Pairs that are
 linked already are not counted, so a large group of near copies costs no more than its blocks.
 
 Defined results: a null text counts as empty; texts with the same lower-cased (A-Z) words in the same order are one text; an empty
-table gives no rows; null keys are the name of a text only if it has no other; other columns are not read.
+table gives no rows; null keys are the name of a text only if it has no other; other columns are not read.  A task holds the shingle sets of
+one or two blocks, 8 bytes a word: some ``block_bytes`` and twice the longest text.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import columns, discard, materialise, raws, spread_join
-from strata.llm.components import connected_components
-from strata.llm.simhash import links, shingle_hashes, word_fingerprint
+from strata.llm.components import connected_components, with_ends
+from strata.llm.simhash import links, shingle_hashes
 
 ANCHORS = 8
 #: Up to so many texts in clusters (8 bytes each) are broadcast, so that other texts' shingles are not carried; above, all are.
@@ -40,6 +41,29 @@ def shingle_set(raw: bytes, words: int, seed: int) -> np.ndarray:
     return np.unique(np.concatenate(list(shingle_hashes(found, words, seed)))) if found else np.zeros(0, np.uint64)
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """64-bit SimHash of a set of hashes."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` bijections of 32-bit numbers, as what is added and the odd number that multiplies then."""
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, 1 << 32, (n, 1), np.uint32), rng.integers(0, 1 << 31, (n, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def band_hashes(hashes: np.ndarray, shuffles: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
+    """Minwise values of a set of hashes, joined by ``rows`` to one 64-bit hash a band; the band's number is part of it."""
+    least = np.full(len(shuffles[0]), 0xFFFFFFFF, np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for a in range(0, len(short), 1 << 12):
+        np.minimum(least, ((short[None, a : a + (1 << 12)] ^ shuffles[0]) * shuffles[1]).min(axis=1), out=least)
+    return np.array([xxhash.xxh3_64_intdigest(some.tobytes(), k) for k, some in enumerate(least.reshape(-1, rows))], np.uint64).view(np.int64)
+
+
 def set_links(sets: list[np.ndarray], home: np.ndarray, label: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Pairs that link a home set with any other to at least ``least``, but for those that ``label`` or other pairs link already."""
     n, size = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
@@ -62,26 +86,43 @@ def set_links(sets: list[np.ndarray], home: np.ndarray, label: np.ndarray, least
     return out
 
 
-def components(docs: DataFrame, least: float, bits: int = 52, keys: int = 8, shingle_words: int = 5, seed: int = 42, block: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(mark binary, key, root binary): a row for each distinct text with its least key; ``root`` is shared by a component of links."""
+def candidates(docs: DataFrame, bands: int, rows: int, shingle_words: int, seed: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """((mark, key, size) of each distinct text, (mark, bucket) rows)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def mark(batches):
+        shuffles = permutations(bands * rows, seed)
         for batch in batches:
             names, texts = columns(batch, key, text)
             found = raws(texts)
-            fps = [word_fingerprint(r, keys, seed).tobytes() for r in found]
-            yield pa.RecordBatch.from_arrays([names, pa.array(fps, pa.binary()), pa.array(list(map(text_mark, found)), pa.binary())], [key, "fp", "mark"])
-
-    marked = docs.select(key, text).mapInArrow(mark, f"`{key}` {kind}, fp binary, mark binary")
-    nodes = materialise(marked.groupBy("mark").agg(F.min("fp").alias("fp"), F.min(key).alias(key)), "texts")
-    distinct = materialise(nodes.select("fp").distinct(), "distinct")
-    near = connected_components(links(distinct, distinct.count(), bits))
-    clustered = materialise(nodes.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("mark", F.coalesce("root", "fp").alias("cluster")), "clustered")
-    sizes = materialise(clustered.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+            sets = [shingle_set(r, shingle_words, seed) for r in found]
+            keys = [band_hashes(s, shuffles, rows) if len(s) else [] for s in sets]
+            yield pa.RecordBatch.from_arrays([names, pa.array(list(map(text_mark, found)), pa.binary()), pa.array([set_fingerprint(s) if len(s) else 0 for s in sets], pa.int64()),
+                                              pa.array(list(map(len, found)), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], [key, "mark", "fp", "size", "bands"])
+
+    marked = docs.select(key, text).mapInArrow(mark, f"`{key}` {kind}, mark binary, fp long, size long, bands array<long>")
+    held = materialise(marked.groupBy("mark").agg(F.min(key).alias(key), F.min("fp").alias("fp"), F.max("size").alias("size"), F.min("bands").alias("bands")), "texts")
+    distinct = materialise(held.select("fp").distinct(), "distinct")
+    near = connected_components(links(distinct, distinct.count(), 3))
+    group = F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp"))
+    grouped = held.select("mark", "fp").join(near.withColumnRenamed("node", "fp"), "fp", "left").select("mark", group.alias("bucket"))
+    banded = held.select("mark", F.explode("bands").alias("bucket"))
+    buckets = materialise(grouped.unionByName(banded), "buckets")
+    discard(distinct, near)
+    return held, buckets
+
+
+def components(docs: DataFrame, least: float, bands: int = 32, rows: int = 8, shingle_words: int = 5, seed: int = 42, block: int = 256, block_bytes: int = 64 << 20, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(mark binary, key, root binary): a row for each distinct text with its least key; ``root`` is shared by a component of links."""
+    nodes, buckets = candidates(docs, bands, rows, shingle_words, seed, text, key)
+    stars = with_ends(buckets, "bucket", "mark", "lo < hi").select("mark", F.col("lo").alias("other"))
+    near = connected_components(stars, "mark", "other")
+    clustered = materialise(nodes.select("mark", "size").join(near.withColumnRenamed("node", "mark"), "mark").select("mark", "size", F.col("root").alias("cluster")), "clustered")
+    parts = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / block_bytes)).cast("int")
+    sizes = materialise(clustered.groupBy("cluster").agg(F.count("*").alias("n"), parts.alias("parts")), "sizes")
     total = clustered.count()
-    members = materialise(spread_join(clustered, sizes, "cluster", "n", total).select("mark", "cluster", F.ceil(F.col("n") / block).cast("int").alias("parts")), "members")
-    discard(distinct, near, clustered, sizes)
+    members = materialise(spread_join(clustered.drop("size"), sizes, "cluster", "n", total).select("mark", "cluster", "parts"), "members")
+    discard(buckets, near, clustered, sizes)
     held = materialise(members.join(_shingle_sets(docs, members, shingle_words, seed, text), "mark"), "sets")
 
     def decide(payloads: list[bytes], home: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:

@@ -34,7 +34,6 @@ from strata.llm.components import connected_components
 
 #: Fingerprints in the sample for each shard of the upper trees.
 SAMPLED = 8
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(found: list[bytes], words: int, seed: int):
@@ -61,20 +60,6 @@ def fingerprint(raw: bytes, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def word_fingerprint(raw: bytes, keys: int = 8, seed: int = 42) -> np.ndarray:
-    """SimHash of ``keys`` x 32 bits of the set of words; all 0 without words."""
-    found = list(set(raw.lower().split()))
-    ones = np.zeros(32 * keys, np.int64)
-    shift = _STEP * np.arange(1, keys // 2 + 1, dtype=np.uint64)
-    for a in range(0, len(found), 1 << 14):
-        h = np.array([xxhash.xxh64_intdigest(w, seed) for w in found[a : a + (1 << 14)]], np.uint64)[:, None] + shift
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return np.packbits(2 * ones > len(found), bitorder="little").view(np.uint32)
-
-
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fp long): the fingerprint's 64 bits as a signed number."""
 
