@@ -30,7 +30,9 @@ from strata.llm.byte_bpe import ByteDecoder
 from strata.llm.common import blocks, columns, discard, materialise, spread_join, text_buffer
 from strata.llm.segments import _LETTER, _SPACE, SegmentEncoder, _lut, cuts_are_proven
 
-HEAD, SHORT = 300_000, 48
+HEAD, SHORT = 150_000, 48
+#: Units that a task interns before it starts anew.
+HELD = 150_000
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 _GRAPH = _lut(range(0x21, 0x7F))
 
@@ -133,6 +135,11 @@ class _Reader:
         self.cutter.restart()
         self.odd = np.zeros(0, bool)
 
+    def release(self) -> None:
+        """Workers are used again: what a task interned is not kept."""
+        self.restart()
+        pa.default_memory_pool().release_unused()
+
     def read(self, texts: pa.Array):
         """(first row, last row, unit numbers, places of rows among them, rows that don't fit) of each block."""
         data, offsets = text_buffer(texts)
@@ -163,11 +170,12 @@ def count_units(docs: DataFrame, a: str, b: str, text: str) -> DataFrame:
                 now = np.bincount(good, minlength=len(reader.cutter.units))
                 now[: len(counts)] += counts
                 counts = now
-                if len(counts) > 400_000:
+                if len(counts) > HELD:
                     yield from flush()
                     reader.restart()
                     counts = np.zeros(0, np.int64)
         yield from flush()
+        reader.release()
 
     return docs.select(text).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -261,9 +269,10 @@ def align(docs: DataFrame, a: str, b: str, text: str = "text", key: str = "doc_i
                     packed.append(codec.compress(mine.astype("<i4").tobytes(), asbytes=True) if len(mine) else b"")
                     rest.append(others)
                 yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary()), pa.array(rest, pa.list_(pa.string()))], ["key", "size", "units", "rest"])
-            if len(codes) > 400_000:
+            if len(codes) > HELD:
                 reader.restart()
                 codes = np.zeros(0, np.int32)
+        reader.release()
 
     kind = docs.schema[key].dataType.simpleString()
     named = docs.select(F.col(key).alias(key), F.col(text).alias(text)).mapInArrow(encode, f"key {kind}, size int, units binary, rest array<string>")
@@ -272,6 +281,7 @@ def align(docs: DataFrame, a: str, b: str, text: str = "text", key: str = "doc_i
     others = held.select("row", F.posexplode("rest").alias("pos", "unit")).join(table.drop("n"), "unit").groupBy("row").agg(F.array_sort(F.collect_list(figures)).alias("others"))
 
     def finish(batches):
+        _pair.cache_clear()  # not needed any more in this worker
         known = head.value
         sums, groups = np.array([known[c].to_numpy() for c in SUMS], np.int64).reshape(len(SUMS), -1), known["groups"].to_pylist()
         codec = pa.Codec("zstd")
