@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions.shared import shared_folder
 from strata.operators import climate, diversity, extinction_model, network, ranges, taxonomy, turnover
-from strata.sources import normalize
+from strata.sources import normalize, services
 from strata.sources.schema import COLUMNS
+from strata.streaming import appearances
 from strata.streaming import occurrences as stream
-from strata.sources.tables import OCCURRENCES_SQL, occurrences, raw_neotoma, raw_pbdb
+from strata.sources.tables import OCCURRENCES_SQL, occurrences, raw_neotoma, raw_pbdb, record_neotoma, record_pbdb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -107,6 +109,41 @@ _add("normalized_pbdb", lambda o: normalize.normalize_pbdb(normalize.without_mis
 _KNOWN = ("occurrence_id", "scientific_name", "mid_ma", "lat", "lng", "source_db")
 _add("normalized_neotoma", lambda o: normalize.normalize_neotoma(raw_neotoma(o)),
      "select * replace (case when genus is not null then mid_ma end as mid_ma, 'Neotoma' as source_db, " + ", ".join(f'null::{"double" if c.endswith("_ma") else "varchar"} as "{c}"' for c in COLUMNS if c not in _KNOWN) + ") from occ")
+
+
+def _pbdb_source(occ: DataFrame) -> DataFrame:
+    """Recorded answers, an interval each, read through the data source by their executors."""
+    spark = occ.sparkSession
+    services.register(spark)
+    folder = record_pbdb(occ, shared_folder(spark, "pbdb"))
+    source = spark.read.format("pbdb").option("transport", "strata.sources.services:recorded").option("recorded", folder).option("intervals", "Cenozoic;Mesozoic;Paleozoic;Older")
+    return normalize.normalize_pbdb(normalize.without_missing(source.load()))
+
+
+def _neotoma_source(occ: DataFrame) -> DataFrame:
+    """Recorded pages, read by offset."""
+    spark, page = occ.sparkSession, 10_000
+    services.register(spark)
+    folder, pages = record_neotoma(occ, shared_folder(spark, "neotoma"), page)
+    source = spark.read.format("neotoma").option("transport", "strata.sources.services:recorded").option("recorded", folder).option("page", page).option("limit", pages * page)
+    return normalize.normalize_neotoma(services.neotoma_rows(source.load()))
+
+
+def _stream_appearances(occ: DataFrame) -> DataFrame:
+    """The table as files that arrive in two runs of a stream, the second of which brings a third of the first one's rows again."""
+    spark = occ.sparkSession
+    incoming, out, state = (shared_folder(spark, n) for n in ("incoming", "appearances", "state"))
+    third = F.pmod(F.crc32("occurrence_id"), F.lit(3))
+    for part in (occ.filter(third < 2), occ.filter(third > 0)):
+        part.write.mode("append").parquet(incoming)
+        appearances.write_appearances(stream.occurrence_stream(spark, incoming), out, state, slots=4).awaitTermination()
+    return appearances.appearances(spark, out)
+
+
+_add("pbdb_source", _pbdb_source, "select * replace ((max_ma + min_ma) / 2 as mid_ma, 'PBDB' as source_db) from occ")
+_add("neotoma_source", _neotoma_source, ORACLE_SQL["normalized_neotoma"].removeprefix(f"with recursive {OCCURRENCES_SQL} "))
+_add("stream_appearances", _stream_appearances, DATED,
+     "select genus, max(mid_ma) as first_appearance, min(mid_ma) as last_appearance, count(distinct (source_db, occurrence_id)) as occurrences, max(mid_ma)-min(mid_ma) as duration from dated group by genus")
 _add("unique_occurrences", lambda o: normalize.drop_repeats(normalize.conform(o)).select("source_db", "occurrence_id"), "select distinct source_db, occurrence_id from occ")
 _NOISE = "md5(concat_ws('/', '42', coalesce(occurrence_id, ''), coalesce(genus, '')))"
 _add("stable_sample", lambda o: ranges.stable_sample(o.dropna(subset=list(diversity.PLACED)), 20_000), "named as (select * from occ where mid_ma is not null and genus is not null and lat is not null and lng is not null)",

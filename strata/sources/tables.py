@@ -57,3 +57,21 @@ def raw_neotoma(occ: DataFrame) -> DataFrame:
     place = F.to_json(F.struct(F.struct(F.array("lng", "lat").alias("coordinates")).alias("geography")))
     record = F.concat(F.lit('{"age":'), shown, F.lit(',"site":'), place, F.lit(","), F.substring(F.to_json(F.struct(F.col("occurrence_id").alias("occurrenceid"), F.col("scientific_name").alias("taxonname"))), 2, 1 << 20))
     return occ.select(F.parse_json(record).alias("row"))
+
+
+def record_pbdb(occ: DataFrame, folder: str) -> str:
+    """Writes ``raw_pbdb`` as recorded CSV answers, those of an interval below ``interval=<name>``; the folder."""
+    interval = F.when(F.col("mid_ma") <= 66, "Cenozoic").when(F.col("mid_ma") <= 252, "Mesozoic").when(F.col("mid_ma") <= 541, "Paleozoic").otherwise("Older")
+    raw = raw_pbdb(occ.withColumn("interval", interval)).drop("paleolat", "license")
+    raw.write.partitionBy("interval").csv(folder, header=True, escape='"')
+    return folder
+
+
+def record_neotoma(occ: DataFrame, folder: str, page: int) -> tuple[str, int]:
+    """Writes ``raw_neotoma`` as recorded JSON answers of about ``page`` records below ``offset=<number>``; the folder and the number of pages."""
+    pages = max(1, -(-occ.count() // page))
+    rows = raw_neotoma(occ).select(F.to_json("row").alias("record"))
+    number = F.pmod(F.xxhash64("record"), F.lit(pages)) * page
+    answers = rows.groupBy(number.alias("offset")).agg(F.concat(F.lit('{"data":['), F.array_join(F.collect_list("record"), ","), F.lit("]}")).alias("value"))
+    answers.write.partitionBy("offset").text(folder)
+    return folder, pages
