@@ -123,22 +123,22 @@ def linked(places: np.ndarray, genera: np.ndarray, n_places: int, n_genera: int,
     return list(zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))))
 
 
-def modularity_by(edges: DataFrame, by: str) -> DataFrame:
-    """(by, modularity, n_communities, n_edges) of the locality graphs of distinct (by, locality, genus).
+def modularity_by(edges: DataFrame, *by: str) -> DataFrame:
+    """(*by, modularity, n_communities, n_edges) of the locality graphs of distinct (*by, locality, genus).
 
     Localities are projected within the group, where their pairs are a matrix, whatever the number of genera; a group's rows are
     bounded by the grid's cells and the genera.  Localities without a link are communities of their own.
     """
-    kind = edges.schema[by].dataType.simpleString()
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         names, place = np.unique(frame["locality"].to_numpy(str), return_inverse=True)
         genera, genus = np.unique(frame["genus"].to_numpy(str), return_inverse=True)
         pairs = linked(place, genus, len(names), len(genera))
         parts = communities(list(range(len(names))), pairs)
-        return pd.DataFrame({by: [key[0]], "modularity": [modularity(parts, pairs)], "n_communities": [len(parts)], "n_edges": [len(pairs)]})
+        return pd.DataFrame({**{b: [k] for b, k in zip(by, key)}, "modularity": [modularity(parts, pairs)], "n_communities": [len(parts)], "n_edges": [len(pairs)]})
 
-    return edges.select(by, "locality", "genus").groupBy(by).applyInPandas(run, f"`{by}` {kind}, modularity double, n_communities long, n_edges long")
+    kinds = ", ".join(f"`{b}` {edges.schema[b].dataType.simpleString()}" for b in by)
+    return edges.select(*by, "locality", "genus").groupBy(*by).applyInPandas(run, f"{kinds}, modularity double, n_communities long, n_edges long")
 
 
 def robust_bins(rows: DataFrame, min_rows: int = 100, min_localities: int = 5, min_genera: int = 5) -> DataFrame:
@@ -157,87 +157,141 @@ def biogeographic_dynamics(occ: DataFrame, width: float = 5.0, cell: float = 5.0
 
 
 def largest_bin(occ: DataFrame, width: float = 5.0, cell: float = 5.0, min_localities: int = 10, min_genera: int = 10) -> DataFrame:
-    """(time_bin, pairs): the bin with most rows, and its rows by locality and genus as one array of (locality, genus, n), whose length
-    the grid's cells and the genera bound.  No row if the bin has too few of either."""
+    """(time_bin, locality, genus, n): the rows of the bin with most of them, counted.  No row if the bin has too few localities or genera."""
     counted = located(occ, width, cell).groupBy("time_bin", "locality", "genus").agg(F.count("*").alias("n"))
     sums = counted.groupBy("time_bin").agg(F.sum("n").alias("rows"), F.count_distinct("locality").alias("l"), F.count_distinct("genus").alias("g"))
     best = sums.orderBy(F.desc("rows"), "time_bin").limit(1).filter((F.col("l") >= min_localities) & (F.col("g") >= min_genera)).select("time_bin")
-    return counted.join(F.broadcast(best), "time_bin").groupBy("time_bin").agg(F.sort_array(F.collect_list(F.struct("locality", "genus", "n"))).alias("pairs"))
+    return counted.join(F.broadcast(best), "time_bin")
+
+
+#: Rows of a node of the tree of localities that are shuffled as they are; more are split by drawing.
+SHUFFLED = 1 << 22
+
+
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """Good ones among ``n`` drawn without replacement.  Above the library's limit by inversion: the ratios of neighbouring probabilities,
+    summed as logarithms over 12 standard deviations to both sides of the mode."""
+    total = good + bad
+    if total < 10**9:
+        return int(rng.hypergeometric(good, bad, n))
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = 16 + int(12 * (n * (good / total) * (bad / total) * ((total - n) / (total - 1))) ** 0.5)
+    low, high = max(0, n - bad, mode - reach), min(n, good, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    logs = np.append(0.0, np.cumsum(np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)))
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
+
+
+def drawn(genera: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """Rows of each genus among ``n`` drawn without replacement, for any number of rows."""
+    out, total = np.zeros_like(genera), int(genera.sum())
+    order = np.argsort(-genera, kind="stable")
+    for at, k in enumerate(order.tolist()):
+        if total < 10**9:
+            rest = order[at:]
+            out[rest] = rng.multivariate_hypergeometric(genera[rest], n, method="marginals")
+            break
+        out[k] = hypergeometric(int(genera[k]), total - int(genera[k]), n, rng)
+        n, total = n - int(out[k]), total - int(genera[k])
+    return out
 
 
-def permuted(count: np.ndarray, genera: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
-    """Rows of a random table (localities x genera) with the given row and column sums.
+def split_margins(places: np.ndarray, genera: np.ndarray, seeds: list[int], low: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first place, rows of its places, rows of genera there) of nodes with up to ``most`` rows, or of one place.
 
-    Permuting genera over the rows of a bin gives each such table with the same probability as drawing each locality's genera in
-    turn, without replacement, from what is left; so the work follows the table's size and not the number of rows.
+    ``places``, from number ``low`` on, are halved like a binary tree; how many rows of each genus fall to the left half is drawn at the node.  That
+    gives each table with the margins ``places`` and ``genera`` the same probability as permuting genera over the rows.
+    """
+    if len(places) == 1 or places.sum() <= most:
+        yield low, places, genera
+        return
+    half = len(places) // 2
+    left = drawn(genera, int(places[:half].sum()), np.random.default_rng([*seeds, low, len(places)]))
+    yield from split_margins(places[:half], left, seeds, low, most)
+    yield from split_margins(places[half:], genera - left, seeds, low + half, most)
+
+
+def node_cells(places: np.ndarray, genera: np.ndarray, seeds: list[int], low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, genus, rows) of the filled cells of a node that ``split_margins`` gave."""
+    if len(places) == 1:
+        genus = np.flatnonzero(genera)
+        return np.zeros(len(genus), np.int64), genus, genera[genus]
+    rows = np.repeat(np.arange(len(genera)), genera)
+    np.random.default_rng([*seeds, low]).shuffle(rows)
+    code, n = np.unique(np.repeat(np.arange(len(places)), places) * len(genera) + rows, return_counts=True)
+    return code // len(genera), code % len(genera), n
+
+
+def permuted_cells(counted: DataFrame, iterations: int = 100, seed: int = 42, most: int = SHUFFLED) -> DataFrame:
+    """(iteration, time_bin, locality, genus, n): for each bin of ``counted``, tables with genera permuted over its rows, so that each locality and each
+    genus keeps its number of rows.
+
+    A task takes an iteration's margins, which the grid's cells and the genera bound, down a tree of localities to nodes of up to ``most`` rows, and
+    other tasks finish the nodes; so an iteration spreads, and neither memory nor any limit follows the rows.  Seeds belong to
+    iterations and nodes: the partitioning changes nothing.
     """
-    left = genera.copy()
-    for n in count.tolist():
-        drawn = rng.multivariate_hypergeometric(left, n, method="marginals")
-        left -= drawn
-        yield drawn
-
-
-def null_tables(bins: DataFrame, iterations: int, seed: int):
-    """(iteration, one row of ``largest_bin``) for the observed table (-1) and each permutation, a task for some iterations each."""
-    spark = bins.sparkSession
-    numbers = spark.range(-1, iterations).repartition(min(iterations + 1, max(1, spark.sparkContext.defaultParallelism))).select(F.col("id").cast("int").alias("iteration"))
-    return numbers.crossJoin(F.broadcast(bins))  # bins has one row
-
-
-def _tables(frames: Iterator[pd.DataFrame], seed: int):
-    """(iteration, bin, names of localities, names of genera, table) of ``null_tables``' rows."""
-    for frame in frames:
-        for iteration, time_bin, pairs in zip(frame["iteration"], frame["time_bin"], frame["pairs"]):
-            places, place = np.unique([p["locality"] for p in pairs], return_inverse=True)
-            genera, genus = np.unique([p["genus"] for p in pairs], return_inverse=True)
-            table = np.zeros((len(places), len(genera)), np.int64)
-            table[place, genus] = [p["n"] for p in pairs]
-            if iteration >= 0:
-                for row, drawn in zip(table, permuted(table.sum(1), table.sum(0), np.random.default_rng([seed, iteration]))):
-                    row[:] = drawn
-            yield int(iteration), time_bin, places, genera, table
+    spark = counted.sparkSession
+    sums = counted.groupingSets([("time_bin", "locality"), ("time_bin", "genus")], "time_bin", "locality", "genus").agg(F.sum("n").alias("n"), F.grouping("genus").alias("by_place"))
+    listed = lambda name, flag: F.sort_array(F.collect_list(F.when(F.col("by_place") == flag, F.struct(F.col(name).alias("name"), "n"))))
+    margins = sums.groupBy("time_bin").agg(listed("locality", 1).alias("places"), listed("genus", 0).alias("genera"))
+    margins = margins.select("time_bin", *(F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in ("places", "genera") for f in ("name", "n")))
+    numbers = spark.range(iterations).repartition(max(1, min(iterations, spark.sparkContext.defaultParallelism))).select(F.col("id").cast("int").alias("iteration"))
 
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                genera = np.asarray(r.genera_name, object)
+                for low, places, rows in split_margins(np.asarray(r.places_n), np.asarray(r.genera_n), [seed, r.iteration], 0, most):
+                    there = np.flatnonzero(rows)
+                    yield pd.DataFrame({"iteration": [r.iteration], "time_bin": [r.time_bin], "low": [low], "places_name": [r.places_name[low : low + len(places)]], "places_n": [places],
+                                        "genera_name": [genera[there]], "genera_n": [rows[there]]})
 
-def null_model(occ: DataFrame, iterations: int = 100, seed: int = 42, width: float = 5.0, cell: float = 5.0, min_localities: int = 10, min_genera: int = 10) -> DataFrame:
-    """(iteration, time_bin, modularity, n_edges) for the bin with most rows: iteration -1 as observed, the others with genera permuted
-    over its rows, so that each locality and each genus keeps its number of rows.  No rows if the bin has too few of either.
-    A bin has less than a thousand million rows, or drawing fails."""
+    def finish(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        (r,) = frame.itertuples()
+        place, genus, n = node_cells(np.asarray(r.places_n), np.asarray(r.genera_n), [seed, r.iteration], r.low)
+        return pd.DataFrame({"iteration": r.iteration, "time_bin": r.time_bin, "locality": np.asarray(r.places_name, object)[place], "genus": np.asarray(r.genera_name, object)[genus], "n": n})
 
-    def run(frames):
-        for iteration, time_bin, places, genera, table in _tables(frames, seed):
-            place, genus = np.nonzero(table)
-            pairs = linked(place, genus, len(places), len(genera))
-            yield pd.DataFrame({"iteration": [iteration], "time_bin": [time_bin], "modularity": [modularity(communities(list(range(len(places))), pairs), pairs)], "n_edges": [len(pairs)]})
+    nodes = "iteration int, time_bin double, low int, places_name array<string>, places_n array<long>, genera_name array<string>, genera_n array<long>"
+    parts = numbers.crossJoin(F.broadcast(margins)).mapInPandas(split, nodes)  # margins: a row for each bin
+    return parts.groupBy("iteration", "time_bin", "low").applyInPandas(finish, "iteration int, time_bin double, locality string, genus string, n long")
 
-    bins = largest_bin(occ, width, cell, min_localities, min_genera)
-    return null_tables(bins, iterations, seed).mapInPandas(run, "iteration int, time_bin double, modularity double, n_edges long")
 
+def with_observed(counted: DataFrame, cells: DataFrame) -> DataFrame:
+    """Cells of permutations and, as iteration -1, those observed."""
+    return counted.select(F.lit(-1).alias("iteration"), "time_bin", "locality", "genus", "n").unionByName(cells)
 
-def null_marginals(occ: DataFrame, iterations: int = 100, seed: int = 42, width: float = 5.0, cell: float = 5.0, min_localities: int = 10, min_genera: int = 10) -> DataFrame:
-    """(iteration, kind, name, n): rows of each locality and of each genus in the tables that ``null_model`` draws."""
 
-    def run(frames):
-        for iteration, _, places, genera, table in _tables(frames, seed):
-            for kind, names, n in (("locality", places, table.sum(1)), ("genus", genera, table.sum(0))):
-                yield pd.DataFrame({"iteration": iteration, "kind": kind, "name": names, "n": n})
+def null_model(occ: DataFrame, iterations: int = 100, seed: int = 42, width: float = 5.0, cell: float = 5.0, min_localities: int = 10, min_genera: int = 10) -> DataFrame:
+    """(iteration, time_bin, modularity, n_edges) for the bin with most rows: iteration -1 as observed, the others with genera permuted
+    over its rows.  No rows if the bin has too few localities or genera."""
+    counted = largest_bin(occ, width, cell, min_localities, min_genera)
+    cells = with_observed(counted, permuted_cells(counted, iterations, seed)) if iterations else counted.withColumn("iteration", F.lit(-1))
+    return modularity_by(cells, "iteration", "time_bin").select("iteration", "time_bin", "modularity", "n_edges")
+
 
-    bins = largest_bin(occ, width, cell, min_localities, min_genera)
-    return null_tables(bins, iterations, seed).mapInPandas(run, "iteration int, kind string, name string, n long")
+def null_marginals(occ: DataFrame, iterations: int = 100, seed: int = 42, width: float = 5.0, cell: float = 5.0, min_localities: int = 10, min_genera: int = 10, most: int = SHUFFLED) -> DataFrame:
+    """(iteration, kind, name, n): rows of each locality and of each genus in the tables that ``null_model`` compares."""
+    counted = largest_bin(occ, width, cell, min_localities, min_genera)
+    cells = with_observed(counted, permuted_cells(counted, iterations, seed, most))
+    ends = cells.select("iteration", "n", F.explode(F.array(F.struct(F.lit("locality").alias("kind"), F.col("locality").alias("name")), F.struct(F.lit("genus").alias("kind"), F.col("genus").alias("name")))).alias("end"))
+    return ends.groupBy("iteration", "end.kind", "end.name").agg(F.sum("n").alias("n"))
 
 
 def null_model_summary(null: DataFrame) -> DataFrame:
-    """Observed modularity, permutations, p-value (share of permutations at or above it; null without any) and significance."""
-    observed = null.filter("iteration = -1").select("time_bin", F.col("modularity").alias("observed_modularity"))
-    drawn = null.filter("iteration >= 0 and modularity is not null").join(F.broadcast(observed), "time_bin")
-    stats = drawn.groupBy("time_bin").agg(F.count("*").alias("permutations"), F.avg((F.col("modularity") >= F.col("observed_modularity")).cast("double")).alias("p_value"))
-    return observed.join(stats, "time_bin", "left").withColumn("significant", F.col("p_value") < 0.05)
+    """Observed modularity, permutations, p-value (share of permutations at or above it; null without any) and significance.  One aggregation over
+    the permutations, whose number is a parameter."""
+    drawn_values = F.collect_list(F.when(F.col("iteration") >= 0, F.col("modularity")))
+    sums = null.groupBy("time_bin").agg(F.max(F.when(F.col("iteration") == -1, F.col("modularity"))).alias("observed_modularity"), drawn_values.alias("drawn"))
+    reached = F.size(F.filter("drawn", lambda x: x >= F.col("observed_modularity")))
+    n = F.when(F.size("drawn") > 0, F.size("drawn").cast("long"))
+    return sums.select("time_bin", "observed_modularity", n.alias("permutations"), (reached / n).alias("p_value")).withColumn("significant", F.col("p_value") < 0.05)
 
 
 def null_histogram(null: DataFrame, bins: int = 20) -> DataFrame:
     """Permutations in ``bins`` equal classes between the least and the largest modularity: (class from 1, lower edge, number)."""
-    drawn = null.filter("iteration >= 0 and modularity is not null").select("modularity")
-    ends = F.broadcast(drawn.agg(F.min("modularity").alias("lo"), F.max("modularity").alias("hi")))
+    held = null.filter("iteration >= 0 and modularity is not null").agg(F.min("modularity").alias("lo"), F.max("modularity").alias("hi"), F.collect_list("modularity").alias("drawn"))
+    each = held.select("lo", "hi", F.explode("drawn").alias("modularity"))
     step = (F.col("hi") - F.col("lo")) / bins
     number = F.when(step > 0, F.least(F.floor((F.col("modularity") - F.col("lo")) / F.when(step > 0, step)), F.lit(bins - 1))).otherwise(0).cast("int") + 1
-    return drawn.join(ends).select(number.alias("class"), (F.col("lo") + (number - 1) * step).alias("from_modularity")).groupBy("class", "from_modularity").agg(F.count("*").alias("permutations"))
+    return each.select(number.alias("class"), (F.col("lo") + (number - 1) * step).alias("from_modularity")).groupBy("class", "from_modularity").agg(F.count("*").alias("permutations"))

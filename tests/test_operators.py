@@ -233,14 +233,69 @@ def test_linked_places(step):
     assert set(network.linked(place, genus, 12, 30, step)) == want
 
 
-def test_permuted_tables_are_those_of_shuffled_rows():
-    """Sums stay, and tables are as frequent as if genera were shuffled over the rows."""
-    places, genera = np.array([0, 0, 0, 1, 1]), np.array([0, 0, 1, 1, 2])
-    table = lambda p, g: tuple(np.bincount(3 * p + g, minlength=6).tolist())
-    rng = np.random.default_rng(1)
+@pytest.mark.parametrize("most", [1, 3, 100])
+def test_permuted_tables_are_those_of_shuffled_rows(most):
+    """Sums stay, and tables are as frequent as if genera were shuffled over the rows, at whatever size nodes are split."""
+    places, genera = np.array([0, 0, 1, 2, 2]), np.array([0, 0, 1, 1, 2])
+    table = lambda p, g: tuple(np.bincount(3 * p + g, minlength=9).tolist())
     want = Counter(table(places, np.array(g)) for g in itertools.permutations(genera.tolist()))
-    found = Counter(tuple(np.concatenate(list(network.permuted(np.array([3, 2]), np.array([2, 2, 1]), rng))).tolist()) for _ in range(12_000))
-    assert set(found) == set(want) and all(found[t] == pytest.approx(100 * n, rel=0.15) for t, n in want.items())
+    found = Counter()
+    for k in range(12_000):
+        out = np.zeros((3, 3), int)
+        for low, counts, rows in network.split_margins(np.array([2, 1, 2]), np.array([2, 2, 1]), [7, k], 0, most):
+            place, genus, n = network.node_cells(counts, rows, [7, k], low)
+            out[low + place, genus] = n
+        found[tuple(out.ravel().tolist())] += 1
+    assert set(found) == set(want) and all(found[t] == pytest.approx(100 * n, rel=0.3, abs=40) for t, n in want.items())
+    assert sum((found[t] - 100 * n) ** 2 / (100 * n) for t, n in want.items()) < 3 * len(want)
+
+
+def test_hypergeometric_by_inversion_follows_the_library(monkeypatch):
+    rng, numbers = np.random.default_rng(3), (40, 60, 30)
+    exact = np.bincount(rng.hypergeometric(*numbers, 40_000), minlength=31)
+    small = network.hypergeometric.__code__.replace(co_consts=tuple(10 if c == 10**9 else c for c in network.hypergeometric.__code__.co_consts))
+    inverted = type(network.hypergeometric)(small, network.hypergeometric.__globals__)
+    found = np.bincount([inverted(*numbers, rng) for _ in range(40_000)], minlength=31)
+    common = exact + found > 200
+    assert np.all(np.abs(exact - found)[common] < 5 * np.sqrt((exact + found)[common]))
+    assert [inverted(20, 0, 5, rng), inverted(0, 20, 5, rng), inverted(7, 13, 20, rng), inverted(7, 13, 0, rng)] == [5, 0, 7, 0]
+    big = [network.hypergeometric(3 * 10**9, 5 * 10**9, 4 * 10**9, rng) for _ in range(40)]
+    sd = (4e9 * 3 / 8 * 5 / 8 * (4 / 8)) ** 0.5
+    assert abs(np.mean(big) - 1.5e9) < 4 * sd / 40**0.5 and 0.6 * sd < np.std(big) < 1.5 * sd
+
+
+def test_a_bin_of_more_rows_than_fit_anywhere(spark):
+    """3,000 million rows: the margins of each permutation are those observed, and cells near what independence expects."""
+    rows = [(5.0, f"p{p}", f"g{g}", n) for p in range(12) for g in range(9) if (n := (p + 1) * (g + 2) * 900_000 if (p + g) % 3 else 0)] + [(5.0, "p0", "rare", 3)]
+    counted = spark.createDataFrame(rows, "time_bin double, locality string, genus string, n long")
+    total = sum(r[3] for r in rows)
+    assert total > 2 * 10**9
+    cells = network.permuted_cells(counted, 3, most=1 << 16).collect()
+    for k in range(3):
+        for at, name in ((1, "locality"), (2, "genus")):
+            want, found = Counter(), Counter()
+            for r in rows:
+                want[r[at]] += r[3]
+            for r in cells:
+                if r.iteration == k:
+                    found[r[name]] += r.n
+            assert want == found
+    first = {(r.locality, r.genus): r.n for r in cells if r.iteration == 0}
+    p, g = sum(r[3] for r in rows if r[1] == "p5"), sum(r[3] for r in rows if r[2] == "g4")
+    assert first["p5", "g4"] == pytest.approx(p * g / total, rel=1e-3)
+
+
+def test_permutations_run_once(spark):
+    """One pass over the permutations for the summary and for the histogram, and a partitioning that changes nothing."""
+    rng = random.Random(5)
+    rows = [{"genus": f"g{rng.randint(0, 20)}", "mid_ma": 5.0, "lat": 5.0 * rng.randint(0, 11), "lng": 0.0} for _ in range(150)]
+    null = network.null_model(occ(spark, rows), 5)
+    for frame in (network.null_model_summary(null), network.null_histogram(null, 4)):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    cells = [sorted(map(tuple, network.permuted_cells(network.largest_bin(occ(spark, rows).repartition(n)), 4, most=20).collect())) for n in (1, 5)]
+    assert cells[0] == cells[1] and len({(r[0], r[2]) for r in cells[0]}) == 4 * 12
+    ends = network.null_marginals(occ(spark, rows), 4, most=20).groupBy("kind", "name").agg(F.count_distinct("n").alias("k"), F.count("*").alias("rows")).collect()
+    assert {(r.k, r.rows) for r in ends} == {(1, 5)}
 
 
 def test_split_takes_the_share_of_each_class(spark):
