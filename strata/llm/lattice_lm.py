@@ -10,7 +10,8 @@ weighs 1 / (10 - s), as frequencies fall with ranks.  Pieces that no lower-cased
 ``score`` is the model that learns from the corpus.  The file's weights are the prior (with ``strength``) of an expectation maximisation
 over the distinct training words, ``rounds`` times; and each word seen in training is one more edge of the lattice, over the whole
 word: seen c times it has its discounted relative frequency there, and the discount's mass goes to the pieces.  All of that
-is kept for each class of training documents (their languages; ``max_classes`` of them, the most frequent ones, and one for all others),
+is kept for each class of training documents (their languages, and one for documents without; with ``max_classes`` only the most frequent ones are classes of their own, which bounds the
+tables where a column holds more than languages),
 and a text's probability is the mixture over classes of the product over its words and its end; so nothing but the text enters a score.
 
 Words are lower-cased (A-Z) runs of bytes other than ASCII white space.  All counts cover the whole corpus.  A lattice is run once
@@ -293,14 +294,15 @@ def expectation(words: DataFrame, vocabulary_path: str, score: np.ndarray, n_cla
     return out
 
 
-def score_documents(docs: DataFrame, vocabulary_path: str, class_by: str | None = "lang", of: int = 7, rest: int = 2, max_classes: int = 7, rounds: int = 3,
+def score_documents(docs: DataFrame, vocabulary_path: str, class_by: str | None = "lang", of: int = 7, rest: int = 2, max_classes: int | None = None, rounds: int = 3,
                     hot_words: int = 200_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score)."""
     spark = docs.sparkSession
     held = held_out(key, of, rest)
     label = F.col(class_by).cast("string") if class_by and class_by in docs.columns else F.lit(None).cast("string")
     marked = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), held.alias("_held"), label.alias("_label"))
-    found = [r["_label"] for r in marked.filter("not _held and _label is not null").groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(max_classes).collect()]
+    labels = marked.filter("not _held and _label is not null").groupBy("_label").count().orderBy(F.desc("count"), "_label")
+    found = [r["_label"] for r in (labels if max_classes is None else labels.limit(max_classes)).collect()]  # a row for each class
     k = len(found) + 1
     number = F.lit(k - 1)
     for i, name in enumerate(found):

@@ -102,7 +102,7 @@ def _counter(path: str, chunk: int, overlap: int):
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk: int = 32_768, overlap: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_bytes, n_tokens, over_limit, chunked): ``chunked`` tells the texts longer than ``chunk`` bytes, which
+    """(key, n_bytes, n_tokens, over_limit, chunked): ``chunked`` tells the texts longer than ``chunk`` code points, which
     overlapping chunks counted.  A sentencepiece model has no such boundaries,
     and for a pattern other than those of ``segments`` none is proven; then each text is encoded in one go."""
 
@@ -112,6 +112,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk: int
             keys, texts = columns(batch, key, text)
             data, offsets = text_buffer(texts)
             sizes = np.diff(offsets)
+            chunked = np.zeros(len(sizes), bool)
             if plain:
                 counts = np.array([plain(x or "") for x in texts.to_pylist()], np.int64)
             else:
@@ -122,9 +123,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, chunk: int
                 for a, b in blocks(at, 2 << 20):
                     counts[short[a:b]] = np.diff(encoder.encode(part[at[a] : at[b]], at[a : b + 1] - at[a])[1])
                 for k in np.flatnonzero(sizes > chunk).tolist():
-                    counts[k] = resync(texts[k].as_py())
+                    whole = texts[k].as_py()
+                    counts[k], chunked[k] = resync(whole), len(whole) > chunk
             yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(sizes), pa.array(counts), pa.array(counts > limit), pa.array(sizes > chunk)],
+                [keys, pa.array(sizes), pa.array(counts), pa.array(counts > limit), pa.array(chunked)],
                 [key, "n_bytes", "n_tokens", "over_limit", "chunked"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -13,7 +13,7 @@ same bytes, so a task may run again at any time.  Files are memory-mapped to be
 library reaches is read and written through pyarrow's file systems.
 
 Defined results: null text counts as empty (the end id alone); rows with equal keys follow each other by text; a null key comes
-first and is written as the least 64-bit number, read back as null; an empty table gives no shards; a key that is
+first and is written as the least 64-bit number, read back as null, as is a key of that very number; an empty table gives no shards; a key that is
 no integer raises TypeError; texts of any length are written whole; other columns are not read, whatever their names.
 """
 

@@ -153,14 +153,14 @@ def test_query(docs, rows):
     assert by(found) == by(again)  # whichever words are looked up and whichever are joined
 
 
-@pytest.mark.parametrize("max_classes", [1, 2, 7])
+@pytest.mark.parametrize("max_classes", [1, 2, 7, None])
 def test_classes_on_both_sides_of_their_bound(spark, max_classes):
     """The most frequent languages have a class each, all others one together; none is left out."""
     rng = random.Random(6)
-    rows = [(k, " ".join(rng.choice(["red", "stone", "q" * 70, f"{g}{g}"]) for _ in range(12)), g) for k, g in enumerate(["aa"] * 9 + ["bb"] * 6 + ["cc"] * 3 + [None] * 2)]
+    rows = [(k, " ".join(rng.choice(["red", "stone", "q" * 70, f"{g}{g}"]) for _ in range(12)), g) for k, g in enumerate(["aa"] * 9 + ["bb"] * 6 + ["cc"] * 3 + [None] * 2 + [f"l{x}" for x in range(9)])]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = {r.doc_id: (r.score, r.lattice_score) for r in lattice_lm.score_documents(frame, P.path("piece_bpe_32k.model"), rounds=1, max_classes=max_classes).collect()}
-    for (k, *_), want in zip(rows, plain_model(rows, P.path("piece_bpe_32k.model"), max_classes)):
+    for (k, *_), want in zip(rows, plain_model(rows, P.path("piece_bpe_32k.model"), max_classes or 99)):
         assert found[k] == pytest.approx(want)
 
 
