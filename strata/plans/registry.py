@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions.shared import shared_folder
-from strata.operators import climate, diversity, extinction_model, network, ranges, taxonomy, turnover
-from strata.sources import normalize, services
+from strata.functions import sql as functions
+from strata.functions.shared import shared_folder, written
+from strata.operators import climate, communities, diversity, extinction_model, intervals, network, ranges, sketches, taxonomy, turnover
+from strata.sources import bucketed, normalize, services
 from strata.sources.schema import COLUMNS
 from strata.streaming import appearances
 from strata.streaming import occurrences as stream
@@ -136,7 +138,7 @@ def _stream_appearances(occ: DataFrame) -> DataFrame:
     third = F.pmod(F.crc32("occurrence_id"), F.lit(3))
     for part in (occ.filter(third < 2), occ.filter(third > 0)):
         part.write.mode("append").parquet(incoming)
-        appearances.write_appearances(stream.occurrence_stream(spark, incoming), out, state, slots=4).awaitTermination()
+        appearances.write_appearances(stream.occurrence_stream(spark, incoming), out, state, slots=1).awaitTermination()
     return appearances.appearances(spark, out)
 
 
@@ -165,6 +167,39 @@ _SERIES = (DATED, f"series as (select time_bin, count(distinct genus) as diversi
 _add("climate_timeseries", _rounded(climate.climate_timeseries, "temperature"), *_SERIES, "select time_bin, diversity, round(temperature, 6) as temperature from series")
 _add("climate_correlation", _rounded(lambda o: climate.correlation(climate.climate_timeseries(o), "diversity", "temperature"), "correlation"), *_SERIES, "select round(coalesce(corr(diversity, temperature), 0), 6) as correlation from series")
 
+_add("climate_timeseries_table", _rounded(lambda o: intervals.interpolated(diversity.diversity_curve(o), o.sparkSession.createDataFrame([(float(a), float(t)) for a, t in climate.KNOTS], "age double, temperature double"), "time_bin", "temperature"), "temperature"),
+     *_SERIES, "select time_bin, diversity, round(temperature, 6) as temperature from series")
+_add("range_through_diversity", intervals.range_through_diversity, DATED, "bins as (select distinct time_bin from dated)", "spans as (select genus, min(time_bin) as youngest, max(time_bin) as oldest from dated group by 1)",
+     "select time_bin, count(*) as standing_diversity from bins join spans on time_bin between youngest and oldest group by 1")
+
+
+def _sketched(occ: DataFrame) -> DataFrame:
+    """Two downloads that overlap leave a table of sketches each; their merge is held against the diversity of all rows, four standard errors either way."""
+    part = F.pmod(F.crc32("occurrence_id"), F.lit(3))
+    tables = [written(sketches.diversity_sketches(occ.filter(some)), "sketches") for some in (part < 2, part > 0)]
+    found = sketches.sketched_diversity(sketches.merged(*tables)).withColumnRenamed("diversity", "estimate")
+    near = F.abs(F.col("estimate") - F.col("diversity")) <= 1 + 4 * sketches.relative_error() * F.col("diversity")
+    return diversity.diversity_curve(occ).join(found, "time_bin", "left").select("time_bin", "diversity", F.coalesce(near, F.lit(False)).alias("estimate_is_near"))
+
+
+def _by_sql(occ: DataFrame) -> DataFrame:
+    spark = occ.sparkSession
+    functions.register_functions(spark)
+    normalize.register(occ, "occurrences")
+    return spark.sql("""select * from sqs(table(select time_bin(mid_ma, 5) as time_bin, genus, count(*) as n from occurrences
+                        where mid_ma is not null and genus is not null group by 1, 2) partition by (time_bin), 0.5)""")
+
+
+def _bucketed_ranges(occ: DataFrame) -> DataFrame:
+    folder = shared_folder(occ.sparkSession, "bucketed")
+    table = bucketed.write_bucketed(occ, f"occurrences_{folder.rpartition('-')[2]}", buckets=8, folder=folder)
+    return ranges.genus_ranges(table)
+
+
+_add("diversity_sketch", _sketched, DATED, "select time_bin, count(distinct genus) as diversity, true as estimate_is_near from dated group by 1")
+_add("sql_functions", _by_sql, DATED, *_SQS, "select time_bin, count(*) filter (2*(c-n) < t) as sqs_diversity from cum group by 1")
+_add("bucketed_ranges", _bucketed_ranges, DATED, RANGES, "select * from ranges")
+
 _FEATURES = (PLACED, INDEXED.format(rows="placed"),
              "there as (select genus, time_bin, i, count(distinct (lat_bin, lng_bin)) as geographic_range, count(*) as abundance, max(lat)-min(lat) as lat_range, count(distinct environment) as env_breadth from placed join bins using (time_bin) group by 1, 2, 3)",
              "features as (select genus, time_bin, geographic_range, abundance, lat_range, env_breadth, row_number() over w - 1 as age, case when lead(i) over w = i+1 then 0 else 1 end::bigint as extinct_next_bin from there window w as (partition by genus order by i) qualify i < (select max(i) from bins))")
@@ -184,6 +219,7 @@ _add("locality_network_nodes", network.locality_network_nodes, f"p as (select {_
      "top as (select locality, lat_bin, lng_bin, count(*) as occurrences from p group by 1, 2, 3 order by 4 desc, 1 limit 50)", "e as (select distinct locality, genus from p where locality in (select locality from top))",
      f"edges as ({_EDGES.format(by='', rows='e', on='')})", "ends as (select src as locality from edges union all select dst from edges)",
      "select t.locality, t.lat_bin, t.lng_bin, t.occurrences, count(x.locality) as degree from top t left join ends x using (locality) group by 1, 2, 3, 4")
+_add("locality_communities", _rounded(lambda o: communities.communities(network.project(network.located(o).select("locality", "genus").distinct(), [])), "modularity"))
 _add("biogeographic_dynamics", network.biogeographic_dynamics)
 _add("biogeographic_bins", _rounded(lambda o: network.robust_bins(network.located(o)), "mean_abs_lat"), PLACED, _ROBUST, "select time_bin, round(mean_abs_lat, 6) as mean_abs_lat, diversity, localities, n from robust")
 _add("biogeographic_edges", lambda o: network.biogeographic_dynamics(o).select("time_bin", "diversity", "n_edges"), PLACED, _ROBUST, _PAIRED, _BIN_EDGES,
@@ -198,24 +234,21 @@ _add("null_marginals", network.null_marginals, PLACED, _LARGEST, f"r as (select
      "select (i.k - 1)::int as iteration, kind, name, n from m, range(101) i(k)")
 
 
-def _with_model(use: Callable[[extinction_model.ExtinctionModel], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    """``use`` of a model; the features are held while it is fitted and released then."""
-
-    def build(occ: DataFrame) -> DataFrame:
-        features = turnover.extinction_features(occ).persist()
-        try:
-            found = extinction_model.fit(features)
-            if found is None:
-                raise ValueError("too few samples")
-            return use(found)
-        finally:
-            features.unpersist()
-
-    return build
+@functools.lru_cache(maxsize=1)
+def _fitted(spark: SparkSession, sf_dir: str) -> extinction_model.ExtinctionModel:
+    """The forest that both of its queries show, fitted once; the features are held meanwhile and released then."""
+    features = turnover.extinction_features(occurrences(spark, sf_dir)).persist()
+    try:
+        found = extinction_model.fit(features)
+        if found is None:
+            raise ValueError("too few samples")
+        return found
+    finally:
+        features.unpersist()
 
 
-_add("extinction_model_metrics", _with_model(extinction_model.metrics))
-_add("feature_importances", _with_model(extinction_model.feature_importances))
+QUERIES["extinction_model_metrics"] = lambda spark, sf_dir: extinction_model.metrics(_fitted(spark, sf_dir))
+QUERIES["feature_importances"] = lambda spark, sf_dir: extinction_model.feature_importances(_fitted(spark, sf_dir))
 _add("extinction_split", lambda o: extinction_model.split_sizes(turnover.extinction_features(o)), *_FEATURES,
      "sizes as (select extinct_next_bin, count(*) as n, floor(count(*) * 0.7e0)::bigint as k from features group by 1)",
      "select 'train' as side, extinct_next_bin, k as n from sizes where k > 0 union all select 'test', extinct_next_bin, n - k from sizes where n > k")
