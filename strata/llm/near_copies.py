@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import columns, discard, materialise, raws, spread_join
+from strata.llm.common import blocks, columns, discard, materialise, raws, spread_join, text_buffer
 from strata.llm.components import connected_components, with_ends
 from strata.llm.simhash import links, shingle_hashes
 
@@ -94,11 +94,13 @@ def candidates(docs: DataFrame, bands: int, rows: int, shingle_words: int, seed:
         shuffles = permutations(bands * rows, seed)
         for batch in batches:
             names, texts = columns(batch, key, text)
-            found = raws(texts)
-            sets = [shingle_set(r, shingle_words, seed) for r in found]
-            keys = [band_hashes(s, shuffles, rows) if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays([names, pa.array(list(map(text_mark, found)), pa.binary()), pa.array([set_fingerprint(s) if len(s) else 0 for s in sets], pa.int64()),
-                                              pa.array(list(map(len, found)), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], [key, "mark", "fp", "size", "bands"])
+            for a, b in blocks(text_buffer(texts)[1], 2 << 20):
+                found = raws(texts.slice(a, b - a))
+                sets = [shingle_set(r, shingle_words, seed) for r in found]
+                keys = [band_hashes(s, shuffles, rows) if len(s) else [] for s in sets]
+                yield pa.RecordBatch.from_arrays([names.slice(a, b - a), pa.array(list(map(text_mark, found)), pa.binary()), pa.array([set_fingerprint(s) if len(s) else 0 for s in sets], pa.int64()),
+                                                  pa.array(list(map(len, found)), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], [key, "mark", "fp", "size", "bands"])
+        pa.default_memory_pool().release_unused()
 
     marked = docs.select(key, text).mapInArrow(mark, f"`{key}` {kind}, mark binary, fp long, size long, bands array<long>")
     held = materialise(marked.groupBy("mark").agg(F.min(key).alias(key), F.min("fp").alias("fp"), F.max("size").alias("size"), F.min("bands").alias("bands")), "texts")
@@ -181,18 +183,19 @@ def _shingle_sets(docs: DataFrame, members: DataFrame, words: int, seed: int, te
     def run(batches):
         given: set[bytes] = set()
         for batch in batches:
-            found = raws(batch.column(0))
-            marks = list(map(text_mark, found))
-            wanted = np.isin(head(marks), sought.value) if few else np.ones(len(marks), bool)
-            at = []
-            for k in np.flatnonzero(wanted).tolist():
-                if marks[k] not in given:  # copies in a task need one set
-                    given.add(marks[k])
-                    at.append(k)
-            for a in range(0, len(at), 256):
-                part = at[a : a + 256]
+            texts = batch.column(0)
+            for a, b in blocks(text_buffer(texts)[1], 2 << 20):
+                found = raws(texts.slice(a, b - a))
+                marks = list(map(text_mark, found))
+                wanted = np.isin(head(marks), sought.value) if few else np.ones(len(marks), bool)
+                part = []
+                for k in np.flatnonzero(wanted).tolist():
+                    if marks[k] not in given:  # copies in a task need one set
+                        given.add(marks[k])
+                        part.append(k)
                 yield pa.RecordBatch.from_arrays([pa.array([marks[k] for k in part], pa.binary()), pa.array([shingle_set(found[k], words, seed).tobytes() for k in part], pa.binary())], ["mark", "set"])
-            if len(given) > 100_000:
-                given.clear()
+                if len(given) > 100_000:
+                    given.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(text).mapInArrow(run, "mark binary, set binary").groupBy("mark").agg(F.min("set").alias("set"))
