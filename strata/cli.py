@@ -25,7 +25,7 @@ def _model(occ: DataFrame, out: str) -> dict[str, DataFrame]:
 #: Analysis to the tables it writes.
 ANALYSES = {
     "basic": lambda occ, out: {"diversity_curve": diversity.diversity_curve(occ), "occurrence_map": ranges.occurrence_map(occ)},
-    "advanced": lambda occ, out: {"locality_network": network.locality_network_edges(occ), "locality_nodes": network.locality_network_nodes(occ), "sqs_diversity": diversity.sqs_diversity(occ)},
+    "advanced": lambda occ, out: {"locality_network": network.locality_network_edges(occ), "locality_nodes": network.locality_network_nodes(occ), "locality_layout": network.locality_network_layout(occ), "sqs_diversity": diversity.sqs_diversity(occ)},
     "sota": lambda occ, out: {"biogeographic_dynamics": network.biogeographic_dynamics(occ), "latitudinal_shift": diversity.latitudinal_centroid(occ)},
     "ml": _model,
     "check": lambda occ, out: {"quality": normalize.quality_report(occ), "eras": ranges.era_counts(occ)},

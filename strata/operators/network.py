@@ -141,21 +141,81 @@ def modularity_by(edges: DataFrame, *by: str) -> DataFrame:
     return edges.select(*by, "locality", "genus").groupBy(*by).applyInPandas(run, f"{kinds}, modularity double, n_communities long, n_edges long")
 
 
-def robust_bins(rows: DataFrame, min_rows: int = 100, min_localities: int = 5, min_genera: int = 5) -> DataFrame:
-    """Bins of ``located`` rows with enough rows, localities and genera: mean absolute latitude, genera, localities, rows."""
-    sums = rows.groupBy("time_bin").agg(F.avg(F.abs("lat")).alias("mean_abs_lat"), F.count_distinct("genus").alias("diversity"), F.count_distinct("locality").alias("localities"), F.count("*").alias("n"))
+def counted_cells(rows: DataFrame) -> DataFrame:
+    """(time_bin, locality, genus, n, abs_lat) of ``located`` rows: their number and the sum of their absolute latitudes."""
+    return rows.groupBy("time_bin", "locality", "genus").agg(F.count("*").alias("n"), F.sum(F.abs("lat")).alias("abs_lat"))
+
+
+def robust_bins(counted: DataFrame, min_rows: int = 100, min_localities: int = 5, min_genera: int = 5) -> DataFrame:
+    """Bins of ``counted_cells`` with enough rows, localities and genera: mean absolute latitude, genera, localities, rows."""
+    sums = counted.groupBy("time_bin").agg((F.sum("abs_lat") / F.sum("n")).alias("mean_abs_lat"), F.count_distinct("genus").alias("diversity"), F.count_distinct("locality").alias("localities"), F.sum("n").alias("n"))
     return sums.filter((F.col("n") >= min_rows) & (F.col("localities") >= min_localities) & (F.col("diversity") >= min_genera))
 
 
 def biogeographic_dynamics(occ: DataFrame, width: float = 5.0, cell: float = 5.0, min_rows: int = 100, min_localities: int = 5, min_genera: int = 5) -> DataFrame:
-    """Modularity, mean absolute latitude and diversity of bins with enough rows, localities and genera, and edges of their graphs."""
-    rows = located(occ, width, cell)
-    enough = robust_bins(rows, min_rows, min_localities, min_genera)
-    kept = rows.select("time_bin", "locality", "genus").distinct().join(F.broadcast(enough.select("time_bin")), "time_bin", "left_semi")
+    """Modularity, mean absolute latitude and diversity of bins with enough rows, localities and genera, and edges of their graphs.
+
+    Guards and graphs both come from the counted cells, whose aggregation is one exchange of the plan.
+    """
+    counted = counted_cells(located(occ, width, cell))
+    enough = robust_bins(counted, min_rows, min_localities, min_genera)
+    kept = counted.join(F.broadcast(enough.select("time_bin")), "time_bin", "left_semi")  # a row for each bin
     found = modularity_by(kept, "time_bin").select("time_bin", "modularity", "n_edges")
     return enough.join(found, "time_bin", "left").select("time_bin", "modularity", "mean_abs_lat", "diversity", "n_edges").orderBy(F.desc("time_bin"))
 
 
+def locality_network_layout(occ: DataFrame, top: int = 50, cell: float = 5.0, rounds: int = 300) -> DataFrame:
+    """(locality, x, y) of ``locality_network_nodes`` for a chart, in the unit square: see ``force_layout``.  One group of ``top`` nodes."""
+    nodes, edges = locality_network_nodes(occ, top, cell), locality_network_edges(occ, top, cell)
+    both = nodes.select(F.col("locality").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(frame.loc[frame["dst"].isna(), "src"])
+        number = {n: k for k, n in enumerate(names)}
+        pairs = [(number[a], number[b]) for a, b in zip(frame["src"], frame["dst"]) if isinstance(b, str)]
+        at = force_layout(len(names), pairs, rounds)
+        return pd.DataFrame({"locality": names, "x": at[:, 0], "y": at[:, 1]})
+
+    return both.groupBy().applyInPandas(run, "locality string, x double, y double")
+
+
+def layout_energy(at: np.ndarray, edges: np.ndarray, k: float) -> float:
+    """What ``force_layout`` lowers: edges pull with distance squared over ``k``, all pairs push with ``k`` squared over distance."""
+    apart = np.linalg.norm(at[:, None] - at[None], axis=2)[np.triu_indices(len(at), 1)]
+    along = np.linalg.norm(at[edges[:, 0]] - at[edges[:, 1]], axis=1)
+    return float((along**3).sum() / (3 * k) - k**2 * np.log(np.maximum(apart, 1e-9)).sum())
+
+
+def force_layout(n: int, edges: list[tuple[int, int]], rounds: int = 300) -> np.ndarray:
+    """Positions of ``n`` nodes in the unit square by attraction along edges and repulsion of all pairs, from a circle in the nodes' order, so the same
+    each time.  A step that raises the energy is halved and taken anew."""
+    if n < 2:
+        return np.full((n, 2), 0.5)
+    k, pairs = (1 / n) ** 0.5, np.array(edges, int).reshape(-1, 2)
+    turn = 2 * np.pi * np.arange(n) / n
+    at, step = 0.5 + 0.5 * np.stack([np.cos(turn), np.sin(turn)], axis=1), 0.1
+    energy = layout_energy(at, pairs, k)
+    for _ in range(rounds):
+        gap = at[:, None] - at[None]
+        far = np.maximum((gap**2).sum(axis=2), 1e-12)
+        force = (gap * (k**2 / far)[:, :, None]).sum(axis=1)
+        pull = at[pairs[:, 0]] - at[pairs[:, 1]]
+        pull *= np.linalg.norm(pull, axis=1)[:, None] / k
+        np.add.at(force, pairs[:, 0], -pull)
+        np.add.at(force, pairs[:, 1], pull)
+        size = np.maximum(np.linalg.norm(force, axis=1), 1e-12)[:, None]
+        new = at + force / size * np.minimum(size, step)
+        now = layout_energy(new, pairs, k)
+        if now > energy:
+            step /= 2
+            if step < 1e-6:
+                break
+            continue
+        at, energy, step = new, now, step * 1.1
+    low, high = at.min(axis=0), at.max(axis=0)
+    return (at - low) / max(float((high - low).max()), 1e-12)
+
+
 def largest_bin(occ: DataFrame, width: float = 5.0, cell: float = 5.0, min_localities: int = 10, min_genera: int = 10) -> DataFrame:
     """(time_bin, locality, genus, n): the rows of the bin with most of them, counted.  No row if the bin has too few localities or genera."""
     counted = located(occ, width, cell).groupBy("time_bin", "locality", "genus").agg(F.count("*").alias("n"))

@@ -146,9 +146,21 @@ def occurrence_map(occ: DataFrame) -> DataFrame:
 
 
 def stable_sample(rows: DataFrame, n: int, seed: int = 42, names: tuple[str, ...] = ("occurrence_id", "genus")) -> DataFrame:
-    """Exactly ``n`` rows (all, if fewer), the same ones whatever the partitioning: the first by a hash of ``names``, then by all columns."""
+    """Exactly ``n`` rows (all, if fewer), the same ones whatever the partitioning: the first by a hash of ``names``, then by all columns.
+
+    Rows are counted first, so that only those below a threshold of the hash, a few more than ``n`` in all, are sorted and meet in the end; the
+    threshold doubles if rows that share a hash leave too few below it.
+    """
     noise = F.md5(F.concat_ws("/", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names)))
-    return rows.orderBy(noise, *rows.columns).limit(n)
+    total, wanted = rows.count(), n + 6 * int(n**0.5) + 16
+    kept = rows
+    while total > 2 * wanted:
+        threshold = F.lit(f"{(wanted << 128) // total:032x}")
+        kept = rows.filter(noise < threshold)
+        if kept.count() >= n:
+            break
+        wanted, kept = 2 * wanted, rows
+    return kept.orderBy(noise, *rows.columns).limit(n)
 
 
 def map_sample(occ: DataFrame, n: int = 2000, seed: int = 42) -> DataFrame:

@@ -219,9 +219,10 @@ _add("locality_network_nodes", network.locality_network_nodes, f"p as (select {_
      "top as (select locality, lat_bin, lng_bin, count(*) as occurrences from p group by 1, 2, 3 order by 4 desc, 1 limit 50)", "e as (select distinct locality, genus from p where locality in (select locality from top))",
      f"edges as ({_EDGES.format(by='', rows='e', on='')})", "ends as (select src as locality from edges union all select dst from edges)",
      "select t.locality, t.lat_bin, t.lng_bin, t.occurrences, count(x.locality) as degree from top t left join ends x using (locality) group by 1, 2, 3, 4")
+_add("locality_network_layout", _rounded(network.locality_network_layout, "x", "y"))
 _add("locality_communities", _rounded(lambda o: communities.communities(network.project(network.located(o).select("locality", "genus").distinct(), [])), "modularity"))
 _add("biogeographic_dynamics", network.biogeographic_dynamics)
-_add("biogeographic_bins", _rounded(lambda o: network.robust_bins(network.located(o)), "mean_abs_lat"), PLACED, _ROBUST, "select time_bin, round(mean_abs_lat, 6) as mean_abs_lat, diversity, localities, n from robust")
+_add("biogeographic_bins", _rounded(lambda o: network.robust_bins(network.counted_cells(network.located(o))), "mean_abs_lat"), PLACED, _ROBUST, "select time_bin, round(mean_abs_lat, 6) as mean_abs_lat, diversity, localities, n from robust")
 _add("biogeographic_edges", lambda o: network.biogeographic_dynamics(o).select("time_bin", "diversity", "n_edges"), PLACED, _ROBUST, _PAIRED, _BIN_EDGES,
      "select r.time_bin, r.diversity, (select count(*) from edges x where x.time_bin = r.time_bin) as n_edges from robust r")
 _LARGEST = "best as (select time_bin from (select time_bin, count(*) as n, count(distinct (lat_bin, lng_bin)) as l, count(distinct genus) as g from placed group by 1 order by 2 desc, 1 limit 1) where l >= 10 and g >= 10)"

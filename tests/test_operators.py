@@ -315,3 +315,36 @@ def test_network_guards(spark):
     frame = spark.createDataFrame(rows(5, 100, 6, 7) + rows(50, 99, 6, 7) + rows(100, 120, 4, 7) + rows(150, 120, 6, 4), "genus string, mid_ma double, lat double, lng double")
     found = network.biogeographic_dynamics(frame).collect()
     assert [(r.time_bin, r.diversity) for r in found] == [(5.0, 7)]
+
+
+def test_layout():
+    """A ring and two cliques: energy falls from the start, cliques are apart, positions repeat and fill the unit square."""
+    ring = [(k, (k + 1) % 12) for k in range(12)]
+    cliques = [(a + 6 * c, b + 6 * c) for c in range(2) for a, b in itertools.combinations(range(6), 2)] + [(0, 6)]
+    for edges in (ring, cliques):
+        at = network.force_layout(12, edges)
+        assert np.array_equal(at, network.force_layout(12, edges)) and at.min() == 0 and at.max() == pytest.approx(1)
+        energies = [network.layout_energy(network.force_layout(12, edges, rounds) * 1.0, np.array(edges), (1 / 12) ** 0.5) for rounds in (0, 300)]
+        assert energies[1] < energies[0] or edges is ring  # a ring is laid out from the start
+    inside = [np.linalg.norm(at[a] - at[b]) for a, b in cliques[:-1]]
+    between = [np.linalg.norm(at[a] - at[b]) for a in range(6) for b in range(6, 12)]
+    assert np.mean(inside) < 0.5 * np.mean(between)
+    assert network.force_layout(0, []).shape == (0, 2) and network.force_layout(1, []).tolist() == [[0.5, 0.5]]
+
+
+def test_layout_of_the_network(spark):
+    rows = occ(spark, [{"genus": f"g{k // 3}", "mid_ma": 5.0, "lat": 5.0 * (k % 9), "lng": 0.0} for k in range(60)])
+    found = network.locality_network_layout(rows, top=6).collect()
+    assert {r.locality for r in found} == {r.locality for r in network.locality_network_nodes(rows, top=6).collect()} and all(0 <= r.x <= 1 and 0 <= r.y <= 1 for r in found)
+    assert network.locality_network_layout(occ(spark, [])).collect() == []
+
+
+def test_stable_sample_takes_few_rows_of_each_partition(spark):
+    """Whether the threshold cuts or not, and where rows share a hash."""
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("occurrence_id"), (F.col("id") % 7).cast("string").alias("genus"))
+    noise = F.md5(F.concat_ws("/", F.lit("42"), "occurrence_id", "genus"))
+    for n in (0, 1, 40, 2400, 4999, 6000):
+        want = [tuple(r) for r in rows.orderBy(noise, "occurrence_id", "genus").limit(n).collect()]
+        assert sorted(map(tuple, ranges.stable_sample(rows.repartition(4), n).collect())) == sorted(want)
+    same = spark.range(3000).select(F.lit("x").alias("occurrence_id"), F.lit("y").alias("genus"), "id")
+    assert sorted(r.id for r in ranges.stable_sample(same, 10).collect()) == list(range(10))

@@ -109,7 +109,7 @@ def test_reports_and_analyses(spark, sf_dir, tmp_path):
     assert spark.read.parquet(str(tmp_path / "a" / "diversity_curve.parquet")).count() == len(rates)
     null = json.load(open(tmp_path / "r" / "null_data.json"))
     assert null is None or (len(null["null_distribution"]) == 100 and null["significant"] == (null["p_value"] < 0.05))
-    tables = {"advanced": ("locality_network", "locality_nodes", "sqs_diversity"), "sota": ("biogeographic_dynamics", "latitudinal_shift"), "ml": ("feature_importances", "model_metrics"), "check": ("quality", "eras")}
+    tables = {"advanced": ("locality_network", "locality_nodes", "locality_layout", "sqs_diversity"), "sota": ("biogeographic_dynamics", "latitudinal_shift"), "ml": ("feature_importances", "model_metrics"), "check": ("quality", "eras")}
     for kind, names in tables.items():
         assert cli.main(["analyze", "--type", kind, "--input", path, "--output", str(tmp_path / "a")], spark) == 0
         assert all(spark.read.parquet(str(tmp_path / "a" / f"{n}.parquet")).count() >= (kind != "sota") for n in names)
