@@ -6,8 +6,8 @@ places of documents in the shard's ids) and ``keys-N.bin`` (signed 64-bit keys).
 documents and tokens; prefix sums over it are the shards' bases, so a document's place in the whole corpus is its shard's base
 plus its own offset.
 
-Ranges come from quantiles of the key and, at a tie, the first bytes of the text, so that many rows without a key, or with the same one,
-do not meet in one task; their number follows the bytes of all texts.  One shuffle then brings texts into order and ids are
+Ranges are of the key and, at a tie, the first bytes of the text, so that many rows without a key, or with the same one, do not meet in one
+task; their number follows the bytes of the table.  One shuffle then brings texts into order and ids are
 written as they are made.  A task writes under names of its own and renames at the end, and the same input gives the
 same bytes, so a task may run again at any time.  Files are memory-mapped to be read; a shared folder that only a file-system
 library reaches is read and written through pyarrow's file systems.
@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from strata.llm.common import blocks, columns, key_ranges, range_index, shared_dir, text_buffer
+from strata.llm.common import blocks, columns, shared_dir, text_buffer
 from strata.llm.segments import library_encoder
 
 NULL_KEY = -(1 << 63)
@@ -45,12 +46,19 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
-def range_partitions(frame: DataFrame, key: str, text: str, parts: int | None = None) -> DataFrame:
-    """``frame`` in partitions of ascending ranges of an integer key, each sorted by key and then the text."""
-    ranges = key_ranges(frame, key, text, parts)
-    placed = frame.withColumn("_place", ranges.place)  # a column of its own, as each bound is compared with it
-    dealt = placed.withColumn("_part", range_index(F.col("_place"), ranges.bounds)).drop("_place").repartitionById(len(ranges.bounds) + 1, F.col("_part"))
-    return dealt.sortWithinPartitions(F.col(key).asc_nulls_first(), text).select(*frame.columns)
+def range_partitions(frame: DataFrame, key: str, text: str, parts: int | None = None, target: int = 1 << 29) -> DataFrame:
+    """``frame`` in partitions of ascending ranges of an integer key and, at a tie, the first bytes of the text; each sorted by key and then the text.
+
+    ``parts`` of them, or ``spark.sql.shuffle.partitions`` and at least one for each ``target`` bytes that the plan's statistics tell.
+    """
+    if not isinstance(frame.schema[key].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"{key} is no integer; number the rows first")
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = 0 if size >= 1 << 62 else size  # unknown
+    parts = parts or min(max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // target), 1 << 20)
+    head = F.substring(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"), 1, 7)
+    dealt = frame.withColumn("_head", head).repartitionByRange(parts, F.col(key).asc_nulls_first(), "_head").drop("_head")
+    return dealt.sortWithinPartitions(F.col(key).asc_nulls_first(), text)
 
 
 @functools.cache
