@@ -131,21 +131,31 @@ def _neotoma_source(occ: DataFrame) -> DataFrame:
     return normalize.normalize_neotoma(services.neotoma_rows(source.load()))
 
 
-def _stream_appearances(occ: DataFrame) -> DataFrame:
-    """The table as files that arrive in two runs of a stream, the second of which brings a third of the first one's rows again."""
+def _streamed(occ: DataFrame, write: Callable, read: Callable) -> DataFrame:
+    """The table as files that arrive in two runs of a stream, the second of which brings a third of the rows again."""
     spark = occ.sparkSession
     incoming, out, state = (shared_folder(spark, n) for n in ("incoming", "appearances", "state"))
     third = F.pmod(F.crc32("occurrence_id"), F.lit(3))
     for part in (occ.filter(third < 2), occ.filter(third > 0)):
         part.write.mode("append").parquet(incoming)
-        appearances.write_appearances(stream.occurrence_stream(spark, incoming), out, state, slots=1).awaitTermination()
-    return appearances.appearances(spark, out)
+        write(stream.occurrence_stream(spark, incoming), out, state).awaitTermination()
+    return read(spark, out)
+
+
+def _stream_appearances(occ: DataFrame) -> DataFrame:
+    return _streamed(occ, functools.partial(appearances.write_appearances, slots=1), appearances.appearances)
+
+
+def _stream_ranges(occ: DataFrame) -> DataFrame:
+    return _streamed(occ, appearances.write_ranges, appearances.ranges_so_far)
 
 
 _add("pbdb_source", _pbdb_source, "select * replace ((max_ma + min_ma) / 2 as mid_ma, 'PBDB' as source_db) from occ")
 _add("neotoma_source", _neotoma_source, ORACLE_SQL["normalized_neotoma"].removeprefix(f"with recursive {OCCURRENCES_SQL} "))
 _add("stream_appearances", _stream_appearances, DATED,
      "select genus, max(mid_ma) as first_appearance, min(mid_ma) as last_appearance, count(distinct (source_db, occurrence_id)) as occurrences, max(mid_ma)-min(mid_ma) as duration from dated group by genus")
+_add("stream_ranges", _stream_ranges, DATED,
+     "select genus, max(mid_ma) as first_appearance, min(mid_ma) as last_appearance, count(distinct (source_db, occurrence_id, mid_ma)) as occurrences, max(mid_ma)-min(mid_ma) as duration from dated group by genus")
 _add("unique_occurrences", lambda o: normalize.drop_repeats(normalize.conform(o)).select("source_db", "occurrence_id"), "select distinct source_db, occurrence_id from occ")
 _NOISE = "md5(concat_ws('/', '42', coalesce(occurrence_id, ''), coalesce(genus, '')))"
 _add("stable_sample", lambda o: ranges.stable_sample(o.dropna(subset=list(diversity.PLACED)), 20_000), "named as (select * from occ where mid_ma is not null and genus is not null and lat is not null and lng is not null)",

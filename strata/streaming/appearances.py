@@ -6,6 +6,10 @@ State is keyed by genus and ``slot``, a hash of the identifier, so that a genus
 identifiers seen (a map, one small entry each) and its range and count.  A batch gives the keys it changed; ``appearances`` joins
 a genus's slots, in one aggregation over the latest rows.
 
+``write_ranges`` is for volume: identifiers are remembered by the engine's own deduplication, spread over all tasks by identifier, and a batch adds
+ranges and counts of its new rows by genus, which ``ranges_so_far`` joins.  No Python runs for each row.  There a row that comes again with another
+age is another row.
+
 Rows without age or genus don't count; rows without identifier count each time.  Needs the RocksDB state store, whose state may be larger than
 memory and of which a checkpoint writes changes only.
 """
@@ -79,3 +83,27 @@ def compact(spark: SparkSession, out: str, to: str) -> None:
     held = spark.read.schema(f"{OUT}, batch int").option("basePath", out).parquet(out)
     latest = held.groupBy("genus", "slot").agg(F.max("first_appearance").alias("first_appearance"), F.min("last_appearance").alias("last_appearance"), F.max("occurrences").alias("occurrences"), F.max("batch").alias("batch"))
     latest.write.partitionBy("batch").parquet(to)
+
+
+RANGES = "genus string, first_appearance double, last_appearance double, occurrences long"
+
+
+def write_ranges(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Adds ranges and counts of each batch's new rows by genus to ``out``, under the batch's number."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    rows = stream.dropna(subset=["mid_ma", "genus"]).select("source_db", "occurrence_id", "genus", "mid_ma")
+    named = rows.filter("occurrence_id is not null").dropDuplicates()
+    each = named.unionByName(rows.filter("occurrence_id is null"))
+
+    def put(batch: DataFrame, number: int) -> None:
+        spans = batch.groupBy("genus").agg(F.max("mid_ma").alias("first_appearance"), F.min("mid_ma").alias("last_appearance"), F.count("*").alias("occurrences"))
+        spans.write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
+
+    return each.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
+
+
+def ranges_so_far(spark: SparkSession, out: str) -> DataFrame:
+    """(genus, first_appearance, last_appearance, occurrences, duration) of all that ``write_ranges`` added."""
+    held = spark.read.schema(f"{RANGES}, batch int").option("basePath", out).parquet(out)
+    spans = held.groupBy("genus").agg(F.max("first_appearance").alias("first_appearance"), F.min("last_appearance").alias("last_appearance"), F.sum("occurrences").alias("occurrences"))
+    return spans.withColumn("duration", F.col("first_appearance") - F.col("last_appearance"))

@@ -132,5 +132,20 @@ def test_appearances_in_any_order(spark, tmp_path):
     assert sorted(os.listdir(out))[-1] == "batch=000000003", "nothing new, nothing written"
 
 
+def test_ranges_by_deduplication(spark, tmp_path):
+    """The same files in another order, with a restart between any two; a batch that runs again replaces itself."""
+    rows = [occurrence(k, f"G{k % 7}", float(k * 37 % 500)) for k in range(300)] + [occurrence(k, "Hot", 10.0 + k % 3) for k in range(1000, 1200)]
+    nameless = [(None, *occurrence(0, "Hot", 400.0)[1:])] * 3
+    parts = [[occurrence(0, "Late", 1.0)], rows[100:420] + nameless, rows[:120] + rows[250:] + [occurrence(1, None, 5.0), occurrence(2, "G1", None)]]
+    incoming, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(incoming)
+        appearances.write_ranges(occurrence_stream(spark, incoming), out, state).awaitTermination()
+    want = genus_ranges(spark.createDataFrame(rows + nameless + parts[0], SCHEMA))
+    columns = ["genus", "first_appearance", "last_appearance", "occurrences", "duration"]
+    assert sorted(map(tuple, appearances.ranges_so_far(spark, out).select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert sorted(os.listdir(out)) == [f"batch={k:09d}" for k in range(3)]
+
+
 def test_registered(spark, sf_dir):
     assert QUERIES["pbdb_source"](spark, sf_dir).filter(F.col("genus").isNull()).count() > 0
