@@ -1,7 +1,7 @@
 """Connected components of a graph given as an edge table, by alternating large and small stars.
 
 Each round turns every node's links towards the least node in reach; only edges move, in joins and aggregations that combine
-before the shuffle.  A hub's links are dealt into ``SALTS`` parts, each of which gets the hub's least neighbour (``with_ends``), so they don't
+before the shuffle.  A hub's links are dealt into ``SALTS`` parts, each of which gets the hub's least neighbour (``with_least``), so they don't
 meet in one task, and nothing is broadcast.  Rounds end when the edges no longer change; they are then stars around each
 component's least node.
 """
@@ -16,19 +16,17 @@ from strata.llm.common import discard, materialise
 SALTS = 1024
 
 
-def with_ends(rows: DataFrame, key: str, value: str, some: str | None = None) -> DataFrame:
-    """``rows`` with ``lo`` and ``hi``, the least and the greatest value of their key.  ``some``: a condition on ``lo`` and ``hi``; the rows of
-    other keys go.  However many rows a key has, a task gets about a ``SALTS``-th of them as one lot."""
+def with_least(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``rows`` with ``lo``, the least value of their key.  However many rows a key has, a task gets about a ``SALTS``-th of them as one lot."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
-    parts = salted.groupBy(key, "_salt").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    ends = parts.groupBy(key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    each = parts.select(key, "_salt").join(ends.filter(some) if some else ends, key)
+    parts = salted.groupBy(key, "_salt").agg(F.min(value).alias("lo"))
+    each = parts.select(key, "_salt").join(parts.groupBy(key).agg(F.min("lo").alias("lo")), key)
     return salted.join(each, [key, "_salt"]).drop("_salt")
 
 
 def _towards_least(links: DataFrame) -> DataFrame:
     """links: (u, v).  With m the least of u and its v: all (v, m) and (u, m), without loops."""
-    moved = with_ends(links, "u", "v").select(F.col("v"), F.least("u", "lo").alias("m"), "u")
+    moved = with_least(links, "u", "v").select(F.col("v"), F.least("u", "lo").alias("m"), "u")
     both = moved.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
     return both.select("e.u", "e.v").filter("u != v").distinct()
 
@@ -36,7 +34,7 @@ def _towards_least(links: DataFrame) -> DataFrame:
 def _round(edges: DataFrame) -> DataFrame:
     """edges: (u, v) with u > v, distinct."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = with_ends(both, "u", "v").filter("v > u").select(F.col("v").alias("u"), F.least("u", "lo").alias("v")).distinct()
+    large = with_least(both, "u", "v").filter("v > u").select(F.col("v").alias("u"), F.least("u", "lo").alias("v")).distinct()
     return _towards_least(large)
 
 

@@ -2,7 +2,7 @@
 
 Candidates share a bucket.  A text's buckets are its SimHash group (fingerprints of its shingles at most 3 of 64 bits apart, through
 vantage-point trees) and ``bands`` hashes of ``rows`` minwise values each over its shingle set; texts of similarity s share one of the
-latter with probability 1 - (1 - s^rows)^bands: 0.997 at 0.8, 0.12 at 0.5 and 0.002 at 0.3, whatever kind of edit parts them.  Buckets that
+latter with probability 1 - (1 - s^rows)^bands: 0.997 at 0.8, 0.17 at 0.5 and 0.005 at 0.3, whatever kind of edit parts them.  Buckets that
 share texts are one cluster.  Inside a cluster similarity is counted exactly, on 64-bit hashes of all shingles; no estimate decides, equal
 fingerprints neither.  Only texts of clusters with two texts or more have their shingles carried.  A cluster above ``block`` texts, or
 above ``block_bytes`` of text, is dealt into blocks.  First each block is linked within itself and with a few anchors, which are in every block;
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import blocks, columns, discard, materialise, raws, spread_join, text_buffer
-from strata.llm.components import connected_components, with_ends
+from strata.llm.components import connected_components
 from strata.llm.simhash import links, shingle_hashes
 
 ANCHORS = 8
@@ -114,17 +114,17 @@ def candidates(docs: DataFrame, bands: int, rows: int, shingle_words: int, seed:
     return held, buckets
 
 
-def components(docs: DataFrame, least: float, bands: int = 32, rows: int = 8, shingle_words: int = 5, seed: int = 42, block: int = 256, block_bytes: int = 64 << 20, text: str = "text", key: str = "doc_id") -> DataFrame:
+def components(docs: DataFrame, least: float, bands: int = 24, rows: int = 7, shingle_words: int = 5, seed: int = 42, block: int = 256, block_bytes: int = 64 << 20, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(mark binary, key, root binary): a row for each distinct text with its least key; ``root`` is shared by a component of links."""
     nodes, buckets = candidates(docs, bands, rows, shingle_words, seed, text, key)
-    stars = with_ends(buckets, "bucket", "mark", "lo < hi").select("mark", F.col("lo").alias("other"))
-    near = connected_components(stars, "mark", "other")
+    shared = materialise(buckets.groupBy("bucket").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("bucket", "lo", "n"), "shared")
+    near = connected_components(spread_join(buckets, shared, "bucket", "n", buckets.count()), "mark", "lo")
     clustered = materialise(nodes.select("mark", "size").join(near.withColumnRenamed("node", "mark"), "mark").select("mark", "size", F.col("root").alias("cluster")), "clustered")
     parts = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / block_bytes)).cast("int")
     sizes = materialise(clustered.groupBy("cluster").agg(F.count("*").alias("n"), parts.alias("parts")), "sizes")
     total = clustered.count()
     members = materialise(spread_join(clustered.drop("size"), sizes, "cluster", "n", total).select("mark", "cluster", "parts"), "members")
-    discard(buckets, near, clustered, sizes)
+    discard(buckets, shared, near, clustered, sizes)
     held = materialise(members.join(_shingle_sets(docs, members, shingle_words, seed, text), "mark"), "sets")
 
     def decide(payloads: list[bytes], home: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
