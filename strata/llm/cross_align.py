@@ -30,7 +30,7 @@ from strata.llm.byte_bpe import ByteDecoder
 from strata.llm.common import blocks, columns, discard, materialise, spread_join, text_buffer
 from strata.llm.segments import _LETTER, _SPACE, SegmentEncoder, _lut, cuts_are_proven
 
-HEAD, SHORT = 300_000, 48
+HEAD, SHORT = 220_000, 48
 #: Units that a task interns before it starts anew.
 HELD = 150_000
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
