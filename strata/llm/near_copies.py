@@ -86,8 +86,8 @@ def set_links(sets: list[np.ndarray], home: np.ndarray, label: np.ndarray, least
     return out
 
 
-def candidates(docs: DataFrame, bands: int, rows: int, shingle_words: int, seed: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """((mark, key, size) of each distinct text, (mark, bucket) rows)."""
+def candidates(docs: DataFrame, bands: int, rows: int, shingle_words: int, seed: int, text: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((mark, key, size) of each distinct text, (mark, bucket) rows, (mark, lo) pairs of texts whose fingerprints are linked)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def mark(batches):
@@ -105,20 +105,22 @@ def candidates(docs: DataFrame, bands: int, rows: int, shingle_words: int, seed:
     marked = docs.select(key, text).mapInArrow(mark, f"`{key}` {kind}, mark binary, fp long, size long, bands array<long>")
     held = materialise(marked.groupBy("mark").agg(F.min(key).alias(key), F.min("fp").alias("fp"), F.max("size").alias("size"), F.min("bands").alias("bands")), "texts")
     distinct = materialise(held.select("fp").distinct(), "distinct")
-    near = connected_components(links(distinct, distinct.count(), 3))
-    group = F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp"))
-    grouped = held.select("mark", "fp").join(near.withColumnRenamed("node", "fp"), "fp", "left").select("mark", group.alias("bucket"))
+    reps = held.groupBy("fp").agg(F.min("mark").alias("rep"))
+    named = lambda side: reps.select(F.col("fp").alias(side), F.col("rep").alias(f"{side}_rep"))
+    pairs = links(distinct, distinct.count(), 3).join(named("a"), "a").join(named("b"), "b").select(F.col("a_rep").alias("mark"), F.col("b_rep").alias("lo"))
+    grouped = held.select("mark", F.xxhash64(F.lit("fingerprint"), "fp").alias("bucket"))
     banded = held.select("mark", F.explode("bands").alias("bucket"))
     buckets = materialise(grouped.unionByName(banded), "buckets")
-    discard(distinct, near)
-    return held, buckets
+    discard(distinct)
+    return held, buckets, pairs
 
 
 def components(docs: DataFrame, least: float, bands: int = 24, rows: int = 7, shingle_words: int = 5, seed: int = 42, block: int = 256, block_bytes: int = 64 << 20, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(mark binary, key, root binary): a row for each distinct text with its least key; ``root`` is shared by a component of links."""
-    nodes, buckets = candidates(docs, bands, rows, shingle_words, seed, text, key)
+    nodes, buckets, pairs = candidates(docs, bands, rows, shingle_words, seed, text, key)
     shared = materialise(buckets.groupBy("bucket").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("bucket", "lo", "n"), "shared")
-    near = connected_components(spread_join(buckets, shared, "bucket", "n", buckets.count()), "mark", "lo")
+    stars = spread_join(buckets, shared, "bucket", "n", buckets.count()).select("mark", "lo")
+    near = connected_components(stars.unionByName(pairs), "mark", "lo")
     clustered = materialise(nodes.select("mark", "size").join(near.withColumnRenamed("node", "mark"), "mark").select("mark", "size", F.col("root").alias("cluster")), "clustered")
     parts = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / block_bytes)).cast("int")
     sizes = materialise(clustered.groupBy("cluster").agg(F.count("*").alias("n"), parts.alias("parts")), "sizes")
