@@ -143,9 +143,10 @@ def unwrap(media: bytes) -> dict:
     if [struct.pack("<I", zlib.crc32(p)) for p in body] != checks.packets[1:]:
         raise ValueError("a packet differs from its checksum")
     payload = b"".join(body)
-    times = [g / rate for g in samples.granules[1:] if g >= 0]
-    if not times or times[-1] * rate != len(payload):
+    ends = [g for g in samples.granules[1:] if g >= 0]
+    if not ends or ends[-1] != len(payload):  # in samples: seconds times the rate can differ by rounding
         raise ValueError("granule positions do not fit the samples")
+    times = [g / rate for g in ends]
     total = int(np.frombuffer(payload, np.uint8).sum(dtype=np.int64))
     return {"n_bytes": n_bytes, "payload": payload, "rate": rate, "times": times, "pages": samples.pages + checks.pages,
             "packets": len(samples.packets) + len(checks.packets), "mean": total / len(payload)}

@@ -32,6 +32,16 @@ def test_round_trip(size):
     assert (found["payload"], found["n_bytes"]) == (payload, size) and found["times"][-1] == len(payload) / ogg.RATE
 
 
+def test_lengths_whose_seconds_round(make):
+    """64,064 samples over the rate, times the rate, are not 64,064."""
+    sizes = [n for n in range(64, 600_000, 64) if n / ogg.RATE * ogg.RATE != n]
+    assert len(sizes) > 100 and sizes[0] == 64_064
+    for n in (*sizes[:20], *sizes[-20:]):
+        assert len(ogg.unwrap(ogg.wrap(b"a" * n, n))["payload"]) == n
+    texts = [(k, "a" * n) for k, n in enumerate(sizes[:3])]
+    assert [r.payload_bytes for r in ogg.describe(ogg.store(make(texts)), strict=True).orderBy("doc_id").collect()] == sizes[:3]
+
+
 @pytest.mark.parametrize("size", [0, 255, 510, 65_024, 65_025, 65_026, 200_000])
 def test_packets_over_pages(size):
     packets = [(b"a" * size, 5), (b"", 6), (b"xyz", 9)]
