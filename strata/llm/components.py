@@ -4,16 +4,72 @@ Each round turns every node's links towards the least node in reach; only edges
 before the shuffle.  A hub's links are dealt into ``SALTS`` parts, each of which gets the hub's least neighbour (``with_least``), so they don't
 meet in one task, and nothing is broadcast.  Rounds end when the edges no longer change; they are then stars around each
 component's least node.
+
+Before the rounds each task joins its own edges, ``LOT`` at a time (``stars``), once where they are and once more after the shuffle.  What is
+left is shallow, so few rounds follow; every round is a dozen jobs, whose plans and stages stay in the driver's memory.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import discard, materialise
+from strata.llm.common import discard, gathered, materialise
 
 SALTS = 1024
+#: Edges that a task joins at once, some 200 bytes each.
+LOT = 1 << 18
+
+
+class Forest:
+    """Union-find over 0..n-1, for many links at a time."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        p = self.parent[x]
+        while not np.array_equal(p, q := self.parent[p]):
+            p = q
+        return p
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            a, b = self.roots(a), self.roots(b)
+            apart = a != b
+            a, b = np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+            np.minimum.at(self.parent, a, b)
+
+
+def stars(links: DataFrame, lot: int = LOT) -> DataFrame:
+    """links: (u, v).  Edges (u, v), u > v, with the same components: of each ``lot`` of a partition's links, stars around the least node in reach.
+
+    Nodes are compared as Spark does (bytes unsigned, numbers signed); links of other types stay as they are.
+    """
+    kind = links.schema["u"].dataType.simpleString()
+    if not re.fullmatch("binary|string|bigint|int|smallint|tinyint", kind):
+        return links
+
+    def run(batches):
+        for batch in gathered(batches, lot):
+            coded = pa.concat_arrays([batch.column(0), batch.column(1)]).dictionary_encode()
+            order = pc.sort_indices(coded.dictionary).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            u, v = rank[coded.indices.to_numpy()].reshape(2, -1)
+            forest = Forest(len(order))
+            forest.link(u, v)
+            root = forest.roots(np.arange(len(order)))
+            moved = np.flatnonzero(root != np.arange(len(order)))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(order[x])) for x in (moved, root[moved])], ["u", "v"])
+        pa.default_memory_pool().release_unused()
+
+    return links.select("u", "v").mapInArrow(run, f"u {kind}, v {kind}")
 
 
 def with_least(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -43,8 +99,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Loops and repeated edges change nothing; an edge with a null end links nothing; no edges give no rows.
     """
-    now = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNotNull().alias("x"), F.col(b).isNotNull().alias("y"))
-                      .filter("x and y and u != v").select("u", "v").distinct(), "edges")
+    given = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNotNull().alias("x"), F.col(b).isNotNull().alias("y")).filter("x and y and u != v")
+    now = materialise(stars(stars(given.select("u", "v")).distinct()), "edges")
     state = None
     while True:
         held = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -30,8 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import columns, discard, key_ranges, materialise, range_index, spread_join
-from strata.llm.components import connected_components
-from strata.llm.near_copies import cluster_links
+from strata.llm.near_copies import cluster_components
 
 PERIOD, CLASSES, DENSE, NONE = 8192, 256, 32, 16
 #: Output places up to which sample counts are tabulated; beyond, they are searched for.
@@ -234,7 +233,7 @@ def near_groups(docs: DataFrame, least: float = 0.5, width: int = 8, text: str =
     total = dealt.count()
     members = spread_join(dealt, sizes, "cluster", "n", total).select("mark", "cluster", F.ceil(F.col("n") / block).cast("int").alias("parts"))
     held = materialise(members.join(distinct.select("mark", F.col("fingerprint").cast("binary").alias("set")), "mark"), "held")
-    found = connected_components(cluster_links(held, lambda sets, home, label: digit_links([bytes(x) for x in sets], home, label, least, seed), total, block))
+    found = cluster_components(held, lambda sets, home, label: digit_links([bytes(x) for x in sets], home, label, least, seed), total, block)
     rooted = distinct.join(found.withColumnRenamed("node", "mark"), "mark", "left").select("fingerprint", "rep", F.coalesce("root", "mark").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fingerprint", "component_id")
     out = materialise(marked.join(named, "fingerprint").select(F.col("key").alias(key), "component_id"), "groups")

@@ -132,14 +132,14 @@ def components(docs: DataFrame, least: float, bands: int = 24, rows: int = 7, sh
     def decide(payloads: list[bytes], home: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
         return set_links([np.frombuffer(x, np.uint64) for x in payloads], home, label, least)
 
-    found = connected_components(cluster_links(held, decide, total, block))
+    found = cluster_components(held, decide, total, block)
     out = materialise(nodes.join(found.withColumnRenamed("node", "mark"), "mark", "left").select("mark", key, F.coalesce("root", "mark").alias("root")), "near")
     discard(nodes, members, held, found)
     return out
 
 
-def cluster_links(held: DataFrame, decide, total: int, block: int) -> DataFrame:
-    """(a, b): edges whose components are those of all links between items of one cluster.
+def cluster_components(held: DataFrame, decide, total: int, block: int) -> DataFrame:
+    """(node, root) of the components of all links between items of one cluster, as ``connected_components`` gives them.
 
     ``held``: (mark binary, cluster, parts, set binary), a written table, where ``parts`` is the number of blocks of the cluster's items.  An item
     may be in several clusters.  ``decide(sets, home, label)`` gives links between a home item and any other of those that have different
@@ -157,23 +157,30 @@ def cluster_links(held: DataFrame, decide, total: int, block: int) -> DataFrame:
 
     place = lambda parts: F.pmod(F.xxhash64("mark"), parts).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    own = held.withColumns({"i": place(F.col("parts")), "home": F.lit(True), "label": F.col("mark"), "j": F.lit(0)})
     large = held.filter("parts > 1").select("mark", "cluster", "parts")
+    if large.isEmpty():  # every cluster is one block, and its links are all known after that
+        edges = linked(own)
+        near = connected_components(edges)
+        discard(edges)
+        return near
     some = large.groupBy("cluster").agg(F.array_distinct(F.array(*(F.min_by("mark", F.xxhash64("mark", F.lit(s))) for s in range(ANCHORS)))).alias("marks"))
     anchors = held.join(some.select("cluster", F.explode("marks").alias("mark")), ["mark", "cluster"])
-    alone = {"home": F.lit(True), "label": F.col("mark"), "j": F.lit(0)}
-    edges = linked(held.withColumns({"i": place(F.col("parts")), **alone}).unionByName(anchors.withColumns({"i": each("parts"), **alone})))
+    edges = linked(own.unionByName(anchors.withColumns({"i": each("parts"), "home": F.lit(True), "label": F.col("mark"), "j": F.lit(0)})))
 
     near = connected_components(edges)
     labelled = materialise(large.join(near.withColumnRenamed("node", "mark"), "mark", "left").select("mark", "cluster", F.coalesce("root", "mark").alias("label")), "labels")
     most = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
     outside = materialise(spread_join(labelled, most, "cluster", "n", total).filter("label != most").select("mark", "cluster"), "outside")
-    count = outside.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("rest"))
     if not outside.isEmpty():
+        count = outside.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("rest"))
         whole = held.join(labelled, ["mark", "cluster"]).join(count, "cluster")
         lone = whole.join(outside, ["mark", "cluster"], "left_semi").withColumns({"i": place(F.col("rest")), "j": each("parts"), "home": F.lit(True)})
-        edges = edges.unionByName(linked(lone.unionByName(whole.withColumns({"i": each("rest"), "j": place(F.col("parts")), "home": F.lit(False)}))))
-    discard(near, labelled, outside)
-    return edges
+        more = linked(lone.unionByName(whole.withColumns({"i": each("rest"), "j": place(F.col("parts")), "home": F.lit(False)})))
+        first, near = near, connected_components(more.unionByName(near.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        discard(first, more)
+    discard(edges, labelled, outside)
+    return near
 
 
 def _shingle_sets(docs: DataFrame, members: DataFrame, words: int, seed: int, text: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import columns, discard, gathered, materialise, raws, spread_join
-from strata.llm.components import connected_components
+from strata.llm.components import Forest, connected_components
 
 #: Fingerprints in the sample for each shard of the upper trees.
 SAMPLED = 8
@@ -173,26 +173,6 @@ def route(tree: Tree, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate(shard), np.concatenate(index), np.concatenate(homes)
 
 
-class Forest:
-    """Union-find over 0..n-1, for many links at a time."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def roots(self, x: np.ndarray) -> np.ndarray:
-        p = self.parent[x]
-        while not np.array_equal(p, q := self.parent[p]):
-            p = q
-        return p
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            a, b = self.roots(a), self.roots(b)
-            apart = a != b
-            a, b = np.maximum(a, b)[apart], np.minimum(a, b)[apart]
-            self.parent[a] = b
-
-
 def shard_links(points: np.ndarray, home: np.ndarray, key: int, bits: int = 3, leaf: int = 384) -> np.ndarray:
     """Root of each point in the graph of all links between a home point and any other point that differ by at most 1 bit in
     ``key`` and ``bits`` bits in all."""

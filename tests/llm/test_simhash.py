@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from strata.llm import simhash
-from strata.llm.components import connected_components
+from strata.llm.components import connected_components, stars
 
 
 def slow_fingerprint(text):
@@ -160,3 +160,21 @@ def test_components(spark):
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {x: root(x) for x in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "binary", "string"])
+@pytest.mark.parametrize("lot", [1, 7, 1000])
+def test_stars_keep_components(spark, kind, lot):
+    """Stars of lots of edges: the least node stays in the middle, and no component grows or falls apart."""
+    rng = np.random.default_rng(lot)
+    name = {"long": lambda k: k - 60, "binary": lambda k: bytes([(k * 7) % 256, k]), "string": lambda k: chr(0x40 + k * 3)}[kind]
+    links = [*rng.integers(0, 120, (90, 2)).tolist(), *([k, k + 1] for k in range(200, 215)), *([230, k] for k in range(216, 245))]
+    frame = spark.createDataFrame([(name(max(x)), name(min(x))) for x in links], f"u {kind}, v {kind}").repartition(3)
+    found = [(r.u, r.v) for r in stars(frame, lot).collect()]
+    found = [(bytes(u), bytes(v)) for u, v in found] if kind == "binary" else found
+    number = {name(k): k for k in range(256)}
+    whole, made = simhash.Forest(256), simhash.Forest(256)
+    whole.link(*np.array(links).T)
+    made.link(*np.array([(number[u], number[v]) for u, v in found]).T)
+    every = np.arange(256)
+    assert np.array_equal(whole.roots(every), made.roots(every)) and all(u > v for u, v in found) and len(found) <= len(links)
