@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import os
 import re
@@ -83,6 +84,27 @@ def raws(column: pa.Array) -> list[bytes]:
     return [data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system: Arrow's pool and, where the C library can, its heap.
+
+    Python workers live on between tasks and stages; what they keep counts against an executor's memory.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def leaving_none(run):
+    """``run`` (batches to batches), after which nothing that it freed stays with the worker."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Batches joined to ``rows`` rows or somewhat more."""
     held, n = [], 0

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import discard, gathered, materialise
+from strata.llm.common import discard, gathered, leaving_none, materialise
 
 SALTS = 1024
 #: Edges that a task joins at once, some 200 bytes each.
@@ -67,9 +67,8 @@ def stars(links: DataFrame, lot: int = LOT) -> DataFrame:
             root = forest.roots(np.arange(len(order)))
             moved = np.flatnonzero(root != np.arange(len(order)))
             yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(order[x])) for x in (moved, root[moved])], ["u", "v"])
-        pa.default_memory_pool().release_unused()
 
-    return links.select("u", "v").mapInArrow(run, f"u {kind}, v {kind}")
+    return links.select("u", "v").mapInArrow(leaving_none(run), f"u {kind}, v {kind}")
 
 
 def with_least(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import columns, text_buffer
+from strata.llm.common import columns, give_back, leaving_none, text_buffer
 
 BITS = 18
 FOLDS = 3
@@ -219,7 +219,7 @@ def indicator_rows(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *columns(batch, *keep)], ["places", *keep])
 
     kinds = dict(docs.dtypes)
-    return docs.select(text, *keep).mapInArrow(run, ", ".join(["places binary", *(f"`{k}` {kinds[k]}" for k in keep)]))
+    return docs.select(text, *keep).mapInArrow(leaving_none(run), ", ".join(["places binary", *(f"`{k}` {kinds[k]}" for k in keep)]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 8_000, text: str = "text", key: str = "doc_id") -> Model:
@@ -234,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
         held.sort(key=lambda r: r[:2])
         yield pa.RecordBatch.from_arrays([pa.array([fit([r for *_, r in held], np.array([y for _, y, _ in held], int)).packed()], pa.binary())], ["model"])
 
-    found = rows.mapInArrow(run, "model binary").first()
+    found = rows.mapInArrow(leaving_none(run), "model binary").first()
     return Model.unpacked(bytes(found.model)) if found else fit([], np.zeros(0, int))
 
 
@@ -247,7 +247,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "te
         own, find = Model(*held.value), Indicators()
         data, offsets = text_buffer(pa.Array.from_pandas(texts, type=pa.large_string()))
         margins = [own.margin(find(data[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        return texts.__class__(own.score(np.array(margins)))
+        out = texts.__class__(own.score(np.array(margins)))
+        del data, offsets
+        give_back()
+        return out
 
     return docs.withColumn("score", scored(F.coalesce(text, F.lit("")))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import blocks, columns, discard, materialise, raws, spread_join, text_buffer
+from strata.llm.common import blocks, columns, discard, leaving_none, materialise, raws, spread_join, text_buffer
 from strata.llm.components import connected_components
 from strata.llm.simhash import links, shingle_hashes
 
@@ -100,9 +100,8 @@ def candidates(docs: DataFrame, bands: int, rows: int, shingle_words: int, seed:
                 keys = [band_hashes(s, shuffles, rows) if len(s) else [] for s in sets]
                 yield pa.RecordBatch.from_arrays([names.slice(a, b - a), pa.array(list(map(text_mark, found)), pa.binary()), pa.array([set_fingerprint(s) if len(s) else 0 for s in sets], pa.int64()),
                                                   pa.array(list(map(len, found)), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], [key, "mark", "fp", "size", "bands"])
-        pa.default_memory_pool().release_unused()
 
-    marked = docs.select(key, text).mapInArrow(mark, f"`{key}` {kind}, mark binary, fp long, size long, bands array<long>")
+    marked = docs.select(key, text).mapInArrow(leaving_none(mark), f"`{key}` {kind}, mark binary, fp long, size long, bands array<long>")
     held = materialise(marked.groupBy("mark").agg(F.min(key).alias(key), F.min("fp").alias("fp"), F.max("size").alias("size"), F.min("bands").alias("bands")), "texts")
     distinct = materialise(held.select("fp").distinct(), "distinct")
     reps = held.groupBy("fp").agg(F.min("mark").alias("rep"))
@@ -205,6 +204,5 @@ def _shingle_sets(docs: DataFrame, members: DataFrame, words: int, seed: int, te
                 yield pa.RecordBatch.from_arrays([pa.array([marks[k] for k in part], pa.binary()), pa.array([shingle_set(found[k], words, seed).tobytes() for k in part], pa.binary())], ["mark", "set"])
                 if len(given) > 100_000:
                     given.clear()
-        pa.default_memory_pool().release_unused()
 
-    return docs.select(text).mapInArrow(run, "mark binary, set binary").groupBy("mark").agg(F.min("set").alias("set"))
+    return docs.select(text).mapInArrow(leaving_none(run), "mark binary, set binary").groupBy("mark").agg(F.min("set").alias("set"))

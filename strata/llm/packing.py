@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import blocks, columns, materialise, text_buffer
+from strata.llm.common import blocks, columns, give_back, leaving_none, materialise, text_buffer
 from strata.llm.segments import library_encoder
 
 
@@ -149,9 +149,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, text: st
                 if keep:
                     out[keep] = pa.ListArray.from_arrays(pa.array(np.append(begin, at[-1]), pa.int32()), pa.array(full.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
+                give_back()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + (f", {keep} array<int>" if keep else ""))
+    return docs.select(key, text).mapInArrow(leaving_none(run), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + (f", {keep} array<int>" if keep else ""))
 
 
 def place(items: DataFrame, limits: Limits = Limits(), rules: tuple[Rule, ...] = RULES, length: str = "length", salt: str | None = None, bucket_rows: int = 1_000_000) -> DataFrame:
@@ -167,7 +168,10 @@ def place(items: DataFrame, limits: Limits = Limits(), rules: tuple[Rule, ...] =
     for n, *run in runs:
         by_length[n].append(tuple(run))
     # a row for each length; a plan has at most limits.tokens ** 2 runs, whatever the number of items
-    table = spark.createDataFrame(list(by_length.items()), "_length long, _runs array<struct<lo:long,number:long,bin:long,at:long>>")
+    kind = pa.list_(pa.struct([(name, pa.int64()) for name in ("lo", "number", "bin", "at")]))
+    runs_of = [[dict(zip(("lo", "number", "bin", "at"), run)) for run in some] for some in by_length.values()]
+    # from Arrow, as a list would start Python workers that only pass it on
+    table = spark.createDataFrame(pa.table({"_length": pa.array(list(by_length), pa.int64()), "_runs": pa.array(runs_of, kind)}))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(histogram.values()) // bucket_rows)
     row = F.struct(*(c for c in items.columns if c != salt))
     marked = items.select(row.alias("_row"), F.col(length).cast("long").alias("_length"), F.pmod(F.xxhash64(*items.columns), F.lit(buckets)).alias("_bucket"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import columns
+from strata.llm.common import columns, give_back
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "address")
@@ -185,6 +185,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("string")
     def masked(texts):
-        return texts.map(mask, na_action="ignore")
+        out = texts.map(mask, na_action="ignore")
+        give_back()
+        return out
 
     return docs.withColumn(text, masked(F.col(text)))

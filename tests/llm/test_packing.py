@@ -123,3 +123,46 @@ def test_alike_rows_and_clashing_names(spark):
 def test_pieces_keep_ids(make):
     found = packing.pieces(make([(1, "a b c"), (2, None)]), PATH, 2, 3, keep="ids").collect()
     assert {(r.doc_id, r.piece): list(r.ids) for r in found}[2, 0] == [2] and all(len(r.ids) == r.length for r in found)
+
+
+WORKER = """
+import random, re
+import pyarrow as pa
+import public_tokenizers
+from strata.llm import packing
+
+
+class Frame:
+    schema = {"doc_id": type("", (), {"dataType": type("", (), {"simpleString": lambda self: "bigint"})()})}
+    select = lambda self, *names: self
+    mapInArrow = lambda self, run, kind: run
+
+
+def held():
+    return int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+
+
+def batches():
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(100_000)]
+    for k in range(3):
+        yield pa.RecordBatch.from_pydict({"doc_id": range(8000), "text": [" ".join(rng.choices(words, k=500)) for _ in range(8000)]})
+
+
+run = packing.pieces(Frame(), public_tokenizers.path("byte_bpe_50k.json"), 2, 1024)
+for x in run(batches()):
+    pass
+del x
+print(held())
+"""
+
+
+def test_workers_keep_little(tmp_path):
+    """A worker lives on after its task; what it holds then is the tokenizer and its table, not what the task has freed."""
+    import os
+    import subprocess
+    import sys
+
+    (tmp_path / "worker.py").write_text(WORKER)
+    done = subprocess.run([sys.executable, "worker.py"], cwd=tmp_path, env=os.environ, capture_output=True, text=True, timeout=300)
+    assert int(done.stdout) < 180, done.stdout + done.stderr[-2000:]
