@@ -172,15 +172,42 @@ def neotoma_rows(records: DataFrame) -> DataFrame:
     return records.select(F.try_parse_json("record").alias("row"))
 
 
+def first_record(read: Callable[[int], bytes], chunk: int) -> tuple[bytes, bytes]:
+    """The first record of a CSV file with its line end, which a quoted field may hold too, and what was read after it."""
+    raw, at = read(chunk), -1
+    while raw:
+        at = raw.find(b"\n", at + 1)
+        if at >= 0 and raw.count(b'"', 0, at) % 2 == 0:
+            return raw[: at + 1], raw[at + 1 :]
+        if at < 0:
+            at = len(raw) - 1
+            more = read(chunk)
+            if not more:
+                break
+            raw += more
+    return raw, b""
+
+
 def recorded(url: str, query: dict[str, str], options: dict[str, str], chunk: int = 1 << 16) -> Iterator[bytes]:
     """A transport that answers from the folder ``recorded``: PBDB's parts are the files below ``interval=<name>``, Neotoma's pages those below
-    ``offset=<number>``, one after the other by name, each with its header."""
+    ``offset=<number>``, one after the other by name.  Each of PBDB's files has its header, which an answer gives once; another header
+    than the first file's raises ValueError."""
     from pyarrow import fs
 
     system, root = fs.FileSystem.from_uri(options["recorded"])
     part = f"interval={query['interval']}" if "interval" in query else f"offset={query['offset']}"
     found = sorted(f.path for f in system.get_file_info(fs.FileSelector(f"{root}/{part}", allow_not_found=True)) if f.is_file and not f.base_name.startswith(("_", ".")))
+    header, last = b"", b"\n"
     for path in found:
         with system.open_input_stream(path) as f:
+            if "interval" in query:
+                head, rest = first_record(f.read, chunk)
+                if header and head and head.rstrip(b"\r\n") != header.rstrip(b"\r\n"):
+                    raise ValueError(f"{path} has another header than the files before it")
+                start = rest if header else head + rest
+                header = header or head
+                yield start if last.endswith(b"\n") else b"\n" + start  # a file may end without a line end
+                last = start or last
             while raw := f.read(chunk):
                 yield raw
+                last = raw

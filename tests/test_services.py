@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import os
 from urllib import error
@@ -10,9 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.operators.ranges import genus_ranges
+from strata.plans import registry
 from strata.plans.registry import QUERIES
 from strata.sources import acquire, normalize, services
 from strata.sources.schema import SCHEMA
+from strata.sources.tables import occurrences
 from strata.streaming import appearances
 from strata.streaming.occurrences import occurrence_stream
 
@@ -95,6 +98,28 @@ def test_failures_are_retried(spark, tmp_path):
         read(spark, "shaky", folder=str(tmp_path / "more"), failures="3").collect()
 
 
+def test_recorded_files_have_a_header_each(spark, tmp_path):
+    """An interval of several files is one answer with one header; a header may hold a line end, a file may lack its last one or all rows."""
+    files = ['genus,"extra\nname"\nAa,1\n"B\nb",2', 'genus,"extra\nname"\nCc,3\ngenus,x\n', "", 'genus,"extra\nname"', 'genus,"extra\nname"\r\nDd,4']
+    os.mkdir(tmp_path / "interval=Permian")
+    for k, text in enumerate(files):
+        (tmp_path / "interval=Permian" / f"part-{k}.csv").write_bytes(text.encode())
+    options = {"recorded": f"file://{tmp_path}"}
+    for chunk in (1, 5, 1 << 16):
+        found = list(csv.reader(services.lines(services.recorded("", {"interval": "Permian"}, options, chunk))))
+        assert [r for r in found if r] == [["genus", "extra\nname"], ["Aa", "1"], ["B\nb", "2"], ["Cc", "3"], ["genus", "x"], ["Dd", "4"]]
+    (tmp_path / "interval=Permian" / "part-9.csv").write_text("extra,genus\n5,Ee\n")
+    with pytest.raises(ValueError, match="another header"):
+        list(services.recorded("", {"interval": "Permian"}, options))
+
+
+def test_pbdb_source_of_several_files(spark, sf_dir):
+    """As many rows as occurrences, however many files an interval was recorded in."""
+    rows = occurrences(spark, sf_dir).repartition(3)
+    found = registry._pbdb_source(rows)
+    assert found.count() == rows.count() and found.filter("genus = 'genus'").count() == 0
+
+
 def test_pages(spark):
     services.register(spark)
     source = spark.read.format("neotoma").option("transport", "test_services:page")
