@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import columns, discard, key_ranges, materialise, range_index, spread_join
-from strata.llm.near_copies import cluster_components
+from strata.llm.common import columns, discard, key_ranges, leaving_none, materialise, range_index, spread_join
+from strata.llm.components import Forest, connected_components
 
 PERIOD, CLASSES, DENSE, NONE = 8192, 256, 32, 16
 #: Output places up to which sample counts are tabulated; beyond, they are searched for.
 TABLE = 1 << 21
+#: Groups of up to ``FEW`` fingerprints are compared pair by pair for a whole lot of ``LOT`` rows or somewhat more at once.
+FEW, LOT = 48, 16_384
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -195,29 +197,128 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", seed:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fingerprint string")
 
 
-def digit_links(fingerprints: list[bytes], home: np.ndarray, label: np.ndarray, least: float, seed: int) -> list[tuple[int, int]]:
-    """Links of at least ``least`` likeness between a home fingerprint and any other, but for those that labels or other links give."""
-    raw = [f.partition(b":")[2] for f in fingerprints]
-    digits = np.full((len(raw), max(map(len, raw), default=0)), ord("-"), np.uint8)
-    for row, r in zip(digits, raw):
-        row[: len(r)] = np.frombuffer(r, np.uint8)
-    size, running = np.fromiter(map(len, raw), np.int64, len(raw)), shared(seed)[2]
-    weights, root, out = np.diff(running)[: digits.shape[1]], label.copy(), []
-    for x in np.flatnonzero(home).tolist():
-        other = np.flatnonzero(root != root[x])
-        equal = ((digits[other, : size[x]] == digits[x, : size[x]]) @ weights[: size[x]]) / np.maximum(running[np.maximum(size[other], size[x])], 1)
-        for y in other[equal >= least].tolist():
+def octaves(sets: list[bytes], size: np.ndarray) -> list[np.ndarray]:
+    """Digits of fingerprints, two in a byte, by octave: a row of 32 for each, NONE beyond its end."""
+    width = -(-int(size.max(initial=0)) // DENSE) * DENSE
+    out = np.full((len(sets), width), NONE, np.uint8)
+    for row, packed, n in zip(out, sets, size.tolist()):
+        raw = np.frombuffer(packed, np.uint8)
+        row[:n] = np.stack([raw >> 4, raw & 15], axis=1).ravel()[:n]
+    return [np.ascontiguousarray(out[:, k : k + DENSE]) for k in range(0, width, DENSE)]
+
+
+def digit_links(sets: list[bytes], size: np.ndarray, home: np.ndarray, label: np.ndarray, least: float, seed: int = 7, across: bool = False) -> list[tuple[int, int]]:
+    """Links of at least ``least`` likeness between fingerprints, but for those that labels or other links give; with ``across`` only
+    between one at ``home`` and one that is not.
+
+    Samples of an octave weigh the same, and the octaves below weigh together what it weighs.  So equal digits are counted octave by octave from
+    the shorter fingerprint's last one, and a pair is left as soon as the octaves below could not make up for what is missing, which for unrelated
+    texts is after one or two; fingerprints of too different lengths are not compared at all.  Weights are powers of two, so sums are exact.
+    """
+    order = np.argsort(size, kind="stable")
+    digits, running = [d[order] for d in octaves(sets, size)], shared(seed)[2]
+    size, home, root, out = size[order], home[order], label[order].copy(), []
+    whole = np.maximum(running[size], 1)
+    end = np.searchsorted(whole * least, running[size], side="right")
+    for x in range(len(order)):
+        top = (int(size[x]) - 1) // DENSE
+        apart = root[x + 1 : end[x]] != root[x]
+        if across:
+            apart &= home[x + 1 : end[x]] != home[x]
+        other = np.flatnonzero(apart) + x + 1
+        got = np.zeros(len(other))
+        for k in range(top, -1, -1):
+            if not len(other):
+                break
+            own = digits[k][x].copy()
+            own[own == NONE] = NONE + 1  # the other one's digits beyond this end are no equal ones
+            equal = (digits[k][other] == own).view(np.uint64)
+            count = ((equal[:, 0] + equal[:, 1] + equal[:, 2] + equal[:, 3]) * np.uint64(0x0101010101010101)) >> np.uint64(56)
+            got += count * (running[DENSE * k + 1] - running[DENSE * k])
+            left = (got + running[DENSE * k]) / whole[other] >= least
+            other, got = other[left], got[left]
+        for y in other.tolist() if top >= 0 else ():
             if root[y] != root[x]:
                 root[root == root[y]] = root[x]
-                out.append((x, y))
+                out.append((int(order[x]), int(order[y])))
     return out
 
 
-def near_groups(docs: DataFrame, least: float = 0.5, width: int = 8, text: str = "text", key: str = "doc_id", seed: int = 7, block: int = 256) -> DataFrame:
+def likely_pairs(sets: list[bytes], size: np.ndarray, x: np.ndarray, y: np.ndarray, least: float, seed: int = 7) -> np.ndarray:
+    """Which pairs (x, y) have ``least`` likeness, decided as in ``digit_links``."""
+    digits, running = octaves(sets, size), shared(seed)[2]
+    short, long = np.where(size[x] <= size[y], x, y), np.where(size[x] <= size[y], y, x)
+    whole, got, n = np.maximum(running[size[long]], 1), np.zeros(len(x)), size[short]
+    alive = np.flatnonzero(running[n] / whole >= least)
+    for k in range(len(digits) - 1, -1, -1):
+        now = alive[n[alive] > DENSE * k]
+        a, b = digits[k][short[now]], digits[k][long[now]]
+        got[now] += ((a == b) & (a < NONE)).sum(axis=1) * (running[DENSE * k + 1] - running[DENSE * k])
+        alive = alive[(got[alive] + running[np.minimum(DENSE * k, n[alive])]) / whole[alive] >= least]
+    return alive[n[alive] > 0]
+
+
+def band_links(members: DataFrame, sets: DataFrame, least: float, block: int, seed: int) -> DataFrame:
+    """(a, b): links within each cluster of ``members`` (mark, cluster, n, label), where ``n`` is a cluster's size and items of one label are linked already.
+
+    A cluster above ``block`` items is dealt into blocks, and each pair of blocks is a group, so that each pair of items is compared once.  Fingerprints,
+    ``sets`` (mark, size, set), join the members on their way to the groups and are not stored with them.
+    """
+
+    def linked(lot: pa.Table) -> pa.RecordBatch:
+        cluster, i, j, size = (lot.column(c).to_numpy() for c in ("cluster", "i", "j", "size"))
+        label = lot.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        home, marks, packed = lot.column("home").to_numpy(), lot.column("mark").combine_chunks(), lot.column("set").to_pylist()
+        first = np.flatnonzero(np.append(True, (cluster[1:] != cluster[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        end = np.append(first[1:], len(cluster))
+        few = np.repeat(end - first <= FEW, end - first)
+        at, stop, found = np.flatnonzero(few), np.repeat(end, end - first), [(np.zeros(0, np.int64),) * 2]
+        for step in range(1, FEW):
+            at = at[at + step < stop[at]]
+            apart = (label[at] != label[at + step]) & ((i[at] == j[at]) | (home[at] != home[at + step]))
+            found.append((at[apart], at[apart] + step))
+        x, y = map(np.concatenate, zip(*found))
+        kept = np.unique(np.concatenate([x, y]))
+        near = likely_pairs([packed[k] for k in kept.tolist()], size[kept], np.searchsorted(kept, x), np.searchsorted(kept, y), least, seed)
+        forest = Forest(len(cluster))
+        forest.link(x[near], y[near])
+        for a, b in zip(first.tolist(), end.tolist()):
+            if b - a > FEW:
+                pairs = np.array(digit_links(packed[a:b], size[a:b], home[a:b], label[a:b], least, seed, bool(i[a] != j[a])), np.int64).reshape(-1, 2) + a
+                forest.link(pairs[:, 0], pairs[:, 1])
+        rows = np.arange(len(cluster))
+        root = forest.roots(rows)
+        out = np.flatnonzero(root != rows)
+        return pa.RecordBatch.from_arrays([marks.take(pa.array(out)), marks.take(pa.array(root[out]))], ["a", "b"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= LOT:
+                lot = pa.Table.from_batches(held).combine_chunks()
+                keys = [lot.column(c).to_numpy() for c in ("cluster", "i", "j")]
+                cut = int(np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0)).max(initial=-1)) + 1  # the last group may go on
+                if cut:
+                    yield linked(lot.slice(0, cut).combine_chunks())
+                held, n = lot.slice(cut).to_batches(), lot.num_rows - cut
+        if n:
+            yield linked(pa.Table.from_batches(held).combine_chunks())
+
+    parts = F.ceil(F.col("n") / block).cast("int")
+    dealt = members.select("mark", "cluster", "label", F.pmod(F.xxhash64("mark"), parts).cast("int").alias("at"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("with"))
+    pairs = dealt.select("mark", "cluster", "label", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), (F.col("at") <= F.col("with")).alias("home"))
+    rows = pairs.select("cluster", "i", "j", "mark", "label", "home").join(sets, "mark")
+    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(leaving_none(run), "a binary, b binary")
+
+
+def near_groups(docs: DataFrame, least: float = 0.5, width: int = 8, text: str = "text", key: str = "doc_id", seed: int = 7, block: int = 8192) -> DataFrame:
     """(key, component_id): groups of documents whose fingerprints share a band and have a likeness of ``least`` or more; the least key is a group's name.
 
     Equal fingerprints are one.  Each band's fingerprints are compared within the band, in blocks if there are many, but for pairs that
-    are linked already; so every candidate is either linked or verified, and no band is cut.
+    are linked already; so every candidate is either linked or verified, and no band is cut.  A quarter of the bands is taken first: most near copies
+    share one of those, and bands whose fingerprints are all linked then are not dealt any more.
     """
     marked = materialise(fingerprints(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "key", seed), "embedded")
     distinct = materialise(marked.groupBy("fingerprint").agg(F.min("key").alias("rep")).withColumn("mark", F.unhex(F.md5("fingerprint"))), "distinct")
@@ -227,17 +328,26 @@ def near_groups(docs: DataFrame, least: float = 0.5, width: int = 8, text: str =
             rows = [(m, b) for m, f in zip(*(c.to_pylist() for c in batch.columns)) for b in bands(f, width)]
             yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.string())], ["mark", "cluster"])
 
-    dealt = distinct.select("mark", "fingerprint").mapInArrow(deal, "mark binary, cluster string").select("mark", F.xxhash64("cluster").alias("cluster"))
-    dealt = materialise(dealt, "bands")
-    sizes = materialise(dealt.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-    total = dealt.count()
-    members = spread_join(dealt, sizes, "cluster", "n", total).select("mark", "cluster", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    held = materialise(members.join(distinct.select("mark", F.col("fingerprint").cast("binary").alias("set")), "mark"), "held")
-    found = cluster_components(held, lambda sets, home, label: digit_links([bytes(x) for x in sets], home, label, least, seed), total, block)
-    rooted = distinct.join(found.withColumnRenamed("node", "mark"), "mark", "left").select("fingerprint", "rep", F.coalesce("root", "mark").alias("root"))
+    dealt = distinct.select("mark", "fingerprint").mapInArrow(deal, "mark binary, cluster string")
+    dealt = materialise(dealt.select("mark", F.xxhash64("cluster").alias("cluster"), (F.substring_index("cluster", ":", 1).cast("int") % 4 == 3).alias("early")), "bands")
+    digits = F.substring_index("fingerprint", ":", -1)
+    sets = distinct.select("mark", F.length(digits).alias("size"), F.unhex(F.concat(digits, F.when(F.length(digits) % 2 == 1, "0").otherwise(""))).alias("set"))
+    near = None
+    for early in (True, False):
+        some, label = dealt.filter(F.col("early") == early).select("mark", "cluster"), F.col("mark")
+        if near is not None:
+            some, label = some.join(near.withColumnRenamed("node", "mark"), "mark", "left"), F.coalesce("root", "mark")
+        some = materialise(some.select("mark", "cluster", label.alias("label")), "labelled")
+        found = some.groupBy("cluster").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        sizes = materialise(found.filter("lo < hi").select("cluster", "n"), "sizes")
+        members = materialise(spread_join(some, sizes, "cluster", "n", some.count()), "members")
+        edges = materialise(band_links(members, sets, least, block, seed), "links")
+        last, near = near, connected_components(edges if near is None else edges.unionByName(near.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        discard(some, sizes, members, edges, *([last] if last is not None else []))
+    rooted = distinct.join(near.withColumnRenamed("node", "mark"), "mark", "left").select("fingerprint", "rep", F.coalesce("root", "mark").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fingerprint", "component_id")
     out = materialise(marked.join(named, "fingerprint").select(F.col("key").alias(key), "component_id"), "groups")
-    discard(marked, distinct, dealt, sizes, held, found)
+    discard(marked, distinct, dealt, near)
     return out
 
 

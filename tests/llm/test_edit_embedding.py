@@ -115,6 +115,45 @@ def test_near_groups(spark, block):
     assert sorted(found, key=str) == sorted(zip(keys, want), key=str)
 
 
+@pytest.mark.parametrize("across", [False, True])
+def test_digit_links_against_all_pairs(across):
+    """Whatever lengths meet and wherever digits differ: the links' components are those of all pairs of enough likeness."""
+    rng, linked = np.random.default_rng(11), 0
+    for _ in range(20):
+        base, texts = [rng.integers(0, 16, int(rng.integers(1, 300))) for _ in range(6)], set()
+        for _ in range(30):
+            digits = base[rng.integers(6)].copy()
+            at = rng.random(len(digits)) < rng.choice([0.1, 0.4, 0.6])
+            digits[at] = rng.integers(0, 16, at.sum())
+            texts.add("1:" + "".join(f"{d:x}" for d in digits[: max(1, len(digits) - int(rng.integers(0, 40)))]))
+        texts = ["0:", *sorted(texts)]
+        n, bare = len(texts), [t.partition(":")[2] for t in texts]
+        home = rng.random(n) < 0.5
+        found = ee.digit_links([bytes.fromhex(d + "0" * (len(d) % 2)) for d in bare], np.array(list(map(len, bare))), home, np.arange(n), 0.5, across=across)
+        want = [(a, b) for a in range(n) for b in range(a) if ee.likeness(texts[a], texts[b]) >= 0.5 and (not across or home[a] != home[b])]
+        roots = []
+        for pairs in (found, want):
+            root = list(range(n))
+            for a, b in pairs:
+                root = [root[a] if r == root[b] else r for r in root]
+            roots.append([root.index(r) for r in root])
+        assert roots[0] == roots[1] and len(found) <= n - 1
+        linked += len(found)
+    assert linked > 50
+
+
+def test_near_groups_carry_fingerprints_once(spark, monkeypatch):
+    """No written table holds a fingerprint for each of its bands, and each pair of blocks is compared once."""
+    held, groups, plain = [], [], ee.materialise
+    monkeypatch.setattr(ee, "materialise", lambda frame, name: held.append((name, frame.columns)) or plain(frame, name))
+    links = ee.band_links
+    monkeypatch.setattr(ee, "band_links", lambda members, sets, *rest: groups.append(members.groupBy("cluster").count().count()) or links(members, sets, *rest))
+    texts = edited_texts()
+    ee.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=4).collect()
+    assert [n for n, c in held if "set" in c] == [] and [n for n, c in held if "fingerprint" in c] == ["embedded", "distinct"]
+    assert len(groups) == 2
+
+
 def test_rows_that_share_a_key_are_split(spark):
     """Many rows without a key, and many with one, fall into several ranges; the order stays."""
     from strata.llm.common import key_ranges
