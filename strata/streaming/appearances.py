@@ -2,13 +2,11 @@
 
 Files arrive in any order and may overlap: a late row can move a genus's first appearance; an identifier that was there before is not counted again
 (if it comes with another age, that widens the range, so the result is the same in any order).
-State is keyed by genus and ``slot``, a hash of the identifier, so that a genus with a third of all rows is many keys: each has the
-identifiers seen (a map, one small entry each) and its range and count.  A batch gives the keys it changed; ``appearances`` joins
-a genus's slots, in one aggregation over the latest rows.
+Identifiers are remembered by the engine's own deduplication, spread over all tasks by genus, source and identifier, so that a genus with a third of
+all rows is many keys; no Python runs for each row.  A batch adds, by genus and ``slot``, the range of its rows and the number of its new identifiers;
+``appearances`` joins all batches in one aggregation.
 
-``write_ranges`` is for volume: identifiers are remembered by the engine's own deduplication, spread over all tasks by identifier, and a batch adds
-ranges and counts of its new rows by genus, which ``ranges_so_far`` joins.  No Python runs for each row.  There a row that comes again with another
-age is another row.
+``write_ranges`` remembers identifiers with their age: there a row that comes again with another age is another row.
 
 Rows without age or genus don't count; rows without identifier count each time.  Needs the RocksDB state store, whose state may be larger than
 memory and of which a checkpoint writes changes only.
@@ -16,73 +14,47 @@ memory and of which a checkpoint writes changes only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "genus string, slot int, first_appearance double, last_appearance double, occurrences long"
 SLOTS = 64
 
 
-class Appearances(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "id string", "there boolean")
-        self.span = handle.getValueState("span", "first double, last double, n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = first, last, n = self.span.get() if self.span.exists() else (None, None, 0)
-        for frame in rows:
-            for name in frame["id"]:
-                if name is None:
-                    n += 1
-                elif not self.seen.containsKey((name,)):
-                    self.seen.updateValue((name,), (True,))
-                    n += 1
-            old, young = float(frame["mid_ma"].max()), float(frame["mid_ma"].min())
-            first, last = old if first is None else max(first, old), young if last is None else min(last, young)
-        if held != (first, last, n):
-            self.span.update((first, last, n))
-            yield pd.DataFrame({"genus": [key[0]], "slot": [key[1]], "first_appearance": [first], "last_appearance": [last], "occurrences": [n]})
-
-    def close(self) -> None:
-        pass
-
-
-def changed_appearances(stream: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(genus, slot, first_appearance, last_appearance, occurrences): a row for each key that a batch changed, as it is from then on."""
-    name = F.when(F.col("occurrence_id").isNotNull(), F.concat_ws("/", F.coalesce("source_db", F.lit("")), "occurrence_id"))
-    slot = F.pmod(F.xxhash64(F.coalesce(name, F.col("mid_ma").cast("string"))), F.lit(slots)).cast("int")
-    rows = stream.dropna(subset=["mid_ma", "genus"]).select("genus", slot.alias("slot"), name.alias("id"), "mid_ma")
-    return rows.groupBy("genus", "slot").transformWithStateInPandas(Appearances(), OUT, "Update", "None")
+def new_appearances(stream: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """(genus, slot, mid_ma, n): the age of each row, and with ``n`` = 1 each identifier of a genus once and each row without one."""
+    slot = F.pmod(F.xxhash64("source_db", "occurrence_id", F.when(F.col("occurrence_id").isNull(), F.col("mid_ma"))), F.lit(slots)).cast("int")
+    rows = stream.dropna(subset=["mid_ma", "genus"]).select("genus", slot.alias("slot"), "source_db", "occurrence_id", "mid_ma")
+    known = rows.filter("occurrence_id is not null").select("genus", "slot", "source_db", "occurrence_id").dropDuplicates()
+    ages = rows.select("genus", "slot", "mid_ma", F.col("occurrence_id").isNull().cast("long").alias("n"))
+    return ages.unionByName(known.select("genus", "slot", F.lit(None).cast("double").alias("mid_ma"), F.lit(1).cast("long").alias("n")))
 
 
 def write_appearances(stream: DataFrame, out: str, checkpoint: str, slots: int = SLOTS) -> StreamingQuery:
-    """Adds what each batch changed to ``out`` as a table of its own, under the batch's number: a batch that runs again writes the same."""
+    """Adds what each batch brought to ``out`` as a table of its own, under the batch's number: a batch that runs again writes the same."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
+        spans = batch.groupBy("genus", "slot").agg(F.max("mid_ma").alias("first_appearance"), F.min("mid_ma").alias("last_appearance"), F.sum("n").alias("occurrences"))
+        spans.write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
 
-    return changed_appearances(stream, slots).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
+    return new_appearances(stream, slots).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
 
 
 def appearances(spark: SparkSession, out: str) -> DataFrame:
     """(genus, first_appearance, last_appearance, occurrences, duration) so far, as ``ranges.genus_ranges`` gives them for all rows."""
     held = spark.read.schema(f"{OUT}, batch int").option("basePath", out).parquet(out)
-    latest = held.groupBy("genus", "slot").agg(F.max("first_appearance").alias("a"), F.min("last_appearance").alias("b"), F.max("occurrences").alias("n"))  # later rows only widen
-    spans = latest.groupBy("genus").agg(F.max("a").alias("first_appearance"), F.min("b").alias("last_appearance"), F.sum("n").alias("occurrences"))
+    spans = held.groupBy("genus").agg(F.max("first_appearance").alias("first_appearance"), F.min("last_appearance").alias("last_appearance"), F.sum("occurrences").alias("occurrences"))
     return spans.withColumn("duration", F.col("first_appearance") - F.col("last_appearance"))
 
 
 def compact(spark: SparkSession, out: str, to: str) -> None:
-    """The latest row of each key of ``out`` as the only table of ``to``, between two runs of the stream."""
+    """One row for each key of ``out`` as the only table of ``to``, between two runs of the stream."""
     held = spark.read.schema(f"{OUT}, batch int").option("basePath", out).parquet(out)
-    latest = held.groupBy("genus", "slot").agg(F.max("first_appearance").alias("first_appearance"), F.min("last_appearance").alias("last_appearance"), F.max("occurrences").alias("occurrences"), F.max("batch").alias("batch"))
-    latest.write.partitionBy("batch").parquet(to)
+    joined = held.groupBy("genus", "slot").agg(F.max("first_appearance").alias("first_appearance"), F.min("last_appearance").alias("last_appearance"), F.sum("occurrences").alias("occurrences"), F.max("batch").alias("batch"))
+    joined.write.partitionBy("batch").parquet(to)
 
 
 RANGES = "genus string, first_appearance double, last_appearance double, occurrences long"

@@ -157,6 +157,19 @@ def test_appearances_in_any_order(spark, tmp_path):
     assert sorted(os.listdir(out))[-1] == "batch=000000003", "nothing new, nothing written"
 
 
+def test_appearances_run_without_python_for_each_row(spark, tmp_path):
+    """The engine remembers identifiers, by source and identifier; one that comes again with another age widens the range and counts once."""
+    named = lambda source, name, age: (name, *occurrence(0, "G", age)[1:14], source, None, None)
+    parts = [[named("x", "a/b", 10.0), named("x/a", "b", 20.0), named(None, "c", 20.0), named("", "c", 20.0)], [named("x", "a/b", 30.0), named(None, None, 15.0), named(None, "c", 5.0)]]
+    incoming, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(incoming)
+        query = appearances.write_appearances(occurrence_stream(spark, incoming), out, state)
+        query.awaitTermination()
+    assert [o["operatorName"] for o in query.recentProgress[-1]["stateOperators"]] == ["dedupe"]
+    assert [tuple(r) for r in appearances.appearances(spark, out).select("genus", "first_appearance", "last_appearance", "occurrences").collect()] == [("G", 30.0, 5.0, 5)]
+
+
 def test_ranges_by_deduplication(spark, tmp_path):
     """The same files in another order, with a restart between any two; a batch that runs again replaces itself."""
     rows = [occurrence(k, f"G{k % 7}", float(k * 37 % 500)) for k in range(300)] + [occurrence(k, "Hot", 10.0 + k % 3) for k in range(1000, 1200)]
