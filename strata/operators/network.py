@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,52 @@ def locality_network_nodes(occ: DataFrame, top: int = 50, cell: float = 5.0) ->
     return best.join(degree, "locality", "left").fillna(0, ["degree"])
 
 
+#: A pair of places written for itself takes as long as so many pairs of a matrix product, squares compared.
+SPARSE = 64
+#: Graphs of up to so many nodes (a matrix of 8 bytes a pair), with an edge or more to ``DENSE_SHARE`` pairs, merge by a matrix.
+DENSE_NODES, DENSE_SHARE = 4096, 100
+
+
+def merged_by_matrix(nodes: list, near: dict[int, dict[int, float]], degree: dict[int, int], m: float) -> list[set]:
+    """``communities`` with gains as a matrix, whose rows know their best partner of a higher number: the same unions in the same order."""
+    n = len(nodes)
+    share = np.array([degree[k] / (2 * m) for k in range(n)])
+    gain = np.full((n, n), -np.inf)
+    for a, held in near.items():
+        b = np.fromiter(held, np.int64, len(held))
+        gain[a, b] = 1 / m - 2 * share[a] * share[b]
+    upper = lambda a: a + 1 + int(gain[a, a + 1 :].argmax()) if a + 1 < n else a
+    partner = np.array([upper(a) for a in range(n)])
+    best = gain[np.arange(n), partner]
+    members = {k: {v} for k, v in enumerate(nodes)}
+    while True:
+        a = int(best.argmax())
+        b = int(partner[a])
+        if not best[a] > 0:
+            return list(members.values())
+        members[a] |= members.pop(b)
+        mine, lost = gain[a].copy(), gain[b].copy()
+        mine[[a, b]] = lost[[a, b]] = -np.inf
+        here, there = mine > -np.inf, lost > -np.inf
+        mine[here & ~there] -= (2 * share[b] * share)[here & ~there]
+        mine[there & ~here] = lost[there & ~here] - (2 * share[a] * share)[there & ~here]
+        mine[here & there] += lost[here & there]
+        gain[b] = gain[:, b] = best[b] = -np.inf
+        gain[a] = gain[:, a] = mine
+        share[a] += share[b]
+        rows = np.arange(a)  # rows below a see its new gains
+        better = (mine[:a] > best[:a]) | ((mine[:a] == best[:a]) & (a < partner[:a]))
+        for c in rows[~better & ((partner[:a] == a) | (partner[:a] == b)) & (best[:a] > -np.inf)].tolist():
+            partner[c] = upper(c)
+            best[c] = gain[c, partner[c]]
+        partner[:a][better], best[:a][better] = a, mine[:a][better]
+        for c in (a + 1 + np.flatnonzero((partner[a + 1 : b] == b) & (best[a + 1 : b] > -np.inf))).tolist():
+            partner[c] = upper(c)
+            best[c] = gain[c, partner[c]]
+        partner[a] = upper(a)
+        best[a] = gain[a, partner[a]]
+
+
 def communities(nodes: list, edges: list[tuple]) -> list[set]:
     """Greedy modularity maximisation: the pair of linked communities whose union raises modularity most is merged, as long as
     one does; the pair with the least names at a tie."""
@@ -68,6 +116,8 @@ def communities(nodes: list, edges: list[tuple]) -> list[set]:
     m = sum(degree.values()) / 2
     if not m:
         return [{v} for v in nodes]
+    if len(nodes) <= DENSE_NODES and m * DENSE_SHARE >= len(nodes) ** 2:
+        return merged_by_matrix(nodes, near, degree, m)
     share = {k: d / (2 * m) for k, d in degree.items()}
     members = {k: {v} for k, v in enumerate(nodes)}
     for a in near:  # from here on, what a union of the two would add to modularity
@@ -111,18 +161,40 @@ def modularity(parts: list[set], edges: list[tuple]) -> float | None:
 
 
 def linked(places: np.ndarray, genera: np.ndarray, n_places: int, n_genera: int, step: int = 4096) -> list[tuple[int, int]]:
-    """Pairs of places (i < j) with a common genus, from pairs (place, genus) as numbers."""
-    order = np.argsort(genera, kind="stable")
-    places, genera = places[order], genera[order]
+    """Pairs of places (i < j) with a common genus, from pairs (place, genus) as numbers.
+
+    A genus of few places gives its pairs one by one; those of so many that a row of a matrix product costs less are multiplied, ``step`` at a time.
+    """
+    code = np.unique(genera.astype(np.int64) * n_places + places)
+    places, genera = code % n_places, code // n_places
+    held = np.bincount(genera, minlength=n_genera)
+    many = held * held * SPARSE > n_places * n_places
     near = np.zeros((n_places, n_places), bool)
-    for first in range(0, n_genera, step):
+    few = ~many[genera]
+    place, stop = places[few], np.cumsum(held[~many])
+    at, end = np.arange(len(place)), np.repeat(stop, held[~many])
+    for apart in range(1, int(held[~many].max(initial=0))):
+        at = at[at + apart < end[at]]
+        near[place[at], place[at + apart]] = True
+    number = np.cumsum(many) - 1
+    places, genera = places[~few], number[genera[~few]]
+    for first in range(0, int(many.sum()), step):
         a, b = np.searchsorted(genera, (first, first + step))
-        held = np.zeros((n_places, step), np.float32)
-        held[places[a:b], genera[a:b] - first] = 1
-        near |= held @ held.T > 0
+        there = np.zeros((n_places, min(step, int(many.sum()) - first)), np.float32)
+        there[places[a:b], genera[a:b] - first] = 1
+        near |= there @ there.T > 0
     return list(zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))))
 
 
+def graph(locality: pa.ChunkedArray, genus: pa.ChunkedArray) -> tuple[int, int, list[tuple[int, int]]]:
+    """(localities, genera, linked pairs of localities, which are numbered by name)."""
+    place, genus = (c.combine_chunks().dictionary_encode() for c in (locality, genus))
+    names = place.dictionary.to_pylist()
+    rank = np.empty(len(names), np.int64)
+    rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+    return len(names), len(genus.dictionary), linked(rank[place.indices.to_numpy()], genus.indices.to_numpy(), len(names), len(genus.dictionary))
+
+
 def modularity_by(edges: DataFrame, *by: str) -> DataFrame:
     """(*by, modularity, n_communities, n_edges) of the locality graphs of distinct (*by, locality, genus).
 
@@ -130,15 +202,14 @@ def modularity_by(edges: DataFrame, *by: str) -> DataFrame:
     bounded by the grid's cells and the genera.  Localities without a link are communities of their own.
     """
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        names, place = np.unique(frame["locality"].to_numpy(str), return_inverse=True)
-        genera, genus = np.unique(frame["genus"].to_numpy(str), return_inverse=True)
-        pairs = linked(place, genus, len(names), len(genera))
-        parts = communities(list(range(len(names))), pairs)
-        return pd.DataFrame({**{b: [k] for b, k in zip(by, key)}, "modularity": [modularity(parts, pairs)], "n_communities": [len(parts)], "n_edges": [len(pairs)]})
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        n, _, pairs = graph(rows["locality"], rows["genus"])
+        parts = communities(list(range(n)), pairs)
+        values = [pa.array([modularity(parts, pairs)], pa.float64()), pa.array([len(parts)], pa.int64()), pa.array([len(pairs)], pa.int64())]
+        return pa.table([*(pa.array([k.as_py()], k.type) for k in key), *values], [*by, "modularity", "n_communities", "n_edges"])
 
     kinds = ", ".join(f"`{b}` {edges.schema[b].dataType.simpleString()}" for b in by)
-    return edges.select(*by, "locality", "genus").groupBy(*by).applyInPandas(run, f"{kinds}, modularity double, n_communities long, n_edges long")
+    return edges.select(*by, "locality", "genus").groupBy(*by).applyInArrow(run, f"{kinds}, modularity double, n_communities long, n_edges long")
 
 
 def counted_cells(rows: DataFrame) -> DataFrame:
@@ -155,13 +226,21 @@ def robust_bins(counted: DataFrame, min_rows: int = 100, min_localities: int = 5
 def biogeographic_dynamics(occ: DataFrame, width: float = 5.0, cell: float = 5.0, min_rows: int = 100, min_localities: int = 5, min_genera: int = 5) -> DataFrame:
     """Modularity, mean absolute latitude and diversity of bins with enough rows, localities and genera, and edges of their graphs.
 
-    Guards and graphs both come from the counted cells, whose aggregation is one exchange of the plan.
+    A bin's counted cells meet once, for its guards and its graph; bins that the guards leave out have no graph made.
     """
-    counted = counted_cells(located(occ, width, cell))
-    enough = robust_bins(counted, min_rows, min_localities, min_genera)
-    kept = counted.join(F.broadcast(enough.select("time_bin")), "time_bin", "left_semi")  # a row for each bin
-    found = modularity_by(kept, "time_bin").select("time_bin", "modularity", "n_edges")
-    return enough.join(found, "time_bin", "left").select("time_bin", "modularity", "mean_abs_lat", "diversity", "n_edges").orderBy(F.desc("time_bin"))
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        n = pc.sum(rows["n"]).as_py()
+        out = []
+        if n >= min_rows:
+            localities, genera, pairs = graph(rows["locality"], rows["genus"])
+            if localities >= min_localities and genera >= min_genera:
+                out = [(key[0].as_py(), modularity(communities(list(range(localities)), pairs), pairs), pc.sum(rows["abs_lat"]).as_py() / n, genera, len(pairs))]
+        return pa.table({name: pa.array([r[k] for r in out], kind) for k, (name, kind) in enumerate(columns.items())})
+
+    columns = {"time_bin": pa.float64(), "modularity": pa.float64(), "mean_abs_lat": pa.float64(), "diversity": pa.int64(), "n_edges": pa.int64()}
+    cells = counted_cells(located(occ, width, cell)).groupBy("time_bin")
+    return cells.applyInArrow(run, "time_bin double, modularity double, mean_abs_lat double, diversity long, n_edges long").orderBy(F.desc("time_bin"))
 
 
 def locality_network_layout(occ: DataFrame, top: int = 50, cell: float = 5.0, rounds: int = 300) -> DataFrame:

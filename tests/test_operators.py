@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -233,6 +234,36 @@ def test_linked_places(step):
     assert set(network.linked(place, genus, 12, 30, step)) == want
 
 
+def test_linked_places_of_many_genera():
+    """Most genera in two places of many, some in hundreds: as by sets, and no matrix product for each 4,096 genera."""
+    rng, n = np.random.default_rng(4), 400
+    genus = np.concatenate([rng.integers(0, 30_000, 40_000), np.full(300, 30_000), np.full(350, 30_001)])
+    place = np.concatenate([rng.integers(0, n, 40_000), rng.permutation(n)[:300], rng.permutation(n)[:350]])
+    want, places = set(), {}
+    for g, p in zip(genus.tolist(), place.tolist()):
+        places.setdefault(g, set()).add(p)
+    for held in places.values():
+        want |= set(itertools.combinations(sorted(held), 2))
+    assert network.linked(place, genus, n, 30_002) == sorted(want)
+    n, genus = 2701, np.repeat(np.arange(500_000), 2)
+    began = time.process_time()
+    found = network.linked(rng.integers(0, n, 1_000_000), genus, n, 500_000)
+    assert 400_000 < len(found) < 500_000 and time.process_time() - began < 30
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_communities_by_a_matrix_are_the_same(seed, monkeypatch):
+    """The same unions in the same order as from the queue, ties included."""
+    rng = random.Random(seed)
+    n = rng.randint(2, 70)
+    edges = [e for e in itertools.combinations(range(n), 2) if rng.random() < (0.6 if e[0] % 3 == e[1] % 3 else 0.15)]
+    found = []
+    for most in (0, 4096):
+        monkeypatch.setattr(network, "DENSE_NODES", most)
+        found.append([sorted(part) for part in network.communities(list(range(n)), edges)])
+    assert found[0] == found[1]
+
+
 @pytest.mark.parametrize("most", [1, 3, 100])
 def test_permuted_tables_are_those_of_shuffled_rows(most):
     """Sums stay, and tables are as frequent as if genera were shuffled over the rows, at whatever size nodes are split."""
