@@ -362,6 +362,39 @@ def node_cells(places: np.ndarray, genera: np.ndarray, seeds: list[int], low: in
     return code // len(genera), code % len(genera), n
 
 
+def margins(counted: DataFrame) -> DataFrame:
+    """(time_bin, locality, genus, n, by_place): rows of each locality and of each genus in ``counted``."""
+    return counted.groupingSets([("time_bin", "locality"), ("time_bin", "genus")], "time_bin", "locality", "genus").agg(F.sum("n").alias("n"), F.grouping("genus").alias("by_place"))
+
+
+def named_margins(counted: DataFrame) -> DataFrame:
+    """(time_bin, places_name, places_n, genera_name, genera_n): localities by name, genera by rows and name."""
+    listed = lambda flag, *names: F.sort_array(F.collect_list(F.when(F.col("by_place") == flag, F.struct(*names))))
+    held = margins(counted).groupBy("time_bin").agg(listed(1, F.col("locality").alias("name"), "n").alias("places"), listed(0, "n", F.col("genus").alias("name")).alias("genera"))
+    return held.select("time_bin", *(F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in ("places", "genera") for f in ("name", "n")))
+
+
+def bare_margins(counted: DataFrame) -> DataFrame:
+    """(time_bin, places_n, genera_n, genera_times): as ``named_margins``, but genera of as many rows are one entry, as no name changes a graph."""
+    sums = margins(counted).withColumn("genus", F.lit(None)).groupBy("time_bin", "by_place", "locality", "n").agg(F.count("*").alias("times"))
+    listed = lambda flag, *names: F.sort_array(F.collect_list(F.when(F.col("by_place") == flag, F.struct(*names))))
+    held = sums.groupBy("time_bin").agg(listed(1, "locality", "n").alias("places"), listed(0, "n", "times").alias("genera"))
+    return held.select("time_bin", F.col("places.n").alias("places_n"), F.col("genera.n").alias("genera_n"), F.col("genera.times").alias("genera_times"))
+
+
+def iteration_rows(counted: DataFrame, iterations: int) -> DataFrame:
+    """A row and a task for each iteration, so that no batch holds several copies of the margins."""
+    return counted.sparkSession.range(0, iterations, 1, max(1, iterations)).select(F.col("id").cast("int").alias("iteration"))
+
+
+def drawn_cells(places: np.ndarray, genera: np.ndarray, seeds: list[int], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, genus, rows) of the filled cells of an iteration's table, node by node, as ``permuted_cells`` draws them."""
+    for low, held, rows in split_margins(places, genera, seeds, 0, most):
+        there = np.flatnonzero(rows)
+        place, genus, n = node_cells(held, rows[there], seeds, low)
+        yield low + place, there[genus], n
+
+
 def permuted_cells(counted: DataFrame, iterations: int = 100, seed: int = 42, most: int = SHUFFLED) -> DataFrame:
     """(iteration, time_bin, locality, genus, n): for each bin of ``counted``, tables with genera permuted over its rows, so that each locality and each
     genus keeps its number of rows.
@@ -370,12 +403,8 @@ def permuted_cells(counted: DataFrame, iterations: int = 100, seed: int = 42, mo
     other tasks finish the nodes; so an iteration spreads, and neither memory nor any limit follows the rows.  Seeds belong to
     iterations and nodes: the partitioning changes nothing.
     """
-    spark = counted.sparkSession
-    sums = counted.groupingSets([("time_bin", "locality"), ("time_bin", "genus")], "time_bin", "locality", "genus").agg(F.sum("n").alias("n"), F.grouping("genus").alias("by_place"))
-    listed = lambda name, flag: F.sort_array(F.collect_list(F.when(F.col("by_place") == flag, F.struct(F.col(name).alias("name"), "n"))))
-    margins = sums.groupBy("time_bin").agg(listed("locality", 1).alias("places"), listed("genus", 0).alias("genera"))
-    margins = margins.select("time_bin", *(F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in ("places", "genera") for f in ("name", "n")))
-    numbers = spark.range(iterations).repartition(max(1, min(iterations, spark.sparkContext.defaultParallelism))).select(F.col("id").cast("int").alias("iteration"))
+    drawn_from = named_margins(counted)
+    numbers = iteration_rows(counted, iterations)
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -392,29 +421,58 @@ def permuted_cells(counted: DataFrame, iterations: int = 100, seed: int = 42, mo
         return pd.DataFrame({"iteration": r.iteration, "time_bin": r.time_bin, "locality": np.asarray(r.places_name, object)[place], "genus": np.asarray(r.genera_name, object)[genus], "n": n})
 
     nodes = "iteration int, time_bin double, low int, places_name array<string>, places_n array<long>, genera_name array<string>, genera_n array<long>"
-    parts = numbers.crossJoin(F.broadcast(margins)).mapInPandas(split, nodes)  # margins: a row for each bin
+    parts = numbers.crossJoin(F.broadcast(drawn_from)).mapInPandas(split, nodes)  # margins: a row for each bin
     return parts.groupBy("iteration", "time_bin", "low").applyInPandas(finish, "iteration int, time_bin double, locality string, genus string, n long")
 
 
-def with_observed(counted: DataFrame, cells: DataFrame) -> DataFrame:
-    """Cells of permutations and, as iteration -1, those observed."""
-    return counted.select(F.lit(-1).alias("iteration"), "time_bin", "locality", "genus", "n").unionByName(cells)
-
-
-def null_model(occ: DataFrame, iterations: int = 100, seed: int = 42, width: float = 5.0, cell: float = 5.0, min_localities: int = 10, min_genera: int = 10) -> DataFrame:
+def null_model(occ: DataFrame, iterations: int = 100, seed: int = 42, width: float = 5.0, cell: float = 5.0, min_localities: int = 10, min_genera: int = 10, most: int = SHUFFLED) -> DataFrame:
     """(iteration, time_bin, modularity, n_edges) for the bin with most rows: iteration -1 as observed, the others with genera permuted
-    over its rows.  No rows if the bin has too few localities or genera."""
+    over its rows.  No rows if the bin has too few localities or genera.
+
+    A task draws an iteration's table, that of ``permuted_cells``, and makes its graph; no cell leaves the task.
+    """
     counted = largest_bin(occ, width, cell, min_localities, min_genera)
-    cells = with_observed(counted, permuted_cells(counted, iterations, seed)) if iterations else counted.withColumn("iteration", F.lit(-1))
-    return modularity_by(cells, "iteration", "time_bin").select("iteration", "time_bin", "modularity", "n_edges")
+    observed = modularity_by(counted.withColumn("iteration", F.lit(-1)), "iteration", "time_bin").select("iteration", "time_bin", "modularity", "n_edges")
+    if not iterations:
+        return observed
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                places, genera = np.asarray(r.places_n), np.repeat(np.asarray(r.genera_n), np.asarray(r.genera_times))
+                place, genus, _ = map(np.concatenate, zip(*drawn_cells(places, genera, [seed, r.iteration], most)))
+                pairs = linked(place, genus, len(places), len(genera))
+                value = modularity(communities(list(range(len(places))), pairs), pairs)
+                yield pd.DataFrame({"iteration": [r.iteration], "time_bin": [r.time_bin], "modularity": [value], "n_edges": [len(pairs)]})
+
+    permuted = iteration_rows(counted, iterations).crossJoin(F.broadcast(bare_margins(counted)))  # margins: a row for each bin
+    return observed.unionByName(permuted.mapInPandas(run, "iteration int, time_bin double, modularity double, n_edges long"))
 
 
 def null_marginals(occ: DataFrame, iterations: int = 100, seed: int = 42, width: float = 5.0, cell: float = 5.0, min_localities: int = 10, min_genera: int = 10, most: int = SHUFFLED) -> DataFrame:
-    """(iteration, kind, name, n): rows of each locality and of each genus in the tables that ``null_model`` compares."""
+    """(iteration, kind, name, n): rows of each locality and of each genus in the tables that ``null_model`` compares.
+
+    A task draws an iteration's table and adds its cells up; names stay Arrow's buffers from the margins to the result.
+    """
     counted = largest_bin(occ, width, cell, min_localities, min_genera)
-    cells = with_observed(counted, permuted_cells(counted, iterations, seed, most))
-    ends = cells.select("iteration", "n", F.explode(F.array(F.struct(F.lit("locality").alias("kind"), F.col("locality").alias("name")), F.struct(F.lit("genus").alias("kind"), F.col("genus").alias("name")))).alias("end"))
-    return ends.groupBy("iteration", "end.kind", "end.name").agg(F.sum("n").alias("n"))
+    observed = margins(counted).select(F.lit(-1).alias("iteration"), F.when(F.col("by_place") == 1, "locality").otherwise("genus").alias("kind"), F.coalesce("locality", "genus").alias("name"), "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, iteration in enumerate(batch.column("iteration").to_pylist()):
+                names = [batch.column(f"{c}_name")[k].values for c in ("places", "genera")]
+                places, genera = (batch.column(f"{c}_n")[k].values.to_numpy() for c in ("places", "genera"))
+                sums = [np.zeros(len(n), np.int64) for n in names]
+                for place, genus, n in drawn_cells(places, genera, [seed, iteration], most):
+                    np.add.at(sums[0], place, n)
+                    np.add.at(sums[1], genus, n)
+                for kind, name, n in zip(("locality", "genus"), names, sums):
+                    for a in range(0, len(n), 1 << 15):
+                        some = n[a : a + (1 << 15)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), iteration, np.int32)), pa.array([kind] * len(some)), name.slice(a, len(some)), pa.array(some)], ["iteration", "kind", "name", "n"])
+
+    permuted = iteration_rows(counted, iterations).crossJoin(F.broadcast(named_margins(counted)))
+    return observed.unionByName(permuted.mapInArrow(run, "iteration int, kind string, name string, n long"))
 
 
 def null_model_summary(null: DataFrame) -> DataFrame:

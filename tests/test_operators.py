@@ -329,6 +329,26 @@ def test_permutations_run_once(spark):
     assert {(r.k, r.rows) for r in ends} == {(1, 5)}
 
 
+def test_null_model_keeps_cells_in_their_tasks(spark):
+    """Its graphs are those of the permuted tables, however these are split; only the observed cells are shuffled to a graph, and no group holds margins."""
+    rng = random.Random(8)
+    rows = occ(spark, [{"genus": f"g{rng.randint(0, 30)}", "mid_ma": 5.0, "lat": 5.0 * rng.randint(0, 11), "lng": 0.0} for _ in range(200)])
+    counted = network.largest_bin(rows)
+    for most in (30, network.SHUFFLED):
+        null = network.null_model(rows, 4, most=most)
+        want = network.modularity_by(network.permuted_cells(counted, 4, most=most), "iteration", "time_bin").select("iteration", "time_bin", "modularity", "n_edges")
+        assert sorted(map(tuple, null.filter("iteration >= 0").collect())) == sorted(map(tuple, want.collect()))
+        cells = Counter()
+        for r in network.permuted_cells(counted, 4, most=most).collect():
+            cells[r.iteration, "locality", r.locality] += r.n
+            cells[r.iteration, "genus", r.genus] += r.n
+        ends = network.null_marginals(rows, 4, most=most)
+        assert {(r.iteration, r.kind, r.name): r.n for r in ends.filter("iteration >= 0").collect()} == cells
+    for frame, groups in ((null, 1), (ends, 0)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("FlatMapGroupsIn") == groups and plan.count("MapInPandas") + plan.count("MapInArrow") == 1
+
+
 def test_split_takes_the_share_of_each_class(spark):
     rows = [(f"g{k}", 5.0, int(k % 3 == 0), 1) for k in range(100)]
     frame = spark.createDataFrame(rows, "genus string, time_bin double, extinct_next_bin int, abundance int")
