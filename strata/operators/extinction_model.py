@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.ranking import shuffled_rank
+from strata.functions.shared import written
 
 FEATURES = ("geographic_range", "abundance", "lat_range", "env_breadth", "age")
 TARGET = "extinct_next_bin"
@@ -45,13 +46,16 @@ def split_sizes(features: DataFrame, share: float = 0.7, seed: int = 42) -> Data
 
 
 def fit(features: DataFrame, names: tuple[str, ...] = FEATURES, trees: int = 100, depth: int = 10, share: float | None = 0.7, least: int = 100, seed: int = 42) -> ExtinctionModel | None:
-    """None with fewer than ``least`` rows or with one class only.  ``share`` None: all rows are trained on and tested."""
+    """None with fewer than ``least`` rows or with one class only.  ``share`` None: all rows are trained on and tested.
+
+    Both sides of the split are written once: fitting and scoring read them several times, and each time the ranks would be sorted anew.
+    """
     features = features.fillna(0, list(names))
     counts = {r[TARGET]: r["n"] for r in features.groupBy(TARGET).agg(F.count("*").alias("n")).collect()}  # two rows
     total = sum(counts.values())
     if total < least or len(counts) < 2:
         return None
-    train, test = stratified_split(features, share, seed) if share else (features, features)
+    train, test = (written(side, "forest") for side in stratified_split(features, share, seed)) if share else (features, features)
     weight = F.when(F.col(TARGET) == 1, total / (2.0 * counts[1])).otherwise(total / (2.0 * counts[0]))
     assembled = VectorAssembler(inputCols=list(names), outputCol="features")
     forest = RandomForestClassifier(labelCol=TARGET, featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed)

@@ -196,6 +196,16 @@ def test_extinction_model(spark):
     assert extinction_model.fit(features.limit(50)) is None
 
 
+def test_forest_reads_its_split_and_sorts_it_once(spark):
+    features = spark.range(300).selectExpr("concat('g', id) as genus", "5d as time_bin", "id % 50 as geographic_range", "id % 7 as abundance", "double(id % 11) as lat_range",
+                                           "1L as env_breadth", "0L as age", "int(id % 50 < 25) as extinct_next_bin")
+    model = extinction_model.fit(features, trees=2, depth=2)
+    for side in (model.train, model.test):
+        plan = side._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Relation" in plan
+    assert model.train.intersect(model.test).count() == 0 and model.train.count() == 210
+
+
 def slow_communities(n, edges):
     """Every pair of linked communities is tried at each step; the first of the best ones is merged."""
     parts, tied = {k: {k} for k in range(n)}, False
